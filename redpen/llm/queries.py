@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from redpen.llm import decontaminate, quality, secrets
+from redpen.llm import decontaminate, pieces, quality, secrets, token_ids
 from redpen.llm.oracle import ORACLE
 
 
@@ -22,10 +22,25 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(table(spark, sf_dir, "documents"))
 
 
+def tokenizer(name: str) -> str:
+    """A file of the public tokenizers installed on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.report(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op2_quality, op5_secrets)}
+def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_ids.report(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op2_quality, op3_sentencepiece, op5_secrets, op9_token_ids)}
 
 __all__ = ["ORACLE", "QUERIES"]
