@@ -15,3 +15,12 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS
   sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN hw USING (r) LEFT JOIN hi USING (r)
 """
+
+ORACLE["op7_warc"] = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS t, strlen(coalesce(html, '')) AS n FROM pages),
+g AS (SELECT t, max(page_id) AS first_id FROM p WHERE n >= 1000 GROUP BY t)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, sha1(p.t) AS payload_digest,
+  CASE WHEN first_id IS NULL OR page_id IS NOT DISTINCT FROM first_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN first_id IS NULL OR page_id IS NOT DISTINCT FROM first_id THEN NULL ELSE first_id END AS refers_to
+FROM p LEFT JOIN g ON p.t = g.t AND p.n >= 1000
+"""
