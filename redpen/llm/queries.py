@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from redpen.llm import decontaminate, pieces, quality, secrets, token_ids, warc
+from redpen.llm import decontaminate, near_copies, pieces, quality, secrets, token_ids, warc
 from redpen.llm.oracle import ORACLE
 
 
@@ -45,6 +45,10 @@ def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids.report(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op2_quality, op3_sentencepiece, op5_secrets, op7_warc, op9_token_ids)}
+def op10_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_copies.report(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op2_quality, op3_sentencepiece, op5_secrets, op7_warc, op9_token_ids, op10_near_copies)}
 
 __all__ = ["ORACLE", "QUERIES"]
