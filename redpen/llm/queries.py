@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from redpen.llm import decontaminate, near_copies, pieces, quality, secrets, token_ids, warc
+from redpen.llm import decontaminate, line_runs, near_copies, pieces, quality, secrets, token_ids, warc
 from redpen.llm.oracle import ORACLE
 
 
@@ -37,6 +37,10 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
 
 
+def op6_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_runs.report(table(spark, sf_dir, "documents"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.report(table(spark, sf_dir, "pages"))
 
@@ -49,6 +53,6 @@ def op10_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op2_quality, op3_sentencepiece, op5_secrets, op7_warc, op9_token_ids, op10_near_copies)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op2_quality, op3_sentencepiece, op5_secrets, op6_line_runs, op7_warc, op9_token_ids, op10_near_copies)}
 
 __all__ = ["ORACLE", "QUERIES"]
