@@ -24,3 +24,17 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, sha1(p.t) AS payload_digest,
   CASE WHEN first_id IS NULL OR page_id IS NOT DISTINCT FROM first_id THEN NULL ELSE first_id END AS refers_to
 FROM p LEFT JOIN g ON p.t = g.t AND p.n >= 1000
 """
+
+_ESCAPED = "replace(text, '\\', '\\\\')"
+for _c in ("<|im_start|>", "<|im_end|>", "<|endoftext|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>"):
+    _ESCAPED = f"replace({_ESCAPED}, '{_c}', '{_c[0]}\\{_c[1:]}')"
+ORACLE["op4_chat"] = rf"""
+WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+s AS (SELECT *, 12 + length(role) + 1 + length({_ESCAPED}) + 11 AS size, row_number() OVER w AS n, count(*) OVER (PARTITION BY conv_id) AS total FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+u AS (SELECT *, sum(size) OVER (PARTITION BY conv_id ORDER BY n) AS upto FROM s)
+SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY n)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY n) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(upto) FILTER (role = 'assistant' OR n = total) AS BIGINT) AS formatted_chars, CAST(count(*) FILTER (role = 'assistant' OR n = total) AS BIGINT) AS n_examples
+FROM u GROUP BY conv_id
+"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from redpen.llm import decontaminate, line_runs, near_copies, pieces, quality, secrets, token_ids, warc
+from redpen.llm import chat, decontaminate, line_runs, near_copies, pieces, quality, secrets, token_ids, warc
 from redpen.llm.oracle import ORACLE
 
 
@@ -33,6 +33,13 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.report(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    text = "</s>[INST] ok [/INST]"
+    odd = spark.range(2).selectExpr("-7L AS conv_id", "id AS turn", "if(id = 0, 'user', 'assistant') AS role", f"'{text}' AS text")
+    return chat.report(rows.unionByName(odd))
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
 
@@ -53,6 +60,6 @@ def op10_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op2_quality, op3_sentencepiece, op5_secrets, op6_line_runs, op7_warc, op9_token_ids, op10_near_copies)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op2_quality, op3_sentencepiece, op4_chat, op5_secrets, op6_line_runs, op7_warc, op9_token_ids, op10_near_copies)}
 
 __all__ = ["ORACLE", "QUERIES"]
