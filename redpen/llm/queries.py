@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from redpen.llm import chat, decontaminate, line_runs, near_copies, pieces, quality, secrets, token_ids, warc
+from redpen.llm import chat, decontaminate, line_runs, near_copies, personal, pieces, quality, secrets, token_ids, warc
 from redpen.llm.oracle import ORACLE
 
 
@@ -52,6 +52,10 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.report(table(spark, sf_dir, "pages"))
 
 
+def op8_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.report(table(spark, sf_dir, "documents"))
+
+
 def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids.report(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
@@ -60,6 +64,6 @@ def op10_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op2_quality, op3_sentencepiece, op4_chat, op5_secrets, op6_line_runs, op7_warc, op9_token_ids, op10_near_copies)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op2_quality, op3_sentencepiece, op4_chat, op5_secrets, op6_line_runs, op7_warc, op8_personal, op9_token_ids, op10_near_copies)}
 
 __all__ = ["ORACLE", "QUERIES"]
