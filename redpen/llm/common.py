@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -29,6 +31,19 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of shuffle files and checkpoints that nothing refers to any more; else they wait for the driver's next collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """A copy as a table in the shared folder, for wide rows that several later steps read."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def per_text(df: DataFrame, text: str, schema: str, make: Callable[[], Callable[[list], Iterator | list]], keep: list[str] | None = None, encode: bool = True) -> DataFrame:
     """Run a Python function over whole texts, a record batch at a time, beside the rows it came from.
 

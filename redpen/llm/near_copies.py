@@ -29,12 +29,12 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from redpen.llm.common import checkpoint
+from redpen.llm.common import checkpoint, release, stored
 from redpen.llm.components import components
 from redpen.llm.decontaminate import words
 
 SHINGLE = 5
-BANDS, ROWS = 32, 4
+BANDS, ROWS = 24, 4
 #: A pair is near if PARTS times its common weight is at least PARTS - 1 times its joint weight.
 PARTS = 5
 AT_ONCE = 500
@@ -176,72 +176,74 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         last, kept = None, Counter()
         for batch in batches:
             us, vs, ok = batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
-            for v, a, b in zip(vs, batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            for v, a, b in zip(vs, batch.column(2), batch.column(3), strict=True):
                 if v != last:
-                    last, kept = v, bag(b)
-                ok.append(near(bag(a), kept))
-            yield pa.RecordBatch.from_arrays([pa.array([u for u, y in zip(us, ok, strict=True) if y], pa.binary()), pa.array([v for v, y in zip(vs, ok, strict=True) if y], pa.binary())], names=["u", "v"])
+                    last, kept = v, bag(b.as_py())
+                ok.append(near(bag(a.as_py()), kept))
+            yield pa.RecordBatch.from_arrays([pa.array([u for u, y in zip(us, ok, strict=True) if y], pa.int64()), pa.array([v for v, y in zip(vs, ok, strict=True) if y], pa.int64())], names=["u", "v"])
 
-    one = pairs.join(texts.select(F.col("node").alias("u"), F.col("text").alias("text_u")), "u")
-    two = one.join(texts.select(F.col("node").alias("v"), F.col("text").alias("text_v")), "v")
-    return two.select("u", "v", "text_u", "text_v").mapInArrow(run, "u binary, v binary")
+    one = pairs.join(texts.select(F.col("id").alias("u"), F.col("n").alias("n_u"), F.col("text").alias("text_u")), "u")
+    two = one.join(texts.select(F.col("id").alias("v"), F.col("n").alias("n_v"), F.col("text").alias("text_v")), "v")
+    alike = F.least("n_u", "n_v") * PARTS >= F.greatest("n_u", "n_v") * (PARTS - 1)  # a bound on the overlap
+    return two.where(alike).select("u", "v", "text_u", "text_v").mapInArrow(run, "u long, v long")
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """One row a document: doc_id, text_hash, class_id, class_size, and ``first``, true for the one row kept of a class."""
-    signed = checkpoint(sign(docs, doc_id, text, bands, rows))
-    known = signed.where("node is not null")
-    nodes = checkpoint(known.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("at"), F.first("n").alias("n"), F.first("bands").alias("bands")))
-    members = nodes.select("node", "n", "at", F.explode("bands").alias("bucket"))
-    buckets = members.groupBy("bucket").agg(F.count("*").alias("size"), F.min(F.struct("at", "node", "n")).alias("first")).where("size > 1")
-    members = checkpoint(members.join(buckets, "bucket").select("bucket", "node", "n", "at", F.col("first.node").alias("head"), F.col("first.n").alias("head_n")))
-    alike = lambda a, b: F.least(a, b) * PARTS >= F.greatest(a, b) * (PARTS - 1)  # noqa: E731  a bound on the overlap
-    pairs = members.where((F.col("node") != F.col("head")) & alike(F.col("n"), F.col("head_n"))).select(F.col("node").alias("u"), F.col("head").alias("v")).distinct()
+    """One row a document: doc_id, text_hash, class_id, class_size, and ``first``, true for the rows kept of a class."""
+    spark = docs.sparkSession
+    signed = stored(sign(docs, doc_id, text, bands, rows), "signed")
+    nodes = signed.where("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("at"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    nodes = stored(nodes.withColumn("id", F.monotonically_increasing_id()), "nodes")
+    exploded = nodes.select("id", F.explode("bands").alias("bucket"))
+    heads = exploded.groupBy("bucket").agg(F.count("*").alias("size"), F.min("id").alias("head")).where("size > 1").drop("size")
+    members = checkpoint(exploded.join(heads, "bucket").select("bucket", "id", "head"))
+    release(spark)
 
     # the texts of all nodes that share a bucket, one a node
-    wanted = members.select("node", F.col("at.doc_id").alias("doc_id"), F.col("at.text_hash").alias("text_hash")).distinct()
+    wanted = members.select("id").distinct().join(nodes.select("id", "n", "at"), "id").select("id", "n", F.col("at.doc_id").alias("of"), F.col("at.text_hash").alias("of_hash"))
     col = F.col(f"`{text}`").cast("string")
-    given = docs.select(F.col(f"`{doc_id}`").alias("id"), F.xxhash64(col).alias("hash"), col.cast("binary").alias("text"))
-    texts = wanted.join(given, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("text_hash"))).select("node", "text").dropDuplicates(["node"])
+    given = docs.select(F.col(f"`{doc_id}`").alias("given"), F.xxhash64(col).alias("hash"), col.cast("binary").alias("text"))
+    texts = stored(wanted.join(given, F.col("given").eqNullSafe(F.col("of")) & (F.col("hash") == F.col("of_hash"))).select("id", "n", "text").dropDuplicates(["id"]), "texts")
+    release(spark)
 
-    edges = checkpoint(verify(pairs, texts))
+    edges = checkpoint(verify(members.where("id <> head").select(F.col("id").alias("u"), F.col("head").alias("v")).distinct(), texts))
     of = components(edges)
-    done = members.select("bucket", F.col("head").alias("node")).distinct()
-    heads = 8
+    left = members.select("bucket", "id", (F.col("id") == F.col("head")).alias("done"))
+    at_once = 8
     while True:
-        labelled = members.join(of, "node", "left").select("bucket", "node", "n", F.coalesce("comp", "node").alias("comp"))
-        open_ = labelled.groupBy("bucket").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("bucket")
-        open_rows = checkpoint(labelled.join(open_, "bucket"))
-        home = open_rows.groupBy("bucket", "comp").agg(F.count("*").alias("k")).groupBy("bucket").agg(F.max(F.struct("k", "comp")).alias("home")).select("bucket", F.col("home.comp").alias("home"))
-        away = open_rows.join(home, "bucket").where("comp <> home").join(done, ["bucket", "node"], "left_anti")
-        chosen = checkpoint(_some(away, heads))
+        release(spark)
+        labelled = left.join(of, F.col("id") == F.col("node"), "left").select("bucket", "id", "done", F.coalesce("comp", "id").alias("comp"))
+        # nodes not yet compared with their whole bucket, outside the component that has most of them
+        undone = labelled.where("not done")
+        home = undone.groupBy("bucket", "comp").agg(F.count("*").alias("k")).groupBy("bucket").agg(F.max(F.struct("k", "comp")).alias("home"))
+        away = undone.join(home, "bucket").where(F.col("comp") != F.col("home.comp"))
+        # up to so many of each bucket: the first of each hashed slot, pre-aggregated
+        slot = F.pmod(F.xxhash64("id"), F.lit(at_once))
+        chosen = checkpoint(away.groupBy("bucket", slot.alias("slot")).agg(F.min("id").alias("head")).select("bucket", "head"))
         if not chosen.take(1):
             break
-        pairs = open_rows.join(chosen, "bucket").where((F.col("comp") != F.col("h.comp")) & alike(F.col("n"), F.col("h.n"))).select(F.col("node").alias("u"), F.col("h.node").alias("v"))
-        pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+        left = checkpoint(labelled.join(chosen.select("bucket").distinct(), "bucket"))
+        heads = left.select("bucket", F.col("id").alias("head"), F.col("comp").alias("head_comp")).join(chosen, ["bucket", "head"])
+        pairs = left.join(heads, "bucket").where(F.col("comp") != F.col("head_comp")).select(F.least("id", "head").alias("u"), F.greatest("id", "head").alias("v")).distinct()
         fresh = checkpoint(verify(pairs, texts))
-        done = checkpoint(done.union(chosen.select("bucket", F.col("h.node").alias("node"))))
+        chosen = chosen.withColumnRenamed("head", "id").withColumn("now", F.lit(True))
+        left = checkpoint(left.join(chosen, ["bucket", "id"], "left").select("bucket", "id", (F.col("done") | F.col("now").isNotNull()).alias("done")))
         if fresh.take(1):
             edges = checkpoint(edges.union(fresh))
             of = components(edges)
-        heads *= 4
+        at_once *= 4
 
-    labelled = signed.join(of, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    named = nodes.select("node", "id").join(of.withColumnRenamed("node", "id"), "id", "left").select("node", F.coalesce("comp", "id").alias("comp"))
     alone = F.struct("doc_id", "text_hash")
+    labelled = checkpoint(signed.select("doc_id", "text_hash", "node").join(named, "node", "left").drop("node"))
     sizes = labelled.where("comp is not null").groupBy("comp").agg(F.min(alone).alias("kept"), F.count("*").alias("class_size"))
-    labelled = labelled.select("doc_id", "text_hash", "comp").join(sizes, "comp", "left")
+    labelled = labelled.join(sizes, "comp", "left")
     return labelled.select(
         "doc_id", "text_hash", F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("kept.doc_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"),
         (F.col("comp").isNull() | (alone == F.col("kept"))).alias("first"),
     )
 
 
-def _some(rows: DataFrame, k: int) -> DataFrame:
-    """Up to ``k`` rows of each bucket as (bucket, h): one for each of k hashed slots, so that no bucket is gathered."""
-    slot = F.pmod(F.xxhash64("node"), F.lit(k))
-    return rows.groupBy("bucket", slot.alias("slot")).agg(F.min(F.struct("node", "n", "comp")).alias("h")).select("bucket", "h")
-
-
 def report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row a document with its class and the class's size."""
     return classes(docs, doc_id, text).select("doc_id", "class_id", "class_size")
