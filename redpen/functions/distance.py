@@ -33,14 +33,14 @@ def distance_upto_2(a: Column, b: Column) -> Column:
     A swap counts as two plain edits, so swaps are looked at only where the plain distance is 2 to 4, and
     only if the letters that one word has and the other lacks leave room for it.
     """
-    plain = F.levenshtein(a, b, 4)
-    apart = F.greatest(F.length(F.translate(a, b, "")), F.length(F.translate(b, a, "")))
+    plain = F.levenshtein(a, b)
+    apart = F.greatest(F.length(F.call_function("translate", a, b, F.lit(""))), F.length(F.call_function("translate", b, a, F.lit(""))))
     swapped = F.exists(swaps(a), lambda s: s == b)
-    swap_and_edit = F.exists(swaps(a), lambda s: F.levenshtein(s, b, 1) == 1) | F.exists(swaps(b), lambda s: F.levenshtein(a, s, 1) == 1)
+    swap_and_edit = F.exists(swaps(a), lambda s: F.levenshtein(s, b) == 1) | F.exists(swaps(b), lambda s: F.levenshtein(a, s) == 1)
     two_swaps = F.arrays_overlap(swaps(a), swaps(b))
     return (
         F.when(plain <= 1, plain)
         .when(plain == 2, F.when((apart == 0) & (F.length(a) == F.length(b)) & swapped, 1).otherwise(2))
         .when((plain == 3) & (apart <= 1) & swap_and_edit, 2)
-        .when((plain == 4) & (apart == 0) & (F.length(a) == F.length(b)) & two_swaps, 2)
+        .when(plain.isin(3, 4) & (apart == 0) & (F.length(a) == F.length(b)) & two_swaps, 2)
     )

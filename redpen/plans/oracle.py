@@ -176,3 +176,77 @@ ORACLE["doc_summary"] = f"WITH {CORRECTED} {SUMMARY}"
 ORACLE["edit_rate_report"] = f"WITH {CORRECTED} SELECT count(*) AS total_docs, count(*) FILTER (r > 0.01) AS alerts, {milli('round(avg(r), 6)')} AS mean_milli FROM (SELECT round(tokens_changed / total_tokens, 6) AS r FROM ({SUMMARY}))"
 ORACLE["trace_filter"] = f"WITH {CORRECTED} SELECT coalesce(gate, 'none') AS gate, decision, error_type, count(*) AS n FROM fin GROUP BY ALL"
 ORACLE["corrected_text"] = f"WITH {CORRECTED} SELECT doc_id, rtrim(string_agg(corrected || ws, '' ORDER BY pos)) AS corrected_text FROM fin GROUP BY doc_id"
+
+
+def uniform(*parts: str) -> str:
+    return f"({hash_int(*parts)} / 4294967296.0)"
+
+
+def letter(u: str) -> str:
+    return f"substr('abcdefghijklmnopqrstuvwxyz', CAST(floor({u} * 26) AS BIGINT) + 1, 1)"
+
+
+NOISE_STOP = "the and with from that this were was are for into over under than then have has had been being these those their there here such also using used".split()
+_ns = ", ".join(f"'{x}'" for x in NOISE_STOP)
+ORACLE["noise_levels"] = f"""WITH l(corruption_level, p) AS (VALUES ('light', 0.035), ('medium', 0.070), ('heavy', 0.110)), v(variant_id) AS (VALUES (0), (1)),
+r AS (SELECT item_id, text, corruption_level, CAST(p AS DOUBLE) AS p, CAST(variant_id AS BIGINT) AS variant_id, {hash_int('7', 'item_id', 'corruption_level', 'variant_id')} AS seed_variant FROM benchmark, l, v),
+t AS (SELECT * EXCLUDE (text, a), unnest(range(len(a))) AS pos, unnest(a) AS tok FROM (SELECT *, regexp_extract_all(text, '{PIECE}', 1) AS a FROM r))
+SELECT item_id, corruption_level, variant_id, seed_variant, count(*) FILTER (regexp_full_match(tok, '[A-Za-z]{{5,}}') AND lower(tok) NOT IN ({_ns}) AND {uniform('seed_variant', 'pos', "'hit'")} < p) AS edited_tokens, count(*) FILTER (regexp_matches(tok, '[A-Za-z]')) AS total_word_tokens
+FROM t GROUP BY ALL"""
+_u = lambda k: uniform("11", "doc_id", "pos", f"'{k}'")
+ORACLE["noise_paper"] = f"""WITH t AS (SELECT doc_id, unnest(range(len(a))) AS pos, unnest(a) AS tok, unnest(b) AS ws FROM (SELECT doc_id, regexp_extract_all(text, '{PIECE}', 1) AS a, regexp_extract_all(text, '{PIECE}', 2) AS b FROM documents WHERE lang = 'en')),
+h AS (SELECT *, regexp_full_match(tok, '[A-Za-z]+') AND {_u('hit')} < CAST(0.15 AS DOUBLE) / sqrt(length(tok)) AS hit, {_u('op')} AS op, CAST(floor({_u('at')} * length(tok)) AS BIGINT) + 1 AS pl, {letter(_u('let'))} AS let FROM t)
+SELECT doc_id AS row_id, string_agg(CASE WHEN NOT hit THEN tok WHEN op < 0.5 THEN substr(tok, 1, pl - 1) || let || substr(tok, pl + 1) WHEN op < 0.75 THEN substr(tok, 1, pl - 1) || substr(tok, pl + 1) ELSE substr(tok, 1, pl - 1) || let || substr(tok, pl) END || ws, '' ORDER BY pos) AS noisy_text,
+  count(*) FILTER (hit) AS edited_tokens, count(*) FILTER (regexp_matches(tok, '[A-Za-z]')) AS total_word_tokens FROM h GROUP BY doc_id"""
+
+TF = f"""{W}, lw AS (SELECT doc_id, quality, a FROM labels JOIN w USING (doc_id) WHERE quality IS NOT NULL AND len(a) > 0), nd AS (SELECT count(*) AS n FROM lw),
+tf AS (SELECT doc_id, quality, term, count(*) AS tf FROM (SELECT doc_id, quality, unnest(a) AS term FROM lw UNION ALL SELECT doc_id, quality, unnest(a[1:len(a)-1]) || ' ' || unnest(a[2:len(a)]) FROM lw WHERE len(a) > 1) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS total FROM tf, nd GROUP BY term, n HAVING count(*) >= 2 AND count(*) <= 0.95 * n)"""
+WEIGHT = "raw AS (SELECT doc_id, term, tf, (1 + ln(tf)) * (ln((1.0 + n) / (1.0 + df)) + 1) AS raw FROM tf JOIN df USING (term), nd), wt AS (SELECT doc_id, term, tf, raw / sqrt(sum(raw * raw) OVER (PARTITION BY doc_id)) AS weight FROM raw)"
+BAYES = """cn AS (SELECT quality, term, sum(tf) AS n FROM tf GROUP BY ALL), vv AS (SELECT count(DISTINCT term) AS v FROM tf), ct AS (SELECT quality, sum(n) AS total FROM cn GROUP BY quality),
+m AS (SELECT quality, term, ln((n + 1) / (total + v)) AS logp FROM cn JOIN ct USING (quality), vv)"""
+ORACLE["doc_frequency"] = f"WITH {TF} SELECT * FROM df"
+ORACLE["tfidf"] = f"WITH {TF}, {WEIGHT} SELECT doc_id, term, tf, {milli('weight')} AS weight_milli FROM wt"
+ORACLE["naive_bayes"] = f"""WITH {TF}, {BAYES}, pr AS (SELECT quality, count(*) AS nd, (SELECT n FROM nd) AS alld FROM lw GROUP BY quality),
+g AS (SELECT d.doc_id, ct.quality, ln(nd / alld) + d.len * ln(1 / (total + v)) + coalesce((SELECT sum(tf.tf * (m.logp - ln(1 / (total + v)))) FROM tf JOIN m ON m.term = tf.term AND m.quality = ct.quality WHERE tf.doc_id = d.doc_id), 0) AS score
+  FROM (SELECT doc_id, sum(tf) AS len FROM tf GROUP BY doc_id) AS d CROSS JOIN ct JOIN pr ON pr.quality = ct.quality, vv)
+SELECT doc_id, quality AS predicted FROM g QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 6) DESC, quality) = 1"""
+ORACLE["explain_terms"] = f"""WITH {TF}, {WEIGHT}, {BAYES}, co AS (SELECT term, sum(CASE WHEN quality = 1 THEN logp ELSE -logp END) AS c FROM m GROUP BY term)
+SELECT doc_id, term, row_number() OVER (PARTITION BY doc_id ORDER BY round(weight * c, 9) DESC, term) AS rank FROM wt JOIN co USING (term) QUALIFY rank <= 15"""
+
+_wrong = lambda name, share: f"CASE WHEN {uniform(repr(name), 'doc_id')} < {share} THEN 1 - quality ELSE quality END AS {name}"
+PRED = f"p AS (SELECT doc_id, quality AS truth, {_wrong('original', 0.05)}, {_wrong('noisy', 0.20)}, {_wrong('restored', 0.10)}, {_wrong('safety', 0.06)} FROM labels WHERE quality IS NOT NULL)"
+
+
+def per_class(run: str) -> str:
+    return f"SELECT l.label, count(*) FILTER (truth = l.label) AS support, count(*) FILTER ({run} = l.label) AS guessed, count(*) FILTER (truth = l.label AND {run} = l.label) AS tp FROM p, (SELECT truth AS label FROM p UNION SELECT {run} FROM p) AS l GROUP BY l.label"
+
+
+def f1(run: str) -> str:
+    return f"(SELECT avg(2.0 * tp / (support + guessed)) FROM ({per_class(run)}))"
+
+
+ORACLE["confusion"] = f"WITH {PRED} SELECT truth, noisy AS predicted, count(*) AS n FROM p GROUP BY ALL"
+ORACLE["class_report"] = f"WITH {PRED} SELECT label, support, {milli('CASE WHEN guessed > 0 THEN tp / guessed ELSE 0 END')} AS precision_milli, {milli('CASE WHEN support > 0 THEN tp / support ELSE 0 END')} AS recall_milli, {milli('2.0 * tp / (support + guessed)')} AS f1_milli FROM ({per_class('noisy')})"
+ORACLE["macro_f1"] = f"WITH {PRED} SELECT {milli('(SELECT avg(CASE WHEN truth = restored THEN 1.0 ELSE 0.0 END) FROM p)')} AS accuracy_milli, {milli(f1('restored'))} AS f1_milli"
+ORACLE["impact_deltas"] = f"""WITH {PRED}, f AS (SELECT {f1('original')} AS o, {f1('noisy')} AS n, {f1('restored')} AS r, {f1('safety')} AS s)
+SELECT {milli('(r - n)')} AS delta_recovery_milli, {milli('(o - s)')} AS safety_drop_milli, {milli('(CASE WHEN o - n > 1e-12 THEN (r - n) / (o - n) END)')} AS err_recovery_milli, {milli('(CASE WHEN 1 - n > 1e-12 THEN (r - n) / (1 - n) END)')} AS err_alternative_milli FROM f"""
+ORACLE["label_flips"] = f"WITH {PRED} SELECT doc_id, CAST(noisy IS DISTINCT FROM restored AS BIGINT) AS flip FROM p"
+_share = lambda c: f"(SELECT '{c[0]}' || {c} AS label, count(*) / 100 AS q FROM p WHERE {c} = 1 OR doc_id % 2 = 0 GROUP BY 1)"
+ORACLE["prob_shift"] = f"WITH {PRED} SELECT coalesce(a.label, b.label) AS label, {milli('coalesce(a.q, 0)')} AS before_milli, {milli('coalesce(b.q, 0)')} AS after_milli, {milli('(coalesce(b.q, 0) - coalesce(a.q, 0))')} AS delta_milli FROM {_share('noisy')} AS a FULL JOIN {_share('safety')} AS b ON a.label = b.label"
+
+_k = lambda k: uniform(f"'{k}'", "word")
+CASES = f"""{W}, {U}, c0 AS (SELECT word, cnt, {hash_int("'n'", 'word')} % 10 = 0 AS negative, ['transpose', 'delete', 'insert', 'substitute'][CAST(floor({_k('op')} * 4) AS BIGINT) + 1] AS op, CAST(floor({_k('at')} * length(word)) AS BIGINT) + 1 AS pl, {letter(_k('let'))} AS let, {_k('fix')} AS fix FROM u WHERE cnt >= 20 AND length(word) >= 6),
+c1 AS (SELECT word, cnt, fix, word AS expected, CASE WHEN negative THEN 'negative' ELSE 'non-word-' || op END AS category, CASE WHEN negative THEN word WHEN op = 'delete' THEN substr(word, 1, pl - 1) || substr(word, pl + 1) WHEN op = 'insert' THEN substr(word, 1, pl - 1) || let || substr(word, pl)
+  WHEN op = 'substitute' THEN substr(word, 1, pl - 1) || let || substr(word, pl + 1) WHEN pl < length(word) THEN substr(word, 1, pl - 1) || substr(word, pl + 1, 1) || substr(word, pl, 1) || substr(word, pl + 2) ELSE word END AS wrong FROM c0),
+c AS (SELECT *, CASE WHEN fix < 0.8 THEN word ELSE wrong END AS corrected FROM c1)"""
+ORACLE["category_breakdown"] = f"""WITH {CASES} SELECT category, count(*) AS n_total, count(*) FILTER (expected <> wrong) AS n_error, count(*) FILTER (expected = wrong) AS n_negative,
+  {milli('(100 * count(*) FILTER (expected <> wrong AND corrected = expected) / nullif(count(*) FILTER (expected <> wrong), 0))')} AS recall_milli, {milli('(100 * count(*) FILTER (expected = wrong AND corrected <> expected) / nullif(count(*) FILTER (expected = wrong), 0))')} AS fpr_milli FROM c GROUP BY category"""
+ORACLE["intrinsic_metrics"] = f"WITH {CASES} SELECT count(*) FILTER (category <> 'negative') AS total_errors, count(*) FILTER (category = 'negative') AS total_negatives, count(*) FILTER (category <> 'negative' AND corrected = expected) AS hits, count(*) FILTER (category = 'negative' AND corrected <> expected) AS harmful FROM c"
+ORACLE["tuning_select"] = """SELECT CAST((d * 27 + (rw - 4) * 9 + wi * 3 + li) AS BIGINT) AS ordinal, CAST(d AS DOUBLE) AS delta, CAST(rw AS DOUBLE) AS delta_rw, CAST([1.8, 2.2, 2.6][wi + 1] AS DOUBLE) AS w_dist, CAST([1.0, 1.2, 1.4][li + 1] AS DOUBLE) AS w_left,
+  CAST(round(90 - abs([1.8, 2.2, 2.6][wi + 1] - 2.2) * 5 - d, 2) AS DOUBLE) AS recall FROM range(3) AS a(d), range(4, 7) AS b(rw), range(3) AS c(wi), range(3) AS e(li) WHERE rw >= 5 ORDER BY recall DESC, ordinal LIMIT 1"""
+ORACLE["hard_subset"] = f"""WITH {CASES}, h AS (SELECT *, 2.0 * (CASE WHEN category = 'non-word-transpose' THEN 2 ELSE 1 END) + (CASE WHEN length(word) <= 5 THEN 1 ELSE 0 END) + (CASE WHEN cnt > 100 THEN 0 ELSE 0.5 END) AS hardness FROM c),
+a AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY category, wrong, expected ORDER BY hardness DESC, word) <= 2), b2 AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY category, wrong ORDER BY hardness DESC, word) <= 2)
+SELECT category, word AS case_id, wrong, row_number() OVER (PARTITION BY category ORDER BY hardness DESC, word) AS place FROM b2 QUALIFY place <= 20"""
+ORACLE["confusion_pairs"] = f"""WITH {W}, u AS (SELECT word, count(*) AS cnt FROM (SELECT unnest(a) AS word FROM w) GROUP BY word HAVING count(*) >= 10 AND length(word) >= 4), {near('SELECT word AS tok FROM u')}
+SELECT tok AS expected, cand AS wrong, row_number() OVER (PARTITION BY tok ORDER BY cnt DESC, cand) AS k FROM n WHERE dist = 1 QUALIFY k <= 8"""

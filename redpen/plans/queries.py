@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from redpen.functions import text as tf
 from redpen.functions.gates import domain_rule, gate
 from redpen.lexicons import PROSE_KEYWORDS
-from redpen.operators import candidates as cand, correct, lexicon, prepare
+from redpen.operators import candidates as cand, classify, correct, evaluate, lexicon, noise, prepare
 from redpen.operators.score import bigram_logp, unigram_logp
+from redpen.params import Params
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -273,3 +274,187 @@ def suggestions(spark, sf_dir):
     counts = lexicon.unigrams(words(spark, sf_dir))
     rows = correct.suggestions(counts.where("cnt < 3 AND length(word) > 3").select(F.col("word").alias("tok")), counts)
     return rows.select("tok", "cand", F.col("dist").cast("long").alias("dist"), F.col("rank").cast("long").alias("rank"))
+
+
+# -- noise
+
+
+@query
+def noise_levels(spark, sf_dir):
+    rows = noise.variant_seeds(table(spark, sf_dir, "benchmark").where("item_id IS NOT NULL"), "item_id", 7, variants=2)
+    out = noise.corrupted(rows, "item_id", keys=("corruption_level", "variant_id"))
+    return out.join(rows.select("item_id", "corruption_level", "variant_id", "seed_variant"), ["item_id", "corruption_level", "variant_id"]).select("item_id", "corruption_level", "variant_id", "seed_variant", "edited_tokens", "total_word_tokens")
+
+
+@query
+def noise_paper(spark, sf_dir):
+    return noise.paper_noise(english(spark, sf_dir), "doc_id", "text", 11)
+
+
+# -- classification; labels.quality stands in for the topic
+
+
+def labelled_terms(spark, sf_dir):
+    rows = table(spark, sf_dir, "labels").where("quality IS NOT NULL").join(words(spark, sf_dir), "doc_id")
+    return classify.terms(rows, F.col("words"), ["doc_id", "quality"])
+
+
+def n_labelled(spark, sf_dir):
+    return table(spark, sf_dir, "labels").where("quality IS NOT NULL").join(words(spark, sf_dir).where(F.size("words") > 0), "doc_id").count()
+
+
+@query
+def doc_frequency(spark, sf_dir):
+    return classify.doc_frequency(labelled_terms(spark, sf_dir), n_labelled(spark, sf_dir))
+
+
+@query
+def tfidf(spark, sf_dir):
+    n = n_labelled(spark, sf_dir)
+    tf_ = labelled_terms(spark, sf_dir)
+    return classify.tfidf(tf_, classify.doc_frequency(tf_, n), n).select("doc_id", "term", "tf", milli(F.col("weight")).alias("weight_milli"))
+
+
+def bayes_predictions(spark, sf_dir):
+    tf_ = labelled_terms(spark, sf_dir)
+    model_, prior = classify.naive_bayes(tf_, "quality")
+    return classify.predicted(classify.naive_bayes_scores(tf_, model_, prior, "quality"), "quality")
+
+
+@query
+def naive_bayes(spark, sf_dir):
+    return bayes_predictions(spark, sf_dir)
+
+
+@query
+def explain_terms(spark, sf_dir):
+    n = n_labelled(spark, sf_dir)
+    tf_ = labelled_terms(spark, sf_dir)
+    model_, _ = classify.naive_bayes(tf_, "quality")
+    coefficient = model_.groupBy("term").agg(F.sum(F.when(F.col("quality") == 1, F.col("logp")).otherwise(-F.col("logp"))).alias("coefficient"))
+    rows = classify.contributions(classify.tfidf(tf_, classify.doc_frequency(tf_, n), n), coefficient)
+    return rows.select("doc_id", "term", F.col("rank").cast("long").alias("rank"))
+
+
+@query
+def logreg_topic(spark, sf_dir):
+    """Held-out macro-F1 and accuracy of the balanced logistic regression."""
+    n = n_labelled(spark, sf_dir)
+    labels = prepare.split(table(spark, sf_dir, "labels").where("quality IS NOT NULL").join(words(spark, sf_dir).where(F.size("words") > 0).select("doc_id"), "doc_id"), "quality", "doc_id")
+    tf_ = labelled_terms(spark, sf_dir)
+    frame = classify.feature_frame(classify.tfidf(tf_, classify.doc_frequency(tf_, n), n), labels.select("doc_id", "quality"), "quality", 1 << 14).cache()
+    train = frame.join(labels.where("not is_test").select("doc_id"), "doc_id")
+    test = frame.join(labels.where("is_test").select("doc_id"), "doc_id")
+    return evaluate.scores(classify.logistic(train).transform(test), "label", "prediction")
+
+
+@query
+def svm_topic(spark, sf_dir):
+    """The calibration line of the linear SVM."""
+    n = n_labelled(spark, sf_dir)
+    tf_ = labelled_terms(spark, sf_dir)
+    labels = tf_.select("doc_id", "quality").distinct()
+    frame = classify.feature_frame(classify.tfidf(tf_, classify.doc_frequency(tf_, n), n), labels, "quality", 1 << 12).cache()
+    _, calibration = classify.linear_svm(frame)
+    return spark.createDataFrame([(float(calibration.coefficients[0]), float(calibration.intercept))], "slope double, intercept double")
+
+
+# -- evaluation, on predictions that plain rules make
+
+
+def predictions(spark, sf_dir):
+    """Truth and four runs by hash rules, so that every engine makes the same."""
+    rows = table(spark, sf_dir, "labels").where("quality IS NOT NULL").select("doc_id", F.col("quality").alias("truth"))
+    wrong = lambda name, share: F.when(tf.hash_uniform(F.lit(name), F.col("doc_id")) < share, 1 - F.col("truth")).otherwise(F.col("truth")).alias(name)
+    return rows.select("doc_id", "truth", wrong("original", 0.05), wrong("noisy", 0.20), wrong("restored", 0.10), wrong("safety", 0.06))
+
+
+@query
+def confusion(spark, sf_dir):
+    return evaluate.confusion(predictions(spark, sf_dir), "truth", "noisy")
+
+
+@query
+def class_report(spark, sf_dir):
+    rows = evaluate.class_report(evaluate.confusion(predictions(spark, sf_dir), "truth", "noisy"))
+    return rows.select("label", "support", milli(F.col("precision")).alias("precision_milli"), milli(F.col("recall")).alias("recall_milli"), milli(F.col("f1")).alias("f1_milli"))
+
+
+@query
+def macro_f1(spark, sf_dir):
+    rows = evaluate.scores(predictions(spark, sf_dir), "truth", "restored")
+    return rows.select(milli(F.col("accuracy")).alias("accuracy_milli"), milli(F.col("f1_macro")).alias("f1_milli"))
+
+
+@query
+def impact_deltas(spark, sf_dir):
+    row = evaluate.four_runs(predictions(spark, sf_dir), "truth", ["original", "noisy", "restored", "safety"])
+    d = evaluate.deltas(*[F.col(f"{r}_f1_macro") for r in ("original", "noisy", "restored", "safety")])
+    return row.select(*[milli(c).alias(f"{k}_milli") for k, c in d.items()])
+
+
+@query
+def label_flips(spark, sf_dir):
+    rows = evaluate.label_flips(predictions(spark, sf_dir), "noisy", "restored", "flip")
+    return rows.select("doc_id", F.col("flip").cast("long").alias("flip"))
+
+
+@query
+def bootstrap_ci(spark, sf_dir):
+    return evaluate.bootstrap(predictions(spark, sf_dir), "truth", "noisy", "restored", 400)
+
+
+@query
+def prob_shift(spark, sf_dir):
+    rows = predictions(spark, sf_dir)
+    share = lambda c: rows.where(f"{c} = 1 OR doc_id % 2 = 0").groupBy(F.concat(F.lit(c[0]), F.col(c).cast("string")).alias("label")).agg((F.count("*") / 100).alias("p"))
+    out = classify.probability_shift(share("noisy"), share("safety"))
+    return out.select("label", milli(F.col("before")).alias("before_milli"), milli(F.col("after")).alias("after_milli"), milli(F.col("delta")).alias("delta_milli"))
+
+
+# -- benchmark cases, made of the corpus by seeded typos
+
+
+def cases(spark, sf_dir):
+    """(case_id, category, wrong, expected, corrected): a typo in each frequent word of six letters and more; every tenth is a negative."""
+    frequent = lexicon.unigrams(words(spark, sf_dir)).where("cnt >= 20 AND length(word) >= 6")
+    u = lambda k: tf.hash_uniform(F.lit(k), F.col("word"))
+    negative = tf.hash_int(F.lit("n"), F.col("word")) % 10 == 0
+    op = F.element_at(F.array(*map(F.lit, noise.OPERATORS)), noise.pick(u("op"), F.lit(4)))
+    wrong = F.when(negative, F.col("word")).otherwise(noise.edit(F.col("word"), op, noise.pick(u("at"), F.length("word")), noise.letter_of(u("let"))))
+    return frequent.select("word", "cnt", F.when(negative, "negative").otherwise(F.concat(F.lit("non-word-"), op)).alias("category"), wrong.alias("wrong"), F.col("word").alias("expected"), F.when(u("fix") < 0.8, F.col("word")).otherwise(wrong).alias("corrected"))
+
+
+@query
+def category_breakdown(spark, sf_dir):
+    rows = evaluate.category_breakdown(cases(spark, sf_dir))
+    return rows.select("category", "n_total", "n_error", "n_negative", milli(F.col("error_recall_pct")).alias("recall_milli"), milli(F.col("neg_fpr_pct")).alias("fpr_milli"))
+
+
+@query
+def intrinsic_metrics(spark, sf_dir):
+    return evaluate.intrinsic(cases(spark, sf_dir))
+
+
+@query
+def tuning_select(spark, sf_dir):
+    """The best of 81 configurations, scored by a rule."""
+    g = evaluate.grid(spark, delta=[0, 1, 2], delta_rw=[4, 5, 6], w_dist=[1.8, 2.2, 2.6], w_left=[1.0, 1.2, 1.4])
+    scored = g.withColumn("harmful", F.when(F.col("delta_rw") < 5, 1).otherwise(0)).withColumn("recall", F.round(90 - F.abs(F.col("w_dist") - 2.2) * 5 - F.col("delta"), 2))
+    return evaluate.best_configuration(scored).select("ordinal", "delta", "delta_rw", "w_dist", "w_left", "recall")
+
+
+@query
+def hard_subset(spark, sf_dir):
+    rows = cases(spark, sf_dir).withColumn("case_id", F.col("word"))
+    hard = evaluate.hardness(F.when(F.col("category") == "non-word-transpose", 2.0).otherwise(1.0), F.length("word"), F.col("cnt") > 100, F.col("category"))
+    return evaluate.hard_subset(rows.withColumn("hardness", hard), 20).select("category", "case_id", "wrong", F.col("place").cast("long").alias("place"))
+
+
+@query
+def confusion_pairs(spark, sf_dir):
+    """The most frequent words with up to eight known neighbours one edit away."""
+    counts = lexicon.unigrams(words(spark, sf_dir)).where("cnt >= 10 AND length(word) >= 4")
+    rows = cand.candidates(counts.select(F.col("word").alias("tok")), counts, Params(min_count=10)).where("dist = 1")
+    rank = F.row_number().over(Window.partitionBy("tok").orderBy(F.desc("cnt"), "cand"))
+    return rows.withColumn("k", rank.cast("long")).where("k <= 8").select(F.col("tok").alias("expected"), F.col("cand").alias("wrong"), "k")
