@@ -8,11 +8,11 @@ register holds its earliest point. A process stops once its next point is later
 about its number of shingles plus m log m points, whatever the weights. Two signatures agree in a
 register with the probability of the weighted Jaccard similarity.
 
-Texts of equal words are one node. Nodes that share a band of registers are candidates; each
-candidate pair that matters is verified by the exact multiset overlap. A bucket first compares all its nodes with
-its first one. As long as nodes of a bucket are in different components, further ones are
-compared with all the rest, more each round, so every pair of a bucket is compared or is connected already;
-no pair is dropped and hot buckets of true copies need one round.
+Texts of equal words are one node. Nodes that share a band of registers are candidates; candidate
+pairs are verified by the exact multiset overlap. A bucket first compares all its nodes with its
+first one, then those outside its largest component with some more of that. What is still apart then is searched by
+an exact join on rare shingles, which finds every near pair that is left. So all links between candidates hold, hot
+groups of true copies take few comparisons, and no pair is dropped.
 
 Words are as in decontamination: lower-cased runs of digits, letters a-z and code points from U+0080 on.
 Documents without words (null or empty texts too) are alone in their class, but rows of equal id and text are copies. Class ids are the
@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from redpen.llm.common import checkpoint, release, stored
 from redpen.llm.components import components
@@ -35,6 +35,8 @@ from redpen.llm.decontaminate import words
 
 SHINGLE = 5
 BANDS, ROWS = 24, 4
+#: Rounds in which the rest of a bucket is compared with further nodes of its largest component, and how many at a time.
+ROUNDS, HEADS = 3, 4
 #: A pair is near if PARTS times its common weight is at least PARTS - 1 times its joint weight.
 PARTS = 5
 AT_ONCE = 500
@@ -188,6 +190,53 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return two.where(alike).select("u", "v", "text_u", "text_v").mapInArrow(run, "u long, v long")
 
 
+def _open(left: DataFrame, of: DataFrame) -> DataFrame:
+    """The nodes of buckets in which nodes not yet compared with all the others are in different components, with their component and the bucket's largest."""
+    labelled = left.select("bucket", "id", "done").join(of, F.col("id") == F.col("node"), "left").select("bucket", "id", "done", F.coalesce("comp", "id").alias("comp"))
+    sizes = labelled.where("not done").groupBy("bucket", "comp").agg(F.count("*").alias("k"))
+    homes = sizes.groupBy("bucket").agg(F.max(F.struct("k", "comp")).alias("most"), F.count("*").alias("comps")).where("comps > 1")
+    return labelled.join(homes.select("bucket", F.col("most.comp").alias("home")), "bucket")
+
+
+def sharing_rare(rest: DataFrame, texts: DataFrame) -> DataFrame:
+    """(u, v): all pairs of (id, comp) nodes of different components that can be near.
+
+    If n is the larger number of shingles, near texts share at least (PARTS - 1) / PARTS of n. So, in any one order
+    of shingles, they share one among the first n - that + 1 of each. The order is by rarity, so that
+    texts of one origin with many changes of their own share none of those.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        signer = Signer(BANDS, ROWS)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 100):
+                part = batch.slice(at, 100)
+                ids, comps, keys = [], [], []
+                for i, comp, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
+                    distinct, counts = np.unique(signer.shingles(words(text)), return_counts=True)
+                    again = np.repeat(distinct, counts)
+                    nth = np.arange(len(again)) - np.repeat(np.cumsum(counts) - counts, counts)
+                    with np.errstate(over="ignore"):
+                        key = mix(again + nth.astype(np.uint64) * _B).view(np.int64)
+                    keys.append(key)
+                    ids.append(np.full(len(key), i))
+                    comps.append(np.full(len(key), comp))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in (ids, comps, keys)], names=["id", "comp", "key"])
+
+    rows = rest.join(texts, "id").select("id", "comp", "text").mapInArrow(run, "id long, comp long, key long")
+    keyed = stored(rows, "shingles")
+    many = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    # a place among a text's shingles: those that only it has come first, whatever their order
+    sizes = keyed.groupBy("id").agg(F.count("*").alias("size"))
+    shared = keyed.join(many, "key").join(sizes, "id")
+    w = Window.partitionBy("id")
+    alone = F.col("size") - F.count("*").over(w)
+    first = F.col("size") - F.ceil(F.col("size") * (PARTS - 1) / PARTS) + 1
+    prefix = checkpoint(shared.withColumn("place", alone + F.row_number().over(w.orderBy("n", "key"))).where(F.col("place") <= first).select("key", "id", "comp"))
+    other = prefix.select("key", F.col("id").alias("id2"), F.col("comp").alias("comp2"))
+    return prefix.join(other, "key").where("id < id2 AND comp <> comp2").select(F.col("id").alias("u"), F.col("id2").alias("v")).distinct()
+
+
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row a document: doc_id, text_hash, class_id, class_size, and ``first``, true for the rows kept of a class."""
     spark = docs.sparkSession
@@ -209,29 +258,25 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bands:
     edges = checkpoint(verify(members.where("id <> head").select(F.col("id").alias("u"), F.col("head").alias("v")).distinct(), texts))
     of = components(edges)
     left = members.select("bucket", "id", (F.col("id") == F.col("head")).alias("done"))
-    at_once = 8
-    while True:
+    for round_ in range(ROUNDS):
+        left = checkpoint(_open(left, of))
         release(spark)
-        labelled = left.join(of, F.col("id") == F.col("node"), "left").select("bucket", "id", "done", F.coalesce("comp", "id").alias("comp"))
-        # nodes not yet compared with their whole bucket, outside the component that has most of them
-        undone = labelled.where("not done")
-        home = undone.groupBy("bucket", "comp").agg(F.count("*").alias("k")).groupBy("bucket").agg(F.max(F.struct("k", "comp")).alias("home"))
-        away = undone.join(home, "bucket").where(F.col("comp") != F.col("home.comp"))
-        # up to so many of each bucket: the first of each hashed slot, pre-aggregated
-        slot = F.pmod(F.xxhash64("id"), F.lit(at_once))
-        chosen = checkpoint(away.groupBy("bucket", slot.alias("slot")).agg(F.min("id").alias("head")).select("bucket", "head"))
-        if not chosen.take(1):
+        if not left.take(1):
             break
-        left = checkpoint(labelled.join(chosen.select("bucket").distinct(), "bucket"))
-        heads = left.select("bucket", F.col("id").alias("head"), F.col("comp").alias("head_comp")).join(chosen, ["bucket", "head"])
-        pairs = left.join(heads, "bucket").where(F.col("comp") != F.col("head_comp")).select(F.least("id", "head").alias("u"), F.greatest("id", "head").alias("v")).distinct()
-        fresh = checkpoint(verify(pairs, texts))
-        chosen = chosen.withColumnRenamed("head", "id").withColumn("now", F.lit(True))
-        left = checkpoint(left.join(chosen, ["bucket", "id"], "left").select("bucket", "id", (F.col("done") | F.col("now").isNotNull()).alias("done")))
-        if fresh.take(1):
-            edges = checkpoint(edges.union(fresh))
-            of = components(edges)
-        at_once *= 4
+        # some further nodes of the component that has most, for all that are outside it
+        slot = F.pmod(F.xxhash64("id", F.lit(round_)), F.lit(HEADS))
+        chosen = checkpoint(left.where("not done AND comp = home").groupBy("bucket", slot.alias("slot")).agg(F.min_by("id", F.xxhash64("id", F.lit(round_ + 1))).alias("head")).select("bucket", "head"))
+        pairs = left.where("not done AND comp <> home").join(chosen, "bucket").select(F.least("id", "head").alias("u"), F.greatest("id", "head").alias("v")).distinct()
+        edges = checkpoint(edges.union(verify(pairs, texts)))
+        of = components(edges)
+        now = chosen.select("bucket", F.col("head").alias("id"), F.lit(True).alias("now"))
+        left = left.join(now, ["bucket", "id"], "left").select("bucket", "id", (F.col("done") | F.col("now").isNotNull()).alias("done"))
+    left = checkpoint(_open(left, of))
+    release(spark)
+    if left.take(1):
+        rest = checkpoint(left.select("id", "comp").distinct())
+        edges = checkpoint(edges.union(verify(sharing_rare(rest, texts), texts)))
+        of = components(edges)
 
     named = nodes.select("node", "id").join(of.withColumnRenamed("node", "id"), "id", "left").select("node", F.coalesce("comp", "id").alias("comp"))
     alone = F.struct("doc_id", "text_hash")
