@@ -22,12 +22,17 @@ SYMBOLS = b"#*$%&|<>"
 MIN_WORDS, MAX_REPEATED, THRESHOLD = 10, 20, 0.5
 _CONT = bytes(range(0x80, 0xC0))
 _SPACE = bytes([0x20, *range(0x09, 0x0E)])
+_LEAD = bytes(range(0xC0, 0x100))  # code points from U+0080 on, taken as letters
+_MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 _UPPER, _LOWER, _DIGIT = bytes(range(65, 91)), bytes(range(97, 123)), bytes(range(48, 58))
 
+#: Thresholds are set so that a rule calls at most one good document in a hundred bad; without this, EM can take one kind of bad documents for good.
+LEAST_ON_GOOD = 0.99
+
 #: name, measured share, bad from here on, good up to here; between the two the rule abstains.
 RULES = (
     ("symbols", "symbols a word", 0.10, 0.03),
-    ("repeats", "words in repeated 5-word windows", 0.20, 0.10),
+    ("repeats", "words in repeated 5-word windows", 0.2001, 0.10),
     ("short", "10 / words", 1.0001, 0.5),
     ("duplicate_lines", "lines equal to an earlier one", 0.50, 0.25),
     ("shouting", "capitals among letters A-Z a-z", 0.30, 0.12),
@@ -35,7 +40,11 @@ RULES = (
     ("stutter", "words equal to the one before", 0.20, 0.05),
     ("digits", "digits among characters", 0.40, 0.20),
     ("long_words", "mean characters a word / 12", 1.20, 0.85),
+    ("few_letters", "characters that are no letters", 0.33, 0.20),
+    ("doubled_marks", "doubled marks a word", 0.20, 0.05),
+    ("bare_marks", "words of nothing but marks", 0.15, 0.03),
 )
+_DOUBLED = (b"!!", b"##", b"**", b"%%", b"$$", b"&&", b"||", b"??")
 FEATURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, votes string"
 
 
@@ -46,10 +55,10 @@ def features(text: bytes | None) -> dict:
     lines = [x for x in text.split(b"\n") if x.strip()]
     drop = lambda these: len(text) - len(text.translate(None, these))
     chars = len(text) - drop(_CONT + _SPACE)
-    symbols, upper, lower = drop(SYMBOLS), drop(_UPPER), drop(_LOWER)
+    symbols, upper, lower, high = drop(SYMBOLS), drop(_UPPER), drop(_LOWER), drop(_LEAD)
     dup, repeated = len(lines) - len(set(lines)), repeat_words(w)
     d = max(n, 1)
-    shares = (symbols / d, repeated / d, 10 / d if n else math.inf, dup / max(len(lines), 1), upper / max(upper + lower, 1), text.count(b"!") / d, sum(map(bytes.__eq__, w, w[1:])) / d, drop(_DIGIT) / max(chars, 1), chars / d / 12)
+    shares = (symbols / d, repeated / d, 10 / d if n else math.inf, dup / max(len(lines), 1), upper / max(upper + lower, 1), text.count(b"!") / d, sum(map(bytes.__eq__, w, w[1:])) / d, drop(_DIGIT) / max(chars, 1), chars / d / 12, 1 - (upper + lower + high) / max(chars, 1), sum(map(text.count, _DOUBLED)) / d, (n - len(text.translate(None, _MARKS).split())) / d)
     votes = "".join("0" if x >= rule[2] else "1" if x <= rule[3] else "-" for x, rule in zip(shares, RULES, strict=True))
     return {"n_words": n, "word_chars": chars, "n_symbols": symbols, "n_dup_lines": dup, "n_repeat_words": repeated, "votes": votes}
 
@@ -99,9 +108,9 @@ def fit(patterns: list[tuple[str, int]], rules: int = len(RULES), rounds: int =
         for i in range(rules):
             votes = {(v, y): sum(n * (q[p] if y else 1 - q[p]) for p, n in patterns if p[i] == v) for v in "01" for y in (0, 1)}
             # prior counts: a rule is right on good documents nearly always, and sees a bad one now and then
-            on_good = (votes["1", 1] + 19 * pseudo) / (votes["0", 1] + votes["1", 1] + 20 * pseudo)
+            on_good = (votes["1", 1] + 10 * pseudo) / (votes["0", 1] + votes["1", 1] + 10.01 * pseudo)
             on_bad = (votes["0", 0] + 3 * pseudo) / (votes["0", 0] + votes["1", 0] + 10 * pseudo)
-            on_good, on_bad = min(max(on_good, 0.9), 1 - 1e-4), min(max(on_bad, 0.1), 1 - 1e-4)
+            on_good, on_bad = min(max(on_good, LEAST_ON_GOOD), 1 - 1e-4), min(max(on_bad, 0.1), 1 - 1e-4)
             weights.append((math.log((1 - on_good) / on_bad), math.log(on_good / (1 - on_bad))))
             accuracy.append((on_good, on_bad))
         odds0 = math.log(prior / (1 - prior))
@@ -126,7 +135,7 @@ def measure(docs: DataFrame, text: str = "text", keep: list[str] | None = None)
 
 
 def fit_votes(measured: DataFrame) -> VoteModel:
-    """At most 3 ** 9 pattern counts, over all rows, come to the driver."""
+    """At most 3 ** 12 pattern counts, over all rows, come to the driver."""
     counts = measured.groupBy(F.col("out.votes").alias("votes")).count().collect()
     return fit(sorted((r["votes"], r["count"]) for r in counts))
 
