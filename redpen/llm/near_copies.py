@@ -198,6 +198,11 @@ def _open(left: DataFrame, of: DataFrame) -> DataFrame:
     return labelled.join(homes.select("bucket", F.col("most.comp").alias("home")), "bucket")
 
 
+def _stars(of: DataFrame) -> DataFrame:
+    """What is known so far, as few edges as there are nodes."""
+    return of.where("node <> comp").select(F.col("node").alias("u"), F.col("comp").alias("v"))
+
+
 def sharing_rare(rest: DataFrame, texts: DataFrame) -> DataFrame:
     """(u, v): all pairs of (id, comp) nodes of different components that can be near.
 
@@ -255,8 +260,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bands:
     texts = stored(wanted.join(given, F.col("given").eqNullSafe(F.col("of")) & (F.col("hash") == F.col("of_hash"))).select("id", "n", "text").dropDuplicates(["id"]), "texts")
     release(spark)
 
-    edges = checkpoint(verify(members.where("id <> head").select(F.col("id").alias("u"), F.col("head").alias("v")).distinct(), texts))
-    of = components(edges)
+    of = components(verify(members.where("id <> head").select(F.col("id").alias("u"), F.col("head").alias("v")).distinct(), texts))
     left = members.select("bucket", "id", (F.col("id") == F.col("head")).alias("done"))
     for round_ in range(ROUNDS):
         left = checkpoint(_open(left, of))
@@ -267,16 +271,14 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bands:
         slot = F.pmod(F.xxhash64("id", F.lit(round_)), F.lit(HEADS))
         chosen = checkpoint(left.where("not done AND comp = home").groupBy("bucket", slot.alias("slot")).agg(F.min_by("id", F.xxhash64("id", F.lit(round_ + 1))).alias("head")).select("bucket", "head"))
         pairs = left.where("not done AND comp <> home").join(chosen, "bucket").select(F.least("id", "head").alias("u"), F.greatest("id", "head").alias("v")).distinct()
-        edges = checkpoint(edges.union(verify(pairs, texts)))
-        of = components(edges)
+        of = components(_stars(of).union(verify(pairs, texts)))
         now = chosen.select("bucket", F.col("head").alias("id"), F.lit(True).alias("now"))
         left = left.join(now, ["bucket", "id"], "left").select("bucket", "id", (F.col("done") | F.col("now").isNotNull()).alias("done"))
     left = checkpoint(_open(left, of))
     release(spark)
     if left.take(1):
         rest = checkpoint(left.select("id", "comp").distinct())
-        edges = checkpoint(edges.union(verify(sharing_rare(rest, texts), texts)))
-        of = components(edges)
+        of = components(_stars(of).union(verify(sharing_rare(rest, texts), texts)))
 
     named = nodes.select("node", "id").join(of.withColumnRenamed("node", "id"), "id", "left").select("node", F.coalesce("comp", "id").alias("comp"))
     alone = F.struct("doc_id", "text_hash")
