@@ -355,5 +355,5 @@ def report(docs: DataFrame, model: str, n: int = N_BEST, doc_id: str = "doc_id",
     back = decode(found, model)
     return back.select(
         "doc_id", "ids", F.size("ids").cast("long").alias("n_pieces"), "score", F.transform("n_best", lambda b: b["score"]).alias("n_best_scores"), "n_best",
-        (F.xxhash64("decoded") == F.col("text_hash")).alias("restored"),
+        F.when(F.col("ids").isNotNull(), F.xxhash64("decoded") == F.col("text_hash")).alias("restored"),
     )
