@@ -88,9 +88,9 @@ def correct_tokens(docs: DataFrame, counts: DataFrame, pairs: DataFrame, params:
     settled_first = F.col("rule").isNotNull() | F.col("gate0").isNotNull() | (F.col("tok") == "")
     word_gate = F.col("known") & protected_word(F.col("tok_l"))
     work = toks.where(~settled_first & ~word_gate).select(*KEYS, "known").distinct()
-    choice = decided(scored(work, counts, pairs, params), params, trace).drop("known")
-    same = [toks[k].eqNullSafe(choice[k]) for k in KEYS]
-    rows = toks.join(choice, same[0] & same[1] & same[2], "left").drop(*[choice[k] for k in KEYS])
+    choice = decided(scored(work, counts, pairs, params), params, trace).drop("known").withColumnsRenamed({k: f"of_{k}" for k in KEYS})
+    same = [F.col(k).eqNullSafe(F.col(f"of_{k}")) for k in KEYS]
+    rows = toks.join(choice, same[0] & same[1] & same[2], "left")
     by_rule = F.col("rule").isNotNull() & (F.lit(params.rules_before_gates) | F.col("gate0").isNull())
     gated = F.col("gate0").isNotNull() & ~by_rule
     applied = F.coalesce("applied", F.lit(False)) & ~by_rule & ~gated
