@@ -14,6 +14,16 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 ROW = "row"
 
 
+_KEPT: dict[str, dict] = {}
+
+
+def kept(owner: str) -> dict:
+    """What an operator keeps in a Python worker between tasks. A worker serves many operators; when one begins, what others have kept is let go."""
+    for other in [x for x in _KEPT if x != owner]:
+        del _KEPT[other]
+    return _KEPT.setdefault(owner, {})
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a temporary one only where the session names none (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -60,6 +70,7 @@ def per_text(df: DataFrame, text: str, schema: str, make: Callable[[], Callable[
     arrow_out = to_arrow_type(out_type)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("texts")
         work = make()
         for batch in batches:
             if batch.num_rows:

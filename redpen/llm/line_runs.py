@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from redpen.llm.common import ROW, checkpoint
+from redpen.llm.common import ROW, checkpoint, kept
 
 MIN_WORDS = 20
 BLANK = " \t\r\x0b\x0c"
@@ -48,6 +48,7 @@ def segments(lines: DataFrame) -> DataFrame:
     per_doc = lines.join(again, ["h1", "h2"]).groupBy("d", "t").agg(F.array_sort(F.collect_list(F.struct("p", "line", "h1", "h2", "words"))).alias("x"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("line_runs")
         for batch in batches:
             out: dict[str, list] = {k: [] for k in ("d", "t", "s", "at", "words", "names", "state")}
             for d, t, rows in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
@@ -88,6 +89,7 @@ def candidates(segs: DataFrame, step: int) -> DataFrame:
     """(key, d, t, s, i, l, seeks): for each state the name of the run that is ``step`` lines longer."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("line_runs")
         for batch in batches:
             rows: dict[str, list] = {k: [] for k in ("key", "d", "t", "s", "i", "l", "seeks")}
             for d, t, s, lines, state in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
@@ -113,6 +115,7 @@ def moved(segs: DataFrame, step: int) -> DataFrame:
     joined = segs.join(changes, F.col("d").eqNullSafe(F.col("cd")) & F.col("t").eqNullSafe(F.col("ct")) & (F.col("s") == F.col("cs")), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("line_runs")
         for batch in batches:
             out = []
             for state, changes in zip(batch.column(6).to_pylist(), batch.column(7).to_pylist(), strict=True):
@@ -150,6 +153,7 @@ def deletions(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_w
     """(d, t, gone): for each document that loses lines, the ranges of line numbers, in order, end exclusive."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("line_runs")
         for batch in batches:
             out: dict[str, list] = {"d": [], "t": [], "gone": []}
             for d, t, at, words, state in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
@@ -183,8 +187,8 @@ def cleaned(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_wor
     lines = F.split(F.col(f"{ROW}.`{text}`").cast("string"), "\n", -1)
     starts = F.concat(F.array(F.lit(0)), F.transform("gone", lambda g: g["end"]))
     ends = F.concat(F.transform("gone", lambda g: g["start"]), F.array(F.size("lines")))
-    kept = F.flatten(F.zip_with(starts, ends, lambda a, b: F.slice(F.col("lines"), a + 1, b - a)))
-    new = F.when(F.col("gone").isNull(), F.col(f"{ROW}.`{text}`")).otherwise(F.array_join(kept, "\n"))
+    stay = F.flatten(F.zip_with(starts, ends, lambda a, b: F.slice(F.col("lines"), a + 1, b - a)))
+    new = F.when(F.col("gone").isNull(), F.col(f"{ROW}.`{text}`")).otherwise(F.array_join(stay, "\n"))
     parts = [new.alias(c) if c == text else F.col(f"{ROW}.`{c}`").alias(c) for c in docs.columns]
     return both.withColumn("lines", F.when(F.col("gone").isNotNull(), lines)).select(F.struct(*parts).alias(ROW), "gone")
 

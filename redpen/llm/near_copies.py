@@ -29,7 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from redpen.llm.common import checkpoint, release, stored
+from redpen.llm.common import checkpoint, kept, release, stored
 from redpen.llm.components import components
 from redpen.llm.decontaminate import words
 
@@ -148,6 +148,7 @@ def sign(docs: DataFrame, doc_id: str, text: str, bands: int, rows: int) -> Data
     col = F.col(f"`{text}`").cast("string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("near_copies")
         signer = Signer(bands, rows)
         for batch in batches:
             for at in range(0, batch.num_rows, AT_ONCE):
@@ -175,13 +176,14 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Those (u, v) pairs whose texts are near. Several rows of one v follow each other, so its shingles are made once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, kept = None, Counter()
+        kept("near_copies")
+        last, bag_v = None, Counter()
         for batch in batches:
             us, vs, ok = batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
             for v, a, b in zip(vs, batch.column(2), batch.column(3), strict=True):
                 if v != last:
-                    last, kept = v, bag(b.as_py())
-                ok.append(near(bag(a.as_py()), kept))
+                    last, bag_v = v, bag(b.as_py())
+                ok.append(near(bag(a.as_py()), bag_v))
             yield pa.RecordBatch.from_arrays([pa.array([u for u, y in zip(us, ok, strict=True) if y], pa.int64()), pa.array([v for v, y in zip(vs, ok, strict=True) if y], pa.int64())], names=["u", "v"])
 
     one = pairs.join(texts.select(F.col("id").alias("u"), F.col("n").alias("n_u"), F.col("text").alias("text_u")), "u")

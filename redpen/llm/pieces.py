@@ -30,7 +30,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from redpen.llm.common import ROW
+from redpen.llm.common import ROW, kept
 
 N_BEST = 4
 CACHE_CHUNKS = 400_000
@@ -306,15 +306,12 @@ class Segmenter:
         return pa.StructArray.from_arrays([ids, score, n_best], fields=[pa.field("ids", pa.list_(pa.int32())), pa.field("score", pa.float64()), pa.field("n_best", N_BEST_TYPE)])
 
 
-_SEGMENTERS: dict[tuple, Segmenter] = {}
-
-
 def segmenter(path: str, n: int, scores: str) -> Segmenter:
     """One a Python worker, which serves many tasks."""
-    key = (path, n, scores)
-    if key not in _SEGMENTERS:
-        _SEGMENTERS[key] = Segmenter(Vocabulary(path, scores), n)
-    return _SEGMENTERS[key]
+    mine, key = kept("pieces"), (path, n, scores)
+    if key not in mine:
+        mine[key] = Segmenter(Vocabulary(path, scores), n)
+    return mine[key]
 
 
 def encode(docs: DataFrame, model: str, n: int = N_BEST, scores: str = "zipf", text: str = "text", keep: list[str] | None = None) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from redpen.llm.common import checkpoint, shared_dir
+from redpen.llm.common import checkpoint, kept, shared_dir
 
 MAGIC = b"EFTOKEN1"
 #: magic, writing task, number in the task, rows, null ids among them, token ids, width, base of the document ids
@@ -197,14 +197,12 @@ class Encoder:
         return b"".join(parts) + self.end
 
 
-_ENCODERS: dict[tuple, Encoder] = {}
-
-
 def encoder(path: str, end_id: int) -> Encoder:
     """One a Python worker, which serves many tasks."""
-    if (path, end_id) not in _ENCODERS:
-        _ENCODERS[path, end_id] = Encoder(path, end_id)
-    return _ENCODERS[path, end_id]
+    mine = kept("token_ids")
+    if (path, end_id) not in mine:
+        mine[path, end_id] = Encoder(path, end_id)
+    return mine[path, end_id]
 
 
 def write(docs: DataFrame, tokenizer: str, end_id: int, folder: str, doc_id: str = "doc_id", text: str = "text", block_ids: int = BLOCK_IDS) -> None:
