@@ -9,7 +9,7 @@ witness for what is left. In the end every place has the length of the longest r
 that also occurs from an earlier place, by document id, then line. The order of classes in the suffix array isn't
 needed, so names replace ranks and nothing is sorted globally.
 
-Such a run is deleted if it has at least ``min_words`` words; blank lines inside go with it. First occurrences stay, overlaps of a
+Every such run is deleted, however short; a caller may ask for at least ``min_words`` words. Blank lines inside go with it. First occurrences stay, overlaps of a
 run with itself count. Rows of equal id and text are one document and get equal results. Null texts have no lines
 and stay null. Null ids come first. Texts without a deleted run stay as they are, byte for byte.
 """
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from redpen.llm.common import ROW, checkpoint, kept
 
-MIN_WORDS = 20
+MIN_WORDS = 1
 BLANK = " \t\r\x0b\x0c"
 _PRIME = (1 << 127) - 1
 _BASE = 0x5851F42D4C957F2D14057B7EF767814F % _PRIME

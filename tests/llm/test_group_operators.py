@@ -64,6 +64,14 @@ def test_line_runs_edges(spark):
     assert line_runs.report(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_line_runs_deletes_short_runs_by_default(spark):
+    licence = "Licensed under the terms of the file"
+    docs = [(i, f"own line {i}\n{licence}\nmore of {i}\n\nEnd") for i in range(4)]
+    got = {r["doc_id"]: r["text"] for r in line_runs.report(clashing(spark, docs)).collect()}
+    assert got == {0: docs[0][1]} | {i: f"own line {i}\nmore of {i}\n" for i in range(1, 4)} == brute_lines(docs, 1)
+    assert {r["doc_id"]: r["text"] for r in line_runs.clean(clashing(spark, docs)).collect()} == got
+
+
 # -- near copies
 
 
