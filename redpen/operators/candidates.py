@@ -13,8 +13,8 @@ def deletion_index(vocab: DataFrame, max_length: int = 30, word: str = "word") -
     return vocab.where(F.length(word) <= max_length).select(F.explode(deletion_keys(F.col(word))).alias("del_key"), F.col(word).alias("word"))
 
 
-def candidates(tokens: DataFrame, counts: DataFrame, params: Params = Params(), token: str = "tok") -> DataFrame:
-    """(tok, cand, dist, cnt, rnk): for each distinct token the known words within two edits, most frequent first.
+def neighbours(tokens: DataFrame, counts: DataFrame, params: Params = Params(), token: str = "tok", within: int = 2) -> DataFrame:
+    """(tok, cand, dist, cnt): for each distinct token all known words within one or two edits.
 
     The key of a word with one or two letters is shared by many words; the join on keys spreads by key and
     skewed keys are split at run time. Pairs are cut by length before they are made distinct, and by plain
@@ -24,9 +24,13 @@ def candidates(tokens: DataFrame, counts: DataFrame, params: Params = Params(),
     index = deletion_index(known, params.max_index_length).withColumnRenamed("word", "cand")
     asked = tokens.select(F.col(token).alias("tok")).distinct()
     keys = asked.where(F.length("tok") <= params.max_index_length + 2).select("tok", F.explode(deletion_keys(F.col("tok"))).alias("del_key"))
-    close = F.abs(F.length("tok") - F.length("cand")) <= 2
+    close = F.abs(F.length("tok") - F.length("cand")) <= within
     pairs = keys.join(index, "del_key").where(close & (F.col("tok") != F.col("cand"))).select("tok", "cand").distinct()
-    near = pairs.withColumn("dist", distance_upto_2(F.col("tok"), F.col("cand"))).where(F.col("dist").isNotNull())
-    ranked = near.join(known.select(F.col("word").alias("cand"), "cnt"), "cand")
+    near = pairs.withColumn("dist", distance_upto_2(F.col("tok"), F.col("cand"))).where(F.col("dist") <= within)
+    return near.join(known.select(F.col("word").alias("cand"), "cnt"), "cand").select("tok", "cand", "dist", "cnt")
+
+
+def candidates(tokens: DataFrame, counts: DataFrame, params: Params = Params(), token: str = "tok") -> DataFrame:
+    """(tok, cand, dist, cnt, rnk): for each distinct token the known words within two edits, most frequent first."""
     rank = F.row_number().over(Window.partitionBy("tok").orderBy(F.desc("cnt"), "dist", F.desc("cand")))
-    return ranked.withColumn("rnk", rank).where(F.col("rnk") <= params.max_candidates).select("tok", "cand", "dist", "cnt", "rnk")
+    return neighbours(tokens, counts, params, token).withColumn("rnk", rank).where(F.col("rnk") <= params.max_candidates).select("tok", "cand", "dist", "cnt", "rnk")

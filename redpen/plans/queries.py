@@ -455,6 +455,6 @@ def hard_subset(spark, sf_dir):
 def confusion_pairs(spark, sf_dir):
     """The most frequent words with up to eight known neighbours one edit away."""
     counts = lexicon.unigrams(words(spark, sf_dir)).where("cnt >= 10 AND length(word) >= 4")
-    rows = cand.candidates(counts.select(F.col("word").alias("tok")), counts, Params(min_count=10)).where("dist = 1")
+    rows = cand.neighbours(counts.select(F.col("word").alias("tok")), counts, Params(min_count=10), within=1)
     rank = F.row_number().over(Window.partitionBy("tok").orderBy(F.desc("cnt"), "cand"))
     return rows.withColumn("k", rank.cast("long")).where("k <= 8").select(F.col("tok").alias("expected"), F.col("cand").alias("wrong"), "k")
