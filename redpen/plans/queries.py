@@ -208,7 +208,7 @@ def domain_rules(spark, sf_dir):
 
 @query
 def deletion_index(spark, sf_dir):
-    vocab = lexicon.vocabulary(lexicon.unigrams(words(spark, sf_dir)), 10)
+    vocab = lexicon.vocabulary(lexicon.unigrams(words(spark, sf_dir)))
     return cand.deletion_index(vocab).groupBy("del_key").agg(F.count("*").alias("n_words"), F.min("word").alias("first_word"))
 
 

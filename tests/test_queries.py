@@ -18,3 +18,15 @@ def test_confusion_pairs_finds_neighbours_behind_80_more_frequent_words(spark, t
     words = ["word"] * 10 + near * 10 + far * 20
     got = {(r["wrong"], r["k"]) for r in QUERIES["confusion_pairs"](spark, documents(spark, tmp_path, [" ".join(words)])).where("expected = 'word'").collect()}
     assert got == {("sord", 1), ("ward", 2), ("wore", 3)}
+
+
+def test_deletion_index_holds_all_words_of_count_3(spark, tmp_path):
+    counts = {"treatment": 12, "infection": 10, "infections": 9, "patient": 3, "patients": 2, "an": 3}
+    sf_dir = documents(spark, tmp_path, [" ".join(w for w, n in counts.items() for _ in range(n))])
+    once = lambda w: {w[:i] + w[i + 1 :] for i in range(len(w))}
+    keys = {w: {w} | once(w) | {y for x in once(w) for y in once(x)} for w, n in counts.items() if n >= 3}
+    n_words, first = Counter(k for x in keys.values() for k in x), {}
+    for w in sorted(keys, reverse=True):
+        first |= dict.fromkeys(keys[w], w)
+    got = {(r["del_key"], r["n_words"], r["first_word"]) for r in QUERIES["deletion_index"](spark, sf_dir).collect()}
+    assert got == {(k, n, first[k]) for k, n in n_words.items()}
