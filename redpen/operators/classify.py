@@ -70,12 +70,20 @@ def probability_shift(before: DataFrame, after: DataFrame) -> DataFrame:
     return rows.select("label", a.alias("before"), b.alias("after"), (b - a).alias("delta"))
 
 
-def feature_frame(weights: DataFrame, labels: DataFrame, label: str, size: int = 1 << 16) -> DataFrame:
-    """(doc_id, label, features, weight) for pyspark.ml: weights hashed into a sparse vector; classes weighted alike."""
+def term_ids(df: DataFrame) -> DataFrame:
+    """(term, slot): all terms numbered from 0 in their order. Spark numbers sorted partitions, so no task sees all terms."""
+    rows = df.select("term").distinct().orderBy("term").rdd.zipWithIndex().map(lambda x: (x[0][0], x[1]))
+    return df.sparkSession.createDataFrame(rows, "term string, slot int").cache()
+
+
+def feature_frame(weights: DataFrame, labels: DataFrame, label: str) -> DataFrame:
+    """(doc_id, label, features, weight) for pyspark.ml: weights as a sparse vector, one feature a term; classes weighted alike."""
     from pyspark.ml.linalg import SparseVector, VectorUDT
 
-    slot = F.pmod(F.xxhash64("term"), F.lit(size)).cast("int")
-    cells = weights.groupBy("doc_id", slot.alias("slot")).agg(F.sum("weight").alias("w"))
+    weights = weights.cache()
+    ids = term_ids(weights)
+    size = ids.count()
+    cells = weights.join(ids, "term").select("doc_id", "slot", F.col("weight").alias("w"))
     pairs = cells.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("slot", "w"))).alias("c"))
     n = Window.partitionBy(label)
     make = F.udf(lambda i, x: SparseVector(size, i, x), VectorUDT())  # at the boundary to ML only

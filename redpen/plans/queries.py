@@ -342,7 +342,7 @@ def logreg_topic(spark, sf_dir):
     n = n_labelled(spark, sf_dir)
     labels = prepare.split(table(spark, sf_dir, "labels").where("quality IS NOT NULL").join(words(spark, sf_dir).where(F.size("words") > 0).select("doc_id"), "doc_id"), "quality", "doc_id")
     tf_ = labelled_terms(spark, sf_dir)
-    frame = classify.feature_frame(classify.tfidf(tf_, classify.doc_frequency(tf_, n), n), labels.select("doc_id", "quality"), "quality", 1 << 14).cache()
+    frame = classify.feature_frame(classify.tfidf(tf_, classify.doc_frequency(tf_, n), n), labels.select("doc_id", "quality"), "quality").cache()
     train = frame.join(labels.where("not is_test").select("doc_id"), "doc_id")
     test = frame.join(labels.where("is_test").select("doc_id"), "doc_id")
     return evaluate.scores(classify.logistic(train).transform(test), "label", "prediction")
@@ -354,7 +354,7 @@ def svm_topic(spark, sf_dir):
     n = n_labelled(spark, sf_dir)
     tf_ = labelled_terms(spark, sf_dir)
     labels = tf_.select("doc_id", "quality").distinct()
-    frame = classify.feature_frame(classify.tfidf(tf_, classify.doc_frequency(tf_, n), n), labels, "quality", 1 << 12).cache()
+    frame = classify.feature_frame(classify.tfidf(tf_, classify.doc_frequency(tf_, n), n), labels, "quality").cache()
     _, calibration = classify.linear_svm(frame)
     return spark.createDataFrame([(float(calibration.coefficients[0]), float(calibration.intercept))], "slope double, intercept double")
 

@@ -2,8 +2,10 @@
 
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
+from redpen.operators import classify
 from redpen.plans.queries import QUERIES
 
 
@@ -30,3 +32,32 @@ def test_deletion_index_holds_all_words_of_count_3(spark, tmp_path):
         first |= dict.fromkeys(keys[w], w)
     got = {(r["del_key"], r["n_words"], r["first_word"]) for r in QUERIES["deletion_index"](spark, sf_dir).collect()}
     assert got == {(k, n, first[k]) for k, n in n_words.items()}
+
+
+def test_feature_frame_has_one_feature_a_term(spark):
+    names = [f"term {i:05d}" for i in range(2000)]
+    rows = [(d, t, float(1 + i)) for d in range(2) for i, t in enumerate(names) if (i + d) % 3]
+    weights = spark.createDataFrame(rows, "doc_id long, term string, weight double").repartition(5)
+    labels = spark.createDataFrame([(0, 0), (1, 1)], "doc_id long, y int")
+    got = {r["doc_id"]: r["features"] for r in classify.feature_frame(weights, labels, "y").collect()}
+    for d, x in got.items():
+        assert x.size == len(names) and dict(zip(x.indices.tolist(), x.values.tolist(), strict=True)) == {names.index(t): w for e, t, w in rows if e == d}
+
+
+def test_topic_queries_use_as_many_features_as_terms(spark, tmp_path, monkeypatch):
+    texts = [" ".join(f"{'ab'[i % 2]}{chr(97 + (i + k) % 26)}{chr(97 + k % 26)}" for k in range(40)) for i in range(40)]
+    sf_dir = documents(spark, tmp_path, texts)
+    spark.range(40).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("quality")).write.parquet(f"{sf_dir}/labels.parquet")
+    grams = [Counter({*t.split(), *map(" ".join, zip(t.split(), t.split()[1:], strict=False))}) for t in texts]
+    terms = sum(2 <= n <= 0.95 * len(texts) for n in sum(grams, Counter()).values())
+    sizes, frame = [], classify.feature_frame
+
+    def only_frame(*args):
+        sizes.append(frame(*args).first()["features"].size)
+        raise StopIteration
+
+    monkeypatch.setattr(classify, "feature_frame", only_frame)
+    for name in ("svm_topic", "logreg_topic"):
+        with pytest.raises(StopIteration):
+            QUERIES[name](spark, sf_dir)
+    assert sizes == [terms, terms]
