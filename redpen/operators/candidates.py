@@ -1,8 +1,8 @@
-"""Candidate retrieval: a join on deletion keys, then the exact distance."""
+"""Candidate retrieval: a join on deletion keys, or on parts of long words, then the exact distance."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from redpen.functions.distance import deletion_keys, distance_upto_2
 from redpen.params import Params
@@ -13,6 +13,28 @@ def deletion_index(vocab: DataFrame, max_length: int = 30, word: str = "word") -
     return vocab.where(F.length(word) <= max_length).select(F.explode(deletion_keys(F.col(word))).alias("del_key"), F.col(word).alias("word"))
 
 
+PARTS = 5
+
+
+def _part(word: Column, length: Column, k: int, shift: int = 0) -> Column:
+    """The k-th of PARTS parts of words of a length, moved by some letters; null where it would begin before the word."""
+    start = F.floor(length * k / PARTS).cast("int")
+    n = F.floor(length * (k + 1) / PARTS).cast("int") - start
+    return F.when(start + shift >= 0, F.struct(length.alias("length"), F.lit(k).alias("k"), F.substring(word, start + 1 + shift, n).alias("part")))
+
+
+def long_pairs(asked: DataFrame, known: DataFrame, over: int) -> DataFrame:
+    """(tok, cand): known words of more than ``over`` letters that may be within two edits.
+
+    Two edits, swaps included, touch four of a word's five parts at most, so one part stands in the token,
+    moved by two letters at most. A word makes 5 keys and a token 125, whatever their lengths.
+    """
+    index = known.where(F.length("word") > over).select(F.col("word").alias("cand"), F.explode(F.array(*[_part(F.col("word"), F.length("word"), k) for k in range(PARTS)])).alias("key"))
+    probes = [_part(F.col("tok"), F.length("tok") + more, k, shift) for more in range(-2, 3) for k in range(PARTS) for shift in range(-2, 3)]
+    keys = asked.where(F.length("tok") > over - 2).select("tok", F.explode(F.array(*probes)).alias("key")).where("key IS NOT NULL").distinct()
+    return keys.join(index, "key").select("tok", "cand").distinct().where(F.levenshtein("tok", "cand", 4) >= 0)
+
+
 def neighbours(tokens: DataFrame, counts: DataFrame, params: Params = Params(), token: str = "tok", within: int = 2) -> DataFrame:
     """(tok, cand, dist, cnt): for each distinct token all known words within one or two edits.
 
@@ -26,6 +48,7 @@ def neighbours(tokens: DataFrame, counts: DataFrame, params: Params = Params(),
     keys = asked.where(F.length("tok") <= params.max_index_length + 2).select("tok", F.explode(deletion_keys(F.col("tok"))).alias("del_key"))
     close = F.abs(F.length("tok") - F.length("cand")) <= within
     pairs = keys.join(index, "del_key").where(close & (F.col("tok") != F.col("cand"))).select("tok", "cand").distinct()
+    pairs = pairs.unionByName(long_pairs(asked, known, params.max_index_length).where(close & (F.col("tok") != F.col("cand"))))
     near = pairs.withColumn("dist", distance_upto_2(F.col("tok"), F.col("cand"))).where(F.col("dist") <= within)
     return near.join(known.select(F.col("word").alias("cand"), "cnt"), "cand").select("tok", "cand", "dist", "cnt")
 

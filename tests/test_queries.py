@@ -1,11 +1,12 @@
 """Registered queries on small tables, against brute force."""
 
+import random
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
-from redpen.operators import classify
+from redpen.operators import candidates as cand, classify
 from redpen.plans.queries import QUERIES
 
 
@@ -61,3 +62,26 @@ def test_topic_queries_use_as_many_features_as_terms(spark, tmp_path, monkeypatc
         with pytest.raises(StopIteration):
             QUERIES[name](spark, sf_dir)
     assert sizes == [terms, terms]
+
+
+def test_candidates_of_long_words(spark):
+    rng = random.Random(4)
+    known = ["".join(rng.choice("abcde") for _ in range(n)) for n in (28, 29, 30, 31, 32, 33, 36, 47, 120)]
+    asked, want = [], set()
+    for w in known:
+        for _ in range(25):
+            t = w
+            for _ in range(rng.choice([1, 2])):
+                i, op = rng.randrange(len(t) - 1), rng.randrange(4)
+                t = t[:i] + ("z" + t[i + 1 :], "z" + t[i:], t[i + 1 :], t[i + 1] + t[i] + t[i + 2 :])[op]
+            if t not in known:
+                asked.append(t)
+                want.add((t, w))
+    x, y = known[5], len(known[5]) // 5
+    astride = x[: y - 1] + x[y] + x[y - 1] + x[y + 1 : 3 * y - 1] + x[3 * y] + x[3 * y - 1] + x[3 * y + 1 :]
+    asked += [astride]
+    want |= {(astride, x)} if astride != x else set()
+    tokens = spark.createDataFrame([(t,) for t in asked], "tok string")
+    counts = spark.createDataFrame([(w, 5) for w in known], "word string, cnt long")
+    got = cand.candidates(tokens, counts).collect()
+    assert {(r["tok"], r["cand"]) for r in got} == want and len(got) == len(want) and {r["dist"] for r in got} == {1, 2}
