@@ -407,7 +407,8 @@ def bootstrap_ci(spark, sf_dir):
 @query
 def prob_shift(spark, sf_dir):
     rows = predictions(spark, sf_dir)
-    share = lambda c: rows.where(f"{c} = 1 OR doc_id % 2 = 0").groupBy(F.concat(F.lit(c[0]), F.col(c).cast("string")).alias("label")).agg((F.count("*") / 100).alias("p"))
+    total = F.broadcast(rows.agg(F.count("*").alias("total")))
+    share = lambda c: rows.groupBy(F.col(c).cast("string").alias("label")).agg(F.count("*").alias("n")).crossJoin(total).select("label", (F.col("n") / F.col("total")).alias("p"))
     out = classify.probability_shift(share("noisy"), share("safety"))
     return out.select("label", milli(F.col("before")).alias("before_milli"), milli(F.col("after")).alias("after_milli"), milli(F.col("delta")).alias("delta_milli"))
 

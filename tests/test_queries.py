@@ -1,5 +1,6 @@
 """Registered queries on small tables, against brute force."""
 
+import math
 import random
 from collections import Counter
 
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from redpen.operators import candidates as cand, classify
-from redpen.plans.queries import QUERIES
+from redpen.plans.queries import QUERIES, predictions
 
 
 def documents(spark, folder, texts):
@@ -85,3 +86,14 @@ def test_candidates_of_long_words(spark):
     counts = spark.createDataFrame([(w, 5) for w in known], "word string, cnt long")
     got = cand.candidates(tokens, counts).collect()
     assert {(r["tok"], r["cand"]) for r in got} == want and len(got) == len(want) and {r["dist"] for r in got} == {1, 2}
+
+
+def test_prob_shift_is_a_shift_of_shares(spark, tmp_path):
+    spark.range(300).select(F.col("id").alias("doc_id"), (F.col("id") % 3 == 0).cast("int").alias("quality")).write.parquet(f"{tmp_path}/labels.parquet")
+    runs = predictions(spark, str(tmp_path)).collect()
+    got = {r["label"]: r for r in QUERIES["prob_shift"](spark, str(tmp_path)).collect()}
+    assert sorted(got) == ["0", "1"]
+    for label, r in got.items():
+        before, after = (sum(str(x[c]) == label for x in runs) / len(runs) for c in ("noisy", "safety"))
+        assert r["before_milli"] == math.floor(before * 1000 + 0.5) and r["after_milli"] == math.floor(after * 1000 + 0.5)
+        assert r["delta_milli"] == math.floor((after - before) * 1000 + 0.5)
