@@ -106,7 +106,7 @@ def weak_label(spark, sf_dir):
 
 @query
 def label_cap(spark, sf_dir):
-    return prepare.cap_per_class(labelled(spark, sf_dir), "label", "doc_id", 50).select("doc_id", "label", F.col("rank").cast("long").alias("rank"))
+    return prepare.cap_per_class(labelled(spark, sf_dir), "label", "doc_id", 10000).select("doc_id", "label", F.col("rank").cast("long").alias("rank"))
 
 
 @query
@@ -401,7 +401,7 @@ def label_flips(spark, sf_dir):
 
 @query
 def bootstrap_ci(spark, sf_dir):
-    return evaluate.bootstrap(predictions(spark, sf_dir), "truth", "noisy", "restored", 400)
+    return evaluate.bootstrap(predictions(spark, sf_dir), "truth", "noisy", "restored")
 
 
 @query

@@ -7,7 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from redpen.operators import candidates as cand, classify
+from redpen.operators import candidates as cand, classify, evaluate
 from redpen.plans.queries import QUERIES, predictions
 
 
@@ -97,3 +97,11 @@ def test_prob_shift_is_a_shift_of_shares(spark, tmp_path):
         before, after = (sum(str(x[c]) == label for x in runs) / len(runs) for c in ("noisy", "safety"))
         assert r["before_milli"] == math.floor(before * 1000 + 0.5) and r["after_milli"] == math.floor(after * 1000 + 0.5)
         assert r["delta_milli"] == math.floor((after - before) * 1000 + 0.5)
+
+
+def test_label_cap_and_bootstrap_take_their_production_sizes(spark, tmp_path):
+    sf_dir = documents(spark, tmp_path, ["x" * 80 + " thing shed ble"] * 70)
+    assert QUERIES["label_cap"](spark, sf_dir).count() == 70
+    spark.range(60).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("quality")).write.parquet(f"{sf_dir}/labels.parquet")
+    want = evaluate.bootstrap(predictions(spark, sf_dir), "truth", "noisy", "restored", 1000).collect()
+    assert QUERIES["bootstrap_ci"](spark, sf_dir).collect() == want
