@@ -118,6 +118,11 @@ class Block:
         base = np.uint64(self.base % 2**64)
         return [None] * self.nulls + (self._names.all() + base).astype(np.int64).tolist()
 
+    def bounds(self) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and ends of all documents, each end by select."""
+        ends = np.array([self.ends.select(i) for i in range(self.rows)], np.int64)
+        return np.concatenate([[0], ends[:-1]]).astype(np.int64), ends
+
     def document(self, i: int) -> np.ndarray:
         return self.ids[self.ends.select(i - 1) if i else 0 : self.ends.select(i)]
 
@@ -246,8 +251,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
                 while at < len(data):
                     b = Block(data, at)
                     at = b.end + 1
-                    ends = b.ends.all().astype(np.int64)
-                    starts = np.concatenate([[0], ends[:-1]])
+                    starts, ends = b.bounds()
                     wide = b.ids.astype("<u4")
                     crcs = [zlib.crc32(wide[s:e]) for s, e in zip(starts, ends, strict=True)]
                     yield pa.RecordBatch.from_pydict({"task": pa.array([b.task] * b.rows, pa.int64()), "number": pa.array([b.number] * b.rows, pa.int64()), "doc_id": pa.array(b.names(), pa.int64()), "at": pa.array(starts, pa.int64()), "n_tokens": pa.array(ends - starts, pa.int64()), "ids_crc32": pa.array(crcs, pa.int64())})

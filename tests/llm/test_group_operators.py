@@ -274,3 +274,12 @@ def test_pipeline(spark, tmp_path):
     assert set(out) == {d for d, _ in clean} | {102, 103}
     assert all(r["restored"] for r in out.values()) and out[103]["n_pieces"] < out[102]["n_pieces"]
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "line_dedup", "near_copies", "decontaminate", "pieces"]
+
+
+def test_token_ids_bounds_come_from_select(monkeypatch):
+    ids = [bytes(2 * (k % 7)) for k in range(1500)]
+    b = token_ids.Block(memoryview(token_ids.Block.pack(0, 0, list(range(1500)), ids, 2)))
+    monkeypatch.setattr(token_ids.EliasFano, "all", None)
+    starts, ends = b.bounds()
+    assert (ends - starts).tolist() == [len(x) // 2 for x in ids] and starts[0] == 0 and (starts[1:] == ends[:-1]).all()
+    assert all(len(b.document(i)) == ends[i] - starts[i] for i in (0, 511, 512, 1499))
