@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import gc
-import tempfile
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 #: Name under which an operator carries its caller's whole row, so that no column of the caller can clash.
@@ -17,22 +17,48 @@ ROW = "row"
 _KEPT: dict[str, dict] = {}
 
 
+def _trim() -> None:
+    """Give memory that was let go back to the system; the allocators would keep it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def kept(owner: str) -> dict:
     """What an operator keeps in a Python worker between tasks. A worker serves many operators; when one begins, what others have kept is let go."""
-    for other in [x for x in _KEPT if x != owner]:
-        del _KEPT[other]
+    if others := [x for x in _KEPT if x != owner]:
+        for other in others:
+            del _KEPT[other]
+        _trim()
     return _KEPT.setdefault(owner, {})
 
 
+def slices(batch: pa.RecordBatch, column: int, rows: int, size: int) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of at most ``rows`` rows and about ``size`` bytes in one of its columns, and of one row at least."""
+    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
+    start = total = 0
+    for i, n in enumerate(lengths):
+        if i > start and (i - start >= rows or total + n > size):
+            yield batch.slice(start, i - start)
+            start, total = i, 0
+        total += n
+    if len(lengths) > start:
+        yield batch.slice(start)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="redpen-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
+    """The folder that driver and executors share."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("name a folder that driver and executors share in spark.checkpoint.dir")
+    import tempfile  # one process: tests and trials
+
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="redpen-"))
+    return spark.sparkContext.getCheckpointDir()
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
@@ -41,17 +67,32 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let go of shuffle files and checkpoints that nothing refers to any more; else they wait for the driver's next collection."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """A copy as a table in the shared folder, for wide rows that several later steps read."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+class Scratch:
+    """Tables of one run of an operator, in a folder of their own in the shared folder. They cut the lineage, and are deleted once nothing reads them."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.folder = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.paths: dict[str, list[str]] = {}
+
+    def table(self, df: DataFrame, name: str) -> DataFrame:
+        """A copy of ``df``. A later table of the same name leaves the earlier ones as they are until its own is written."""
+        earlier = self.paths.setdefault(name, [])
+        path = f"{self.folder}/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        for old in earlier[:-1]:
+            self._delete(old)
+        self.paths[name] = [*earlier[-1:], path]
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            for path in self.paths.pop(name, []):
+                self._delete(path)
+
+    def _delete(self, path: str) -> None:
+        jvm = self.spark.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def per_text(df: DataFrame, text: str, schema: str, make: Callable[[], Callable[[list], Iterator | list]], keep: list[str] | None = None, encode: bool = True) -> DataFrame:

@@ -9,14 +9,15 @@ about its number of shingles plus m log m points, whatever the weights. Two sign
 register with the probability of the weighted Jaccard similarity.
 
 Texts of equal words are one node. Nodes that share a band of registers are candidates; candidate
-pairs are verified by the exact multiset overlap. A bucket first compares all its nodes with its
-first one, then those outside its largest component with some more of that. What is still apart then is searched by
-an exact join on rare shingles, which finds every near pair that is left. So all links between candidates hold, hot
-groups of true copies take few comparisons, and no pair is dropped.
+pairs are verified by the exact multiset overlap. A bucket compares all its nodes with its most central
+one, that which shares most buckets with others; so groups of true copies take a star of comparisons. Buckets whose nodes are then not all in
+one component are searched by an exact prefix join, which finds every near pair that is left. All links between
+candidates hold, and no pair is dropped.
 
 Words are as in decontamination: lower-cased runs of digits, letters a-z and code points from U+0080 on.
 Documents without words (null or empty texts too) are alone in their class, but rows of equal id and text are copies. Class ids are the
-smallest document ids of a class.
+smallest document ids of a class, null coming first. Very long texts are taken whole, a few at a time. An empty table
+gives no rows. A caller's other columns may have any names.
 """
 
 from __future__ import annotations
@@ -27,19 +28,22 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from redpen.llm.common import checkpoint, kept, release, stored
+from redpen.llm.common import Scratch, kept, slices
 from redpen.llm.components import components
 from redpen.llm.decontaminate import words
 
 SHINGLE = 5
 BANDS, ROWS = 24, 4
-#: Rounds in which the rest of a bucket is compared with further nodes of its largest component, and how many at a time.
-ROUNDS, HEADS = 3, 4
 #: A pair is near if PARTS times its common weight is at least PARTS - 1 times its joint weight.
 PARTS = 5
-AT_ONCE = 500
+#: With c common of a + b shingles this is WHOLE * c >= SHARE * (a + b).
+WHOLE, SHARE = 2 * PARTS - 1, PARTS - 1
+#: Texts, and bytes of text, that are signed at once in a worker.
+AT_ONCE, BYTES_AT_ONCE = 400, 1_000_000
+#: Lengths within this ratio are one class in the prefix join.
+LENGTHS = 1.05
 CACHE_WORDS = 300_000
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -143,22 +147,35 @@ class Signer:
         return digests, counts, bands
 
 
-def sign(docs: DataFrame, doc_id: str, text: str, bands: int, rows: int) -> DataFrame:
-    """(doc_id, text_hash, node, n, bands) of every document; node is null where there are no words."""
-    col = F.col(f"`{text}`").cast("string")
+def sign(rows: DataFrame, bands: int, registers: int) -> DataFrame:
+    """(doc_id, h1, h2, node, n, bands) of rows (doc_id, h1, h2, alone, text). Rows without words get a node of their own, their id and text, and no bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept("near_copies")
-        signer = Signer(bands, rows)
+        signer = Signer(bands, registers)
         for batch in batches:
-            for at in range(0, batch.num_rows, AT_ONCE):
-                part = batch.slice(at, AT_ONCE)
-                digests, counts, hashes = signer.sign(part.column(2).to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(digests, pa.binary()), pa.array(counts, pa.int64()), pa.array(hashes, pa.list_(pa.int64()))], names=["doc_id", "text_hash", "node", "n", "bands"])
+            for part in slices(batch, 4, AT_ONCE, BYTES_AT_ONCE):
+                digests, counts, hashes = signer.sign(part.column(4).to_pylist())
+                nodes = [a if d is None else d for d, a in zip(digests, part.column(3).to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(nodes, pa.binary()), pa.array(counts, pa.int64()), pa.array(hashes, pa.list_(pa.int64()))], names=["doc_id", "h1", "h2", "node", "n", "bands"])
 
-    rows_ = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(col).alias("text_hash"), col.cast("binary").alias("text"))
-    kind = rows_.schema["doc_id"].dataType.simpleString()
-    return rows_.mapInArrow(run, f"doc_id {kind}, text_hash long, node binary, n long, bands array<long>")
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"doc_id {kind}, h1 long, h2 long, node binary, n long, bands array<long>")
+
+
+def hashes(docs: DataFrame) -> tuple[Column, Column]:
+    """128 bits of a whole row, but for columns that can't be hashed (maps). Rows alike in this are taken for one row that is repeated."""
+    cols = [F.col(f"`{f.name}`") for f in docs.schema if not any(x in f.dataType.simpleString() for x in ("map<", "variant"))]
+    return F.xxhash64(F.lit(1), F.struct(*cols)), F.xxhash64(F.lit(2), F.struct(*cols))
+
+
+def keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(doc_id, h1, h2, alone, text): what is signed of each row."""
+    col, name = F.col(f"`{text}`").cast("string"), F.col(f"`{doc_id}`")
+    h1, h2 = hashes(docs)
+    null = F.struct(name, col)
+    alone = F.unhex(F.concat(F.lit("00"), F.lpad(F.hex(F.xxhash64(F.lit(3), null)), 16, "0"), F.lpad(F.hex(F.xxhash64(F.lit(4), null)), 16, "0")))
+    return docs.select(name.alias("doc_id"), h1.alias("h1"), h2.alias("h2"), alone.alias("alone"), col.cast("binary").alias("text"))
 
 
 def bag(text: bytes | None) -> Counter:
@@ -169,7 +186,7 @@ def bag(text: bytes | None) -> Counter:
 def near(a: Counter, b: Counter) -> bool:
     small, large = (a, b) if len(a) <= len(b) else (b, a)
     common = sum(min(n, large[x]) for x, n in small.items() if x in large)
-    return PARTS * common >= (PARTS - 1) * (a.total() + b.total() - common)
+    return WHOLE * common >= SHARE * (a.total() + b.total())
 
 
 def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -186,111 +203,111 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 ok.append(near(bag(a.as_py()), bag_v))
             yield pa.RecordBatch.from_arrays([pa.array([u for u, y in zip(us, ok, strict=True) if y], pa.int64()), pa.array([v for v, y in zip(vs, ok, strict=True) if y], pa.int64())], names=["u", "v"])
 
-    one = pairs.join(texts.select(F.col("id").alias("u"), F.col("n").alias("n_u"), F.col("text").alias("text_u")), "u")
-    two = one.join(texts.select(F.col("id").alias("v"), F.col("n").alias("n_v"), F.col("text").alias("text_v")), "v")
-    alike = F.least("n_u", "n_v") * PARTS >= F.greatest("n_u", "n_v") * (PARTS - 1)  # a bound on the overlap
-    return two.where(alike).select("u", "v", "text_u", "text_v").mapInArrow(run, "u long, v long")
-
+    # lengths first: they rule out pairs before any text is moved
+    sizes = texts.select("id", "n")
+    one = pairs.join(sizes.select(F.col("id").alias("u"), F.col("n").alias("n_u")), "u").join(sizes.select(F.col("id").alias("v"), F.col("n").alias("n_v")), "v")
+    alike = one.where(F.least("n_u", "n_v") * PARTS >= F.greatest("n_u", "n_v") * (PARTS - 1)).select("u", "v")
+    with_u = alike.join(texts.select(F.col("id").alias("u"), F.col("text").alias("text_u")), "u")
+    return with_u.join(texts.select(F.col("id").alias("v"), F.col("text").alias("text_v")), "v").select("u", "v", "text_u", "text_v").mapInArrow(run, "u long, v long")
 
-def _open(left: DataFrame, of: DataFrame) -> DataFrame:
-    """The nodes of buckets in which nodes not yet compared with all the others are in different components, with their component and the bucket's largest."""
-    labelled = left.select("bucket", "id", "done").join(of, F.col("id") == F.col("node"), "left").select("bucket", "id", "done", F.coalesce("comp", "id").alias("comp"))
-    sizes = labelled.where("not done").groupBy("bucket", "comp").agg(F.count("*").alias("k"))
-    homes = sizes.groupBy("bucket").agg(F.max(F.struct("k", "comp")).alias("most"), F.count("*").alias("comps")).where("comps > 1")
-    return labelled.join(homes.select("bucket", F.col("most.comp").alias("home")), "bucket")
 
+def buckets(nodes: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(bucket, id) of the buckets with two nodes or more, and (bucket, head): the node of each that shares most buckets with others."""
+    exploded = nodes.select("id", F.explode("bands").alias("bucket"))
+    sizes = exploded.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    members = scratch.table(exploded.join(sizes, "bucket").select("bucket", "id", "size"), "members")
+    central = members.groupBy("id").agg(F.sum("size").alias("central"))
+    heads = members.join(central, "id").groupBy("bucket").agg(F.max(F.struct("central", (-F.col("id")).alias("less"))).alias("most"))
+    return members.select("bucket", "id"), heads.select("bucket", (-F.col("most.less")).alias("head"))
 
-def _stars(of: DataFrame) -> DataFrame:
-    """What is known so far, as few edges as there are nodes."""
-    return of.where("node <> comp").select(F.col("node").alias("u"), F.col("comp").alias("v"))
 
+def still_apart(members: DataFrame, of: DataFrame) -> DataFrame:
+    """(id, comp): the nodes of buckets whose nodes are in different components."""
+    labelled = members.join(of.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", F.coalesce("comp", "id").alias("comp"))
+    apart = labelled.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket")
+    return labelled.join(apart, "bucket", "left_semi").select("id", "comp").distinct()
 
-def sharing_rare(rest: DataFrame, texts: DataFrame) -> DataFrame:
-    """(u, v): all pairs of (id, comp) nodes of different components that can be near.
 
-    If n is the larger number of shingles, near texts share at least (PARTS - 1) / PARTS of n. So, in any one order
-    of shingles, they share one among the first n - that + 1 of each. The order is by rarity, so that
-    texts of one origin with many changes of their own share none of those.
-    """
+def shingle_keys(rest: DataFrame, texts: DataFrame) -> DataFrame:
+    """(id, comp, n, keys): the shingles of each node, the second of a kind as a key of its own and so on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("near_copies")
         signer = Signer(BANDS, ROWS)
         for batch in batches:
-            for at in range(0, batch.num_rows, 100):
-                part = batch.slice(at, 100)
-                ids, comps, keys = [], [], []
-                for i, comp, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
+            for part in slices(batch, 3, AT_ONCE, BYTES_AT_ONCE):
+                out = []
+                for text in part.column(3).to_pylist():
                     distinct, counts = np.unique(signer.shingles(words(text)), return_counts=True)
                     again = np.repeat(distinct, counts)
                     nth = np.arange(len(again)) - np.repeat(np.cumsum(counts) - counts, counts)
                     with np.errstate(over="ignore"):
-                        key = mix(again + nth.astype(np.uint64) * _B).view(np.int64)
-                    keys.append(key)
-                    ids.append(np.full(len(key), i))
-                    comps.append(np.full(len(key), comp))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in (ids, comps, keys)], names=["id", "comp", "key"])
-
-    rows = rest.join(texts, "id").select("id", "comp", "text").mapInArrow(run, "id long, comp long, key long")
-    keyed = stored(rows, "shingles")
-    many = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    # a place among a text's shingles: those that only it has come first, whatever their order
-    sizes = keyed.groupBy("id").agg(F.count("*").alias("size"))
-    shared = keyed.join(many, "key").join(sizes, "id")
-    w = Window.partitionBy("id")
-    alone = F.col("size") - F.count("*").over(w)
-    first = F.col("size") - F.ceil(F.col("size") * (PARTS - 1) / PARTS) + 1
-    prefix = checkpoint(shared.withColumn("place", alone + F.row_number().over(w.orderBy("n", "key"))).where(F.col("place") <= first).select("key", "id", "comp"))
-    other = prefix.select("key", F.col("id").alias("id2"), F.col("comp").alias("comp2"))
-    return prefix.join(other, "key").where("id < id2 AND comp <> comp2").select(F.col("id").alias("u"), F.col("id2").alias("v")).distinct()
+                        out.append(mix(again + nth.astype(np.uint64) * _B).view(np.int64))
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(out, pa.list_(pa.int64()))], names=["id", "comp", "n", "keys"])
+
+    return rest.join(texts, "id").select("id", "comp", "n", "text").mapInArrow(run, "id long, comp long, n long, keys array<long>")
+
+
+def length_class(n: Column) -> Column:
+    return F.floor(F.log(n) / F.log(F.lit(LENGTHS))).cast("int")
+
+
+def sharing_rare(rest: DataFrame, texts: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    """(u, v), u the smaller id: all pairs of (id, comp) nodes of different components that can be near, and few others.
+
+    Put the shingles of each node in one order: first those that occur in no other component, then by rarity.
+    With c common shingles, near means WHOLE * c >= SHARE * (n_u + n_v). If the first common one is the i-th of u
+    and the j-th of v (from 0), c is at most n_u - i and n_v - j. So i is at most a fifth of n_u, for the shorter text v
+    j is at most a ninth of n_v, and i bounds how long v can be. A node with many shingles of its own thus has no
+    shared one to be joined on, and classes of length in the key keep the others of a frequent shingle apart.
+    """
+    scratch = scratch or Scratch(rest.sparkSession, "near-copies")
+    toks = scratch.table(shingle_keys(rest, texts), "tokens")
+    each = toks.select("id", "comp", "n", F.explode("keys").alias("key"))
+    seen = each.groupBy("key").agg(F.count("*").alias("many"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key", "many")
+    shared = each.join(seen, "key").groupBy("id", "comp", "n").agg(F.array_sort(F.collect_list(F.struct("many", "key"))).alias("x"))
+    own = F.col("n") - F.size("x")
+    first = F.greatest(F.lit(0), F.floor(F.col("n") / PARTS) - own + 1).cast("int")
+    placed = shared.select("id", "comp", "n", own.alias("own"), F.posexplode(F.slice("x", F.lit(1), first)).alias("p", "t"))
+    prefix = scratch.table(placed.select("id", "comp", "n", (F.col("own") + F.col("p")).alias("i"), "t.key"), "prefix")
+
+    shorter = prefix.where(WHOLE * (F.col("n") - F.col("i")) >= 2 * SHARE * F.col("n")).select("key", length_class(F.col("n")).alias("cls"), F.col("id").alias("v"), F.col("comp").alias("comp_v"), F.col("n").alias("n_v"), F.col("i").alias("j"))
+    lo, hi = F.ceil(F.col("n") * (PARTS - 1) / PARTS), F.least(F.col("n"), F.floor((F.col("n") - F.col("i")) * WHOLE / SHARE) - F.col("n"))
+    longer = prefix.where(lo <= hi).select("key", F.explode(F.sequence(length_class(lo), length_class(hi))).alias("cls"), F.col("id").alias("u"), F.col("comp").alias("comp_u"), F.col("n").alias("n_u"), "i")
+    both = longer.join(shorter, ["key", "cls"]).where(
+        (F.col("comp_u") != F.col("comp_v")) & ((F.col("n_v") < F.col("n_u")) | ((F.col("n_v") == F.col("n_u")) & (F.col("v") < F.col("u"))))
+        & (PARTS * F.col("n_v") >= (PARTS - 1) * F.col("n_u")) & (WHOLE * F.least(F.col("n_u") - F.col("i"), F.col("n_v") - F.col("j")) >= SHARE * (F.col("n_u") + F.col("n_v")))
+    )
+    return both.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """One row a document: doc_id, text_hash, class_id, class_size, and ``first``, true for the rows kept of a class."""
-    spark = docs.sparkSession
-    signed = stored(sign(docs, doc_id, text, bands, rows), "signed")
-    nodes = signed.where("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("at"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    nodes = stored(nodes.withColumn("id", F.monotonically_increasing_id()), "nodes")
-    exploded = nodes.select("id", F.explode("bands").alias("bucket"))
-    heads = exploded.groupBy("bucket").agg(F.count("*").alias("size"), F.min("id").alias("head")).where("size > 1").drop("size")
-    members = checkpoint(exploded.join(heads, "bucket").select("bucket", "id", "head"))
-    release(spark)
+    """One row a document: doc_id, h1 and h2 (its row's hash), class_id, class_size, and ``first``, true for the row kept of a class and rows like it."""
+    scratch = Scratch(docs.sparkSession, "near-copies")
+    given = keyed(docs, doc_id, text)
+    signed = scratch.table(sign(given, bands, rows), "signed")
+    at = F.struct("doc_id", "h1", "h2")
+    nodes = signed.groupBy("node").agg(F.min(at).alias("at"), F.count("*").alias("rows"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    nodes = scratch.table(nodes.withColumn("id", F.monotonically_increasing_id()), "nodes")
+    members, heads = buckets(nodes, scratch)
 
     # the texts of all nodes that share a bucket, one a node
-    wanted = members.select("id").distinct().join(nodes.select("id", "n", "at"), "id").select("id", "n", F.col("at.doc_id").alias("of"), F.col("at.text_hash").alias("of_hash"))
-    col = F.col(f"`{text}`").cast("string")
-    given = docs.select(F.col(f"`{doc_id}`").alias("given"), F.xxhash64(col).alias("hash"), col.cast("binary").alias("text"))
-    texts = stored(wanted.join(given, F.col("given").eqNullSafe(F.col("of")) & (F.col("hash") == F.col("of_hash"))).select("id", "n", "text").dropDuplicates(["id"]), "texts")
-    release(spark)
-
-    of = components(verify(members.where("id <> head").select(F.col("id").alias("u"), F.col("head").alias("v")).distinct(), texts))
-    left = members.select("bucket", "id", (F.col("id") == F.col("head")).alias("done"))
-    for round_ in range(ROUNDS):
-        left = checkpoint(_open(left, of))
-        release(spark)
-        if not left.take(1):
-            break
-        # some further nodes of the component that has most, for all that are outside it
-        slot = F.pmod(F.xxhash64("id", F.lit(round_)), F.lit(HEADS))
-        chosen = checkpoint(left.where("not done AND comp = home").groupBy("bucket", slot.alias("slot")).agg(F.min_by("id", F.xxhash64("id", F.lit(round_ + 1))).alias("head")).select("bucket", "head"))
-        pairs = left.where("not done AND comp <> home").join(chosen, "bucket").select(F.least("id", "head").alias("u"), F.greatest("id", "head").alias("v")).distinct()
-        of = components(_stars(of).union(verify(pairs, texts)))
-        now = chosen.select("bucket", F.col("head").alias("id"), F.lit(True).alias("now"))
-        left = left.join(now, ["bucket", "id"], "left").select("bucket", "id", (F.col("done") | F.col("now").isNotNull()).alias("done"))
-    left = checkpoint(_open(left, of))
-    release(spark)
-    if left.take(1):
-        rest = checkpoint(left.select("id", "comp").distinct())
-        of = components(_stars(of).union(verify(sharing_rare(rest, texts), texts)))
-
-    named = nodes.select("node", "id").join(of.withColumnRenamed("node", "id"), "id", "left").select("node", F.coalesce("comp", "id").alias("comp"))
-    alone = F.struct("doc_id", "text_hash")
-    labelled = checkpoint(signed.select("doc_id", "text_hash", "node").join(named, "node", "left").drop("node"))
-    sizes = labelled.where("comp is not null").groupBy("comp").agg(F.min(alone).alias("kept"), F.count("*").alias("class_size"))
-    labelled = labelled.join(sizes, "comp", "left")
-    return labelled.select(
-        "doc_id", "text_hash", F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("kept.doc_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"),
-        (F.col("comp").isNull() | (alone == F.col("kept"))).alias("first"),
-    )
+    wanted = nodes.join(members.select("id").distinct(), "id", "left_semi").select("id", "n", "at.h1", "at.h2")
+    texts = scratch.table(given.select("h1", "h2", "text").join(wanted, ["h1", "h2"]).select("id", "n", "text").dropDuplicates(["id"]), "texts")
+    star = members.join(heads, "bucket").where("id <> head").select(F.col("id").alias("u"), F.col("head").alias("v")).distinct()
+    of = components(verify(star, texts), scratch)
+    rest = scratch.table(still_apart(members, of), "rest")
+    if rest.take(1):
+        linked = verify(sharing_rare(rest, texts, scratch), texts)
+        of = components(of.where("node <> comp").select(F.col("node").alias("u"), F.col("comp").alias("v")).union(linked), scratch)
+
+    rows_ = F.when(F.col("n") > 0, F.col("rows")).otherwise(1)  # without words it is alone
+    per_node = nodes.join(of.withColumnRenamed("node", "id"), "id", "left").select("node", "at", rows_.alias("rows"), F.coalesce("comp", "id").alias("comp"))
+    sizes = per_node.groupBy("comp").agg(F.min("at").alias("kept"), F.sum("rows").alias("class_size"))
+    per_node = scratch.table(per_node.join(sizes, "comp").select("node", "kept", "class_size"), "classes")
+    scratch.drop("members", "texts", "rest", "tokens", "prefix", "edges", "nodes")
+    labelled = signed.select("doc_id", "h1", "h2", "node").join(per_node, "node")
+    return labelled.select("doc_id", "h1", "h2", F.col("kept.doc_id").alias("class_id"), "class_size", (at == F.col("kept")).alias("first"))
 
 
 def report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -299,8 +316,8 @@ def report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
 
 
 def clean(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each class, with all its columns: the one of the smallest id."""
-    gone = classes(docs, doc_id, text).where(~F.col("first")).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{doc_id}`").alias("id"), F.xxhash64(F.col(f"`{text}`").cast("string")).alias("hash"))
-    left = whole.join(gone, F.col("id").eqNullSafe(F.col("__id")) & (F.col("hash") == F.col("__hash")), "left_anti")
-    return left.dropDuplicates(["id", "hash"]).select("row.*")
+    """One document of each class, with all its columns: the one of the smallest id, and among rows of that id the one whose row has the smallest hash."""
+    gone = classes(docs, doc_id, text).where(~F.col("first")).select("h1", "h2").distinct()
+    h1, h2 = hashes(docs)
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), h1.alias("h1"), h2.alias("h2"))
+    return whole.join(gone, ["h1", "h2"], "left_anti").dropDuplicates(["h1", "h2"]).select("row.*")
