@@ -7,8 +7,8 @@ has gathered plus the forward score of the place it has reached, which is exact,
 leave the queue in order of score.
 
 No piece holds a space after another character, so the lattice is a chain of lattices of
-space-led chunks. Distinct chunks are scored together: forward and backward scores give each
-chunk's best path and the gap to its second best. The N best segmentations of a text can differ from the best one only
+space-led chunks. Each distinct chunk is scored once while it is known: the forward pass gives its
+best path and the gap to its second best. The N best segmentations of a text can differ from the best one only
 in its N - 1 chunks of smallest gap, so A-star runs on those and their lists are merged.
 
 Scores: the scores of a unigram model file, or, for a file of merges whose scores are
@@ -16,36 +16,39 @@ ranks, probabilities by Zipf's law over the ranks. They are whole numbers of mil
 ties are exact; equal scores are ordered by the ids.
 
 A character without a piece becomes its UTF-8 bytes' pieces. U+2581 in a text is such a character, so decoding
-restores every text. Null texts give null ids; empty ones none.
+restores every text. Null texts give null ids; empty ones none. Chunks of any length take time and memory in proportion to it. Repeated rows
+are encoded each; an empty table gives no rows. A caller's other columns may have any names.
 """
 
 from __future__ import annotations
 
 import heapq
 import re
+from array import array
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from redpen.llm.common import ROW, kept
+from redpen.llm.common import ROW, kept, slices
 
 N_BEST = 4
 CACHE_CHUNKS = 400_000
 #: Texts that are worked on at once in a worker.
-AT_ONCE = 400
-#: Longer chunks are scored one at a time.
-TOGETHER = 40
+AT_ONCE, BYTES_AT_ONCE = 400, 4_000_000
 UNIT = 1_000_000
+#: Stands between chunks; no piece holds it.
+_BREAK = "\uffff"
 NONE = -(2**62)
 #: Gap of a chunk that has one segmentation only.
 NO_SECOND = 2**62
 _CHUNK = re.compile(" *[^ ]+| +")
 _BYTE = re.compile("<0x([0-9A-F]{2})>")
 N_BEST_TYPE = pa.list_(pa.struct([("score", pa.float64()), ("changes", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("ids", pa.list_(pa.int32()))])))]))
-SCHEMA = "ids array<int>, score double, n_best array<struct<score: double, changes: array<struct<start: int, end: int, ids: array<int>>>>>"
+SCHEMA = "ids array<int>, restored boolean, score double, n_best array<struct<score: double, changes: array<struct<start: int, end: int, ids: array<int>>>>>"
 
 
 class Vocabulary:
@@ -72,16 +75,15 @@ class Vocabulary:
         self.pieces = {p: (i, round(float(s) * UNIT)) for (i, p), s in zip(normal, score, strict=True)}
         self.byte_score = min(s for _, s in self.pieces.values()) - UNIT
         self.longest = max(len(p) for p in self.pieces)
-        # the same as arrays, by rolling hash
-        self.base = np.uint64(0x9E3779B97F4A7C15 | 1)
-        names = list(self.pieces)
-        hashes = np.array([self.hash_of(p) for p in names], np.uint64)
-        order = np.argsort(hashes)
-        self.hashes, self.hash_score, self.hash_id = hashes[order], np.array([self.pieces[names[i]][1] for i in order], np.int64), np.array([self.pieces[names[i]][0] for i in order], np.int64)
-        if len(np.unique(hashes)) < len(hashes):
-            raise ValueError("two pieces share a hash")
-        self.maybe = np.zeros(1 << 20, bool)
-        self.maybe[(self.hashes >> np.uint64(44)).astype(np.int64)] = True
+        # all pieces at once, and for the characters up to U+00FF that have none, their bytes (id -1)
+        self.matches = ahocorasick.Automaton()
+        for piece, (i, whole_score) in self.pieces.items():
+            self.matches.add_word(piece, (len(piece), whole_score, i))
+        lone = [c for c in map(chr, range(256)) if c not in self.pieces]
+        for c in lone:
+            self.matches.add_word(c, (1, len(c.encode()) * self.byte_score, -1))
+        self.matches.make_automaton()
+        self.known = frozenset([*(p for p in self.pieces if len(p) == 1), *lone]) - {_BREAK}
 
         self.joined = np.frombuffer(b"".join(self.text), np.uint8)
         self.sizes = np.array([len(t) for t in self.text], np.int64)
@@ -106,12 +108,6 @@ class Vocabulary:
             done = end
         return out
 
-    def hash_of(self, s: str) -> int:
-        h = 0
-        for c in s:
-            h = (h * int(self.base) + ord(c) + 1) % 2**64
-        return h
-
     def arcs(self, chunk: str, end: int) -> Iterator[tuple[int, int, tuple[int, ...]]]:
         """(start, score, ids) of the arcs that end at ``end``, longest first."""
         for start in range(max(0, end - self.longest), end):
@@ -127,122 +123,92 @@ class Vocabulary:
             best[end] = max(best[start] + s for start, s, _ in self.arcs(chunk, end))
         return best
 
-    def n_best(self, chunk: str, n: int) -> list[tuple[int, tuple[int, ...]]]:
-        """The ``n`` best (score, ids) of a chunk, by backward A-star."""
-        ahead = self.forward(chunk)
-        queue: list = [(-ahead[-1], (), len(chunk), 0)]
-        out: list = []
-        while queue:
-            worth, ids, at, got = heapq.heappop(queue)
-            if len(out) >= n and -worth < out[n - 1][0]:
-                break  # every path of the n-th score has come
-            if at == 0:
-                out.append((got, ids))
-                continue
-            for start, s, piece in self.arcs(chunk, at):
-                heapq.heappush(queue, (-(got + s + ahead[start]), piece + ids, start, got + s))
-                if len(queue) > 200_000:  # ties without end: keep the order of scores, drop the order among equals
-                    return self._few(chunk, n, ahead)
-        return sorted(out, key=lambda x: (-x[0], x[1]))[:n]
-
-    def _few(self, chunk: str, n: int, ahead: list[int]) -> list[tuple[int, tuple[int, ...]]]:
-        queue: list = [(-ahead[-1], 0, 0, len(chunk), None)]
-        out: list = []
-        step = 0
-        while queue and len(out) < n:
-            worth, _, got, at, path = heapq.heappop(queue)
-            if at == 0:
-                ids: tuple[int, ...] = ()
-                parts = []
-                while path:
-                    parts.append(path[0])
-                    path = path[1]
-                out.append((got, sum(parts, ids)))
-                continue
-            for start, s, piece in self.arcs(chunk, at):
-                step += 1
-                heapq.heappush(queue, (-(got + s + ahead[start]), -step, got + s, start, (piece, path)))
-        return sorted(out, key=lambda x: (-x[0], x[1]))
-
     def one(self, chunk: str) -> tuple[list[int], int, int]:
-        """(ids of the best path, its score, gap to the second best) of one chunk of any length, in one forward and one backward pass."""
-        n, ahead = len(chunk), self.forward(chunk)
-        behind = [NONE] * n + [0]
-        every: list[list] = [[] for _ in range(n + 1)]
-        for end in range(n, 0, -1):
+        """(ids of the best path, its score, gap to the second best) of one chunk. Of equal paths to a place the one with the longest last piece is taken."""
+        n = len(chunk)
+        best, second, via = [0] + [NONE] * n, [NONE] * (n + 1), [(0, ())] * (n + 1)
+        for end in range(1, n + 1):
             for start, s, ids in self.arcs(chunk, end):
-                every[end].append((start, s, ids))
-                behind[start] = max(behind[start], s + behind[end])
-        path, at, second = [], n, NONE
+                x = best[start] + s
+                if x > best[end]:
+                    second[end] = max(best[end], second[start] + s)
+                    best[end], via[end] = x, (start, ids)
+                else:
+                    second[end] = max(second[end], x)
+        out: list[int] = []
+        at = n
         while at:
-            chosen = next(x for x in every[at] if ahead[x[0]] + x[1] == ahead[at])
-            path.append(chosen[2])
-            at_next = chosen[0]
-            every[at].remove(chosen)
-            at = at_next
-        for end in range(1, n + 1):
-            for start, s, _ in every[end]:
-                second = max(second, ahead[start] + s + behind[end])
-        return [i for p in reversed(path) for i in p], ahead[n], ahead[n] - second if second > NONE // 2 else NO_SECOND
+            at, ids = via[at]
+            out += reversed(ids)
+        return out[::-1], best[n], best[n] - second[n] if second[n] > NONE // 2 else NO_SECOND
 
     def together(self, chunks: list[str]) -> list[tuple[list[int], int, int]]:
-        """As ``one``, for many chunks of one length at a time."""
-        k, n = len(chunks), len(chunks[0])
-        codes = np.frombuffer("".join(chunks).encode("utf-32-le"), "<u4").reshape(k, n)
-        n_bytes = 1 + (codes > 0x7F) + (codes > 0x7FF).astype(np.int64) + (codes > 0xFFFF)
-        roll = np.zeros((n + 1, k), np.uint64)
-        power = [np.uint64(1)]
-        with np.errstate(over="ignore"):
-            for i in range(n):
-                roll[i + 1] = roll[i] * self.base + codes[:, i].astype(np.uint64) + np.uint64(1)
-                power.append(power[-1] * self.base)
-        arcs = {}
-        ahead = np.full((n + 1, k), NONE, np.int64)
-        ahead[0] = 0
-        via = np.zeros((n + 1, k), np.int64)
-        for end in range(1, n + 1):
-            for start in range(max(0, end - self.longest), end):
-                with np.errstate(over="ignore"):
-                    h = roll[end] - roll[start] * power[end - start]
-                score, ids = np.full(k, NONE, np.int64), np.full(k, -1, np.int64)
-                if len(near := np.flatnonzero(self.maybe[(h >> np.uint64(44)).astype(np.int64)])):
-                    place = np.minimum(np.searchsorted(self.hashes, h[near]), len(self.hashes) - 1)
-                    hit = self.hashes[place] == h[near]
-                    score[near[hit]], ids[near[hit]] = self.hash_score[place[hit]], self.hash_id[place[hit]]
-                if start == end - 1:
-                    lone = ids < 0
-                    score[lone] = n_bytes[lone, start] * self.byte_score
-                elif not len(near) or (ids < 0).all():
-                    continue
-                arcs[start, end] = (score, ids)
-                total = ahead[start] + score
-                better = total > ahead[end]
-                ahead[end][better], via[end][better] = total[better], start
-        behind = np.full((n + 1, k), NONE, np.int64)
-        behind[n] = 0
-        for (start, end), (score, _) in sorted(arcs.items(), key=lambda x: -x[0][1]):
-            np.maximum(behind[start], behind[end] + score, out=behind[start])
-        on_path = np.zeros((n + 1, k), bool)
-        on_path[n] = True
-        for end in range(n, 0, -1):
-            rows = np.flatnonzero(on_path[end])
-            on_path[via[end][rows], rows] = True
-        second = np.full(k, NONE, np.int64)
-        ids_of: list[list[int]] = [[] for _ in range(k)]
-        for (start, end), (score, ids) in sorted(arcs.items(), key=lambda x: x[0][1]):
-            best = on_path[end] & (via[end] == start)
-            other = ~best & (score > NONE // 2)
-            np.maximum(second, np.where(other, ahead[start] + score + behind[end], NONE), out=second)
-            for row in np.flatnonzero(best):
-                if ids[row] >= 0:
-                    ids_of[row].append(int(ids[row]))
+        """As ``one``, for many chunks in one pass over all their matches."""
+        plain = list(map(self.known.issuperset, chunks))
+        text = _BREAK.join([c for c, p in zip(chunks, plain, strict=True) if p])
+        best, second, start_of, piece_at = [0] * (len(text) + 2), [NONE] * (len(text) + 2), [0] * (len(text) + 2), [0] * (len(text) + 2)
+        place, top, next_, via, by = 0, 0, NONE, 0, 0
+        for last, (size, s, i) in self.matches.iter(text):
+            last += 1
+            if last != place:
+                best[place], second[place], start_of[place], piece_at[place] = top, next_, via, by
+                place, top, next_ = last, NONE, NONE
+            start = last - size
+            x = best[start] + s
+            if x > top:
+                next_ = second[start] + s
+                if top > next_:
+                    next_ = top
+                top, via, by = x, start, i
+            elif x > next_:
+                next_ = x
+        best[place], second[place], start_of[place], piece_at[place] = top, next_, via, by
+        out, begin = [], 0
+        for chunk, p in zip(chunks, plain, strict=True):
+            if not p:
+                out.append(self.one(chunk))
+                continue
+            at = end = begin + len(chunk)
+            ids: list[int] = []
+            while at > begin:
+                i, at = piece_at[at], start_of[at]
+                if i >= 0:
+                    ids.append(i)
                 else:
-                    ids_of[row] += [self.byte_ids[b] for b in chunks[row][start:end].encode()]
-        gap = np.where(second > NONE // 2, ahead[n] - second, NO_SECOND)
-        out = []
-        for chunk, ids, total, g in zip(chunks, ids_of, ahead[n].tolist(), gap.tolist(), strict=True):
-            same = b"".join(self.text[i] for i in ids) == chunk.encode()
-            out.append((ids, total, g) if same else self.one(chunk))  # a stranger with a piece's hash
+                    ids += [self.byte_ids[b] for b in reversed(text[at].encode())]
+            ids.reverse()
+            out.append((ids, best[end], best[end] - second[end] if second[end] > NONE // 2 else NO_SECOND))
+            begin = end + 1
+        return out
+
+    def n_best(self, chunk: str, n: int) -> list[tuple[int, tuple[int, ...]]]:
+        """The ``n`` best (score, ids) of a chunk in order of score and then ids, by backward A-star.
+
+        Among paths of equal worth the one nearest to the end goes first, so when a place comes up all paths to it of that
+        worth are in the queue, and they leave it in order of their ids. Only the first n from a place can be among the n best of all. Two
+        paths from a place differ in the first piece, or in the rank of the same rest, so no path is written out before the end.
+        """
+        ahead = self.forward(chunk)
+        # minus worth, minus place, first piece, where it ends, rank of the rest there, gathered score
+        queue: list = [(-ahead[-1], -len(chunk), (), 0, 0, 0)]
+        left: dict[int, list] = {}
+        out: list = []
+        while queue and len(out) < n:
+            _, at, piece, to, rank, got = heapq.heappop(queue)
+            at = -at
+            ranked = left.setdefault(at, [])
+            if len(ranked) == n:
+                continue
+            ranked.append((piece, to, rank))
+            if at:
+                for start, s, first in self.arcs(chunk, at):
+                    heapq.heappush(queue, (-(got + s + ahead[start]), -start, first, at, len(ranked) - 1, got + s))
+                continue
+            ids: list[int] = []
+            while piece:
+                ids += piece
+                piece, to, rank = left[to][rank]
+            out.append((got, tuple(ids)))
         return out
 
 
@@ -253,19 +219,12 @@ class Segmenter:
         self.lists: dict[str, list] = {}
 
     def learn(self, chunks: set[str]) -> None:
-        if len(self.known) > CACHE_CHUNKS:
-            self.known.clear()
-        by_length: dict[int, list[str]] = {}
-        for c in chunks.difference(self.known):
-            by_length.setdefault(len(c), []).append(c)
-        for length, some in by_length.items():
-            some.sort()
-            if length > TOGETHER:
-                results = map(self.v.one, some)
-            else:
-                results = (x for at in range(0, len(some), 4096) for x in self.v.together(some[at : at + 4096]))
-            for c, (ids, score, gap) in zip(some, results, strict=True):
-                self.known[c] = (np.array(ids, "<i4").tobytes(), score, gap)
+        known = self.known
+        if len(known) > CACHE_CHUNKS:
+            known.clear()
+        new = list(chunks.difference(known))
+        for c, (ids, score, gap) in zip(new, self.v.together(new), strict=True):
+            known[c] = (array("i", ids).tobytes(), score, gap)
 
     def best_of(self, chunk: str) -> list[tuple[int, tuple[int, ...]]]:
         if chunk not in self.lists:
@@ -301,9 +260,11 @@ class Segmenter:
         ends = np.cumsum([0, *(0 if f is None else len(f[0]) // 4 for f in found)])
         values = pa.array(np.frombuffer(b"".join(f[0] for f in found if f), "<i4"), pa.int32())
         ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values, mask=missing)
+        back = [None if t is None else t == d for t, d in zip(texts, self.v.decode(ids), strict=True)]
         score = pa.array([None if f is None else f[1] / UNIT for f in found], pa.float64())
         n_best = pa.array([None if f is None else f[2] for f in found], N_BEST_TYPE)
-        return pa.StructArray.from_arrays([ids, score, n_best], fields=[pa.field("ids", pa.list_(pa.int32())), pa.field("score", pa.float64()), pa.field("n_best", N_BEST_TYPE)])
+        columns = {"ids": ids, "restored": pa.array(back, pa.bool_()), "score": score, "n_best": n_best}
+        return pa.StructArray.from_arrays(list(columns.values()), fields=[pa.field(k, v.type) for k, v in columns.items()])
 
 
 def segmenter(path: str, n: int, scores: str) -> Segmenter:
@@ -315,7 +276,7 @@ def segmenter(path: str, n: int, scores: str) -> Segmenter:
 
 
 def encode(docs: DataFrame, model: str, n: int = N_BEST, scores: str = "zipf", text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``row`` and ``out``: the best ids, their log probability, and the ``n`` best segmentations as changes to the best one."""
+    """``row`` and ``out``: the best ids, whether they decode to the text, their log probability, and the ``n`` best segmentations as changes to the best one."""
 
     names = docs.columns if keep is None else keep
     carried = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias(ROW), F.col(f"`{text}`").cast("string").alias("text"))
@@ -323,8 +284,7 @@ def encode(docs: DataFrame, model: str, n: int = N_BEST, scores: str = "zipf", t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = segmenter(model, n, scores)
         for batch in batches:
-            for at in range(0, batch.num_rows, AT_ONCE):
-                part = batch.slice(at, AT_ONCE)
+            for part in slices(batch, 1, AT_ONCE, BYTES_AT_ONCE):
                 yield pa.RecordBatch.from_arrays([part.column(0), work.texts(part.column(1).to_pylist())], names=[ROW, "out"])
 
     return carried.mapInArrow(run, T.StructType([carried.schema[ROW], T.StructField("out", T._parse_datatype_string(SCHEMA))]))
@@ -347,10 +307,5 @@ def decode(df: DataFrame, model: str, ids: str = "ids", out: str = "decoded") ->
 
 def report(docs: DataFrame, model: str, n: int = N_BEST, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row a document: ids, their number and log probability, the scores of the n best segmentations, and whether decoding restores the text."""
-    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(F.col(f"`{text}`").cast("string")).alias("text_hash"), F.col(f"`{text}`").cast("string").alias("text"))
-    found = encode(rows, model, n, keep=["doc_id", "text_hash"]).select(f"{ROW}.*", "out.*")
-    back = decode(found, model)
-    return back.select(
-        "doc_id", "ids", F.size("ids").cast("long").alias("n_pieces"), "score", F.transform("n_best", lambda b: b["score"]).alias("n_best_scores"), "n_best",
-        F.when(F.col("ids").isNotNull(), F.xxhash64("decoded") == F.col("text_hash")).alias("restored"),
-    )
+    found = encode(docs, model, n, text=text, keep=[doc_id]).select(F.col(f"{ROW}.`{doc_id}`").alias("doc_id"), "out.*")
+    return found.select("doc_id", "ids", F.size("ids").cast("long").alias("n_pieces"), "score", F.transform("n_best", lambda b: b["score"]).alias("n_best_scores"), "n_best", "restored")
