@@ -1,12 +1,13 @@
 """Quality rules by weak supervision.
 
-Each rule votes good (1) or bad (0) or abstains (-1). Expectation-maximisation over the counts of
+Each rule votes good (1) or bad (0) or abstains (-). Expectation-maximisation over the counts of
 vote patterns, which are at most 3 to the number of rules whatever the input, estimates how often
 each rule votes what on good and on bad documents, and how common good ones are. A document's
-posterior probability of being good decides; no rule has a veto but the two base rules.
+posterior probability of being good decides; no rule has a veto but the two base rules. Documents that fail those
+teach the model nothing. The priors weigh as much as three documents, so what the corpus says of a rule counts.
 
-A null text has no words, so it fails the base rules. Repeated rows get equal verdicts. With no rows
-there is nothing to fit, and the priors stand.
+A null text has no words, so it fails the base rules, as an empty one does. Very long texts are measured whole. Repeated rows get equal verdicts, and ties
+(a posterior of exactly one half) are kept. With no rows there is nothing to fit, and the priors stand. A caller's other columns may have any names.
 """
 
 from __future__ import annotations
@@ -20,20 +21,19 @@ from redpen.llm.common import ROW, checkpoint, per_text
 
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS, MAX_REPEATED, THRESHOLD = 10, 20, 0.5
+#: Weight of the priors, in documents.
+PSEUDO = 3.0
 _CONT = bytes(range(0x80, 0xC0))
 _SPACE = bytes([0x20, *range(0x09, 0x0E)])
 _LEAD = bytes(range(0xC0, 0x100))  # code points from U+0080 on, taken as letters
 _MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 _UPPER, _LOWER, _DIGIT = bytes(range(65, 91)), bytes(range(97, 123)), bytes(range(48, 58))
 
-#: Thresholds are set so that a rule calls at most one good document in a hundred bad; without this, EM can take one kind of bad documents for good.
-LEAST_ON_GOOD = 0.99
-
 #: name, measured share, bad from here on, good up to here; between the two the rule abstains.
 RULES = (
     ("symbols", "symbols a word", 0.10, 0.03),
-    ("repeats", "words in repeated 5-word windows", 0.2001, 0.10),
-    ("short", "10 / words", 1.0001, 0.5),
+    ("repeats", "words in repeated 5-word windows", 0.10, 0.02),
+    ("short", "10 / words", 0.5001, 0.25),
     ("duplicate_lines", "lines equal to an earlier one", 0.50, 0.25),
     ("shouting", "capitals among letters A-Z a-z", 0.30, 0.12),
     ("exclamations", "exclamation marks a word", 0.20, 0.05),
@@ -96,21 +96,22 @@ class VoteModel:
         return 1 / (1 + F.exp(-odds))
 
 
-def fit(patterns: list[tuple[str, int]], rules: int = len(RULES), rounds: int = 60, pseudo: float = 2.0) -> VoteModel:
-    """EM over vote patterns and their counts. The start takes any bad vote as a sign of a bad document."""
-    q = {p: 0.1 if "0" in p else 0.95 for p, _ in patterns}
-    prior, weights, accuracy = 0.9, [(0.0, 0.0)] * rules, [(0.5, 0.5)] * rules
+def fit(patterns: list[tuple[str, int]], rules: int = len(RULES), rounds: int = 200, pseudo: float = PSEUDO) -> VoteModel:
+    """EM over vote patterns and their counts. At the start each bad vote halves the odds that a document is good.
+
+    A priori nine in ten documents are good, and a rule is right on nine in ten good and three in ten bad documents; this weighs as much as ``pseudo`` documents.
+    """
+    q = {p: 0.9 * 0.5 ** p.count("0") for p, _ in patterns}
+    prior, weights, accuracy = 0.9, [], []
     for _ in range(rounds):
         good = sum(n * q[p] for p, n in patterns)
         bad = sum(n * (1 - q[p]) for p, n in patterns)
-        prior = (good + 9 * pseudo) / (good + bad + 10 * pseudo)
+        prior = (good + 0.9 * pseudo) / (good + bad + pseudo)
         weights, accuracy = [], []
         for i in range(rules):
             votes = {(v, y): sum(n * (q[p] if y else 1 - q[p]) for p, n in patterns if p[i] == v) for v in "01" for y in (0, 1)}
-            # prior counts: a rule is right on good documents nearly always, and sees a bad one now and then
-            on_good = (votes["1", 1] + 10 * pseudo) / (votes["0", 1] + votes["1", 1] + 10.01 * pseudo)
-            on_bad = (votes["0", 0] + 3 * pseudo) / (votes["0", 0] + votes["1", 0] + 10 * pseudo)
-            on_good, on_bad = min(max(on_good, LEAST_ON_GOOD), 1 - 1e-4), min(max(on_bad, 0.1), 1 - 1e-4)
+            on_good = (votes["1", 1] + 0.9 * pseudo) / (votes["0", 1] + votes["1", 1] + pseudo)
+            on_bad = (votes["0", 0] + 0.3 * pseudo) / (votes["0", 0] + votes["1", 0] + pseudo)
             weights.append((math.log((1 - on_good) / on_bad), math.log(on_good / (1 - on_bad))))
             accuracy.append((on_good, on_bad))
         odds0 = math.log(prior / (1 - prior))
@@ -135,8 +136,8 @@ def measure(docs: DataFrame, text: str = "text", keep: list[str] | None = None)
 
 
 def fit_votes(measured: DataFrame) -> VoteModel:
-    """At most 3 ** 12 pattern counts, over all rows, come to the driver."""
-    counts = measured.groupBy(F.col("out.votes").alias("votes")).count().collect()
+    """At most 3 ** 12 pattern counts, over all rows that pass the base rules, come to the driver."""
+    counts = measured.where(~base_failed()).groupBy(F.col("out.votes").alias("votes")).count().collect()
     return fit(sorted((r["votes"], r["count"]) for r in counts))
 
 
