@@ -8,8 +8,9 @@ A turn is written ``<|im_start|>role\\ntext<|im_end|>\\n``. Control strings in a
 backslash after their first character, and backslashes are doubled, which unescaping reverses exactly. In
 a role a line break is written as a backslash and n.
 
-Null texts and roles are empty ones. Rows without a conversation id belong to no conversation and are left out. Rows of one turn number are
-ordered by role and text; repeated rows are repeated turns; rows without a turn number come first.
+Null texts and roles are empty ones. Rows without a conversation id are one conversation, whose id is null. Rows of one turn number are
+ordered by role and text; repeated rows are repeated turns; rows without a turn number come first. An empty table gives no examples. A
+conversation is held whole by one task, texts of any length included, as is each of its examples. Other columns of the caller play no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -45,7 +46,7 @@ def unescape_role(role: Column) -> Column:
 
 def conversations(rows: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """(conv_id, turns): the turns of each conversation as written, with the lengths of their parts in code points."""
-    clean = rows.where(F.col(f"`{conv_id}`").isNotNull()).select(
+    clean = rows.select(
         F.col(f"`{conv_id}`").alias("conv_id"),
         F.struct(F.col(f"`{turn}`").cast("long").alias("turn"), F.coalesce(F.col(f"`{role}`").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text")).alias("t"),
     )

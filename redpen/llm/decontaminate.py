@@ -6,7 +6,9 @@ far the search may shift; a shift of nothing leads to the bucket of patterns wit
 is narrowed by the first words and ends in a direct comparison of all words.
 
 Null and empty texts have no words and no hits. Repeated documents each get a row. Items without
-words, and null item ids, match nothing. Item ids are compared as strings.
+words match nothing. Item ids are compared as strings. An item with a null id is searched like any other, and
+its hits count; only the list of items has no name for it. Rows of one item id are one item. Very long documents and items are searched whole; an empty
+benchmark hits nothing. A caller's other columns may have any names.
 """
 
 from __future__ import annotations
@@ -72,7 +74,7 @@ class WuManber:
 class Searcher:
     """All windows of a block of items."""
 
-    def __init__(self, items: list[tuple[str, bytes]], window: int):
+    def __init__(self, items: list[tuple[str | None, bytes]], window: int):
         by_length: dict[int, dict[tuple, int]] = {}
         self.items: list[set[str]] = []
         seen: dict[tuple, int] = {}
@@ -85,7 +87,8 @@ class Searcher:
                 if number == len(self.items):
                     self.items.append(set())
                     by_length.setdefault(m, {})[pattern] = number
-                self.items[number].add(item)
+                if item is not None:
+                    self.items[number].add(item)
         self.by_length = [WuManber(p, m) for m, p in sorted(by_length.items())]
 
     def search(self, text: list[bytes], spans: list, items: set) -> None:
@@ -108,10 +111,10 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def blocks(benchmark: DataFrame, item_id: str, text: str, size: int) -> Iterator[list[tuple[str, bytes]]]:
+def blocks(benchmark: DataFrame, item_id: str, text: str, size: int) -> Iterator[list[tuple[str | None, bytes]]]:
     """Items in blocks of about ``size`` bytes of text, streamed through the driver."""
     block, n = [], 0
-    for item, words_ in benchmark.select(F.col(f"`{item_id}`").cast("string"), F.col(f"`{text}`").cast("string").cast("binary")).where(F.col(f"`{item_id}`").isNotNull()).toLocalIterator():
+    for item, words_ in benchmark.select(F.col(f"`{item_id}`").cast("string"), F.col(f"`{text}`").cast("string").cast("binary")).toLocalIterator():
         block.append((item, bytes(words_ or b"")))
         n += len(words_ or b"")
         if n >= size:

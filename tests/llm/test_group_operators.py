@@ -64,6 +64,30 @@ def test_line_runs_edges(spark):
     assert line_runs.report(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_line_runs_of_long_documents(spark):
+    rng = random.Random(5)
+    many = [f"line {rng.randrange(10**9)}" for _ in range(3000)]
+    docs = [(1, "\n".join(many)), (2, "\n".join(many[500:2900])), (3, "\n".join(["own", *many[100:101], "own too", "z" * 1_000_000])), (4, "same\n" * 1500)]
+    got = {r["doc_id"]: r for r in line_runs.report(spark.createDataFrame(docs, DOCS)).collect()}
+    assert [got[i]["n_deleted"] for i in (1, 2, 3, 4)] == [0, 2400, 1, 1499]
+    assert got[3]["text"] == "own\nown too\n" + "z" * 1_000_000 and got[2]["text"] == "" and got[4]["text"] == "same\n"
+
+
+def test_ranks_are_in_the_order_of_the_suffixes(spark):
+    rng = random.Random(7)
+    text = ["".join(rng.choice("ab") for _ in range(40)) for _ in range(4)]
+    scratch = line_runs.Scratch(spark, "test")
+    rows = [(100 * d + p, ord(c)) for d, t in enumerate(text) for p, c in enumerate(t)]
+    ranks = line_runs.doubled(spark.createDataFrame(rows, "g long, r long"), scratch)
+    for k, table in enumerate(ranks):
+        of = {r["g"]: r["r"] for r in table.collect()}
+        run = lambda g: text[g // 100][g % 100 : g % 100 + 2**k]  # noqa: B023, E731
+        runs = [run(g) for g, _ in rows]
+        assert set(of) == {g for g, _ in rows if len(run(g)) == 2**k and runs.count(run(g)) > 1}
+        assert [run(g) for g in sorted(of, key=of.get)] == sorted(run(g) for g in of)
+    assert len(ranks) > 2
+
+
 def test_line_runs_deletes_short_runs_by_default(spark):
     licence = "Licensed under the terms of the file"
     docs = [(i, f"own line {i}\n{licence}\nmore of {i}\n\nEnd") for i in range(4)]
@@ -123,6 +147,22 @@ def test_near_copies_edges(spark):
     assert near_copies.report(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_near_copies_recall_on_a_whole_table(spark):
+    rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    got = {r["doc_id"]: r["class_id"] for r in near_copies.report(spark.createDataFrame(rows, DOCS)).collect()}
+    assert sorted(got.items()) == sorted(brute_classes(rows))
+
+
+def test_near_copies_of_long_texts_and_rows_that_differ_elsewhere(spark):
+    long = " ".join(f"w{i}" for i in range(60_000))
+    rows = [(1, long, "a"), (2, long + " more", "b"), (3, "some short text", "c"), (3, "some short text", "d"), (None, None, "e"), (None, None, "f")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, node string")
+    assert {r["doc_id"]: r["class_id"] for r in near_copies.report(df).collect()} == {1: 1, 2: 1, 3: 3, None: None}
+    one, two = ([sorted(map(str, near_copies.clean(d).collect())) for d in (df, df.repartition(5))])
+    assert one == two and len(one) == 3
+    assert near_copies.clean(df.where("false")).count() == 0
+
+
 def test_rare_shingles_find_every_pair(spark):
     rng = random.Random(3)
     base = [f"w{i}" for i in range(60)]
@@ -176,9 +216,8 @@ def test_chat(spark):
     got = {r["conv_id"]: r for r in chat.report(df).collect()}
     by = {}
     for c, t, r, x, _ in rows:
-        if c is not None:
-            by.setdefault(c, []).append((-1 if t is None else t, (r or "").encode(), (x or "").encode()))
-    assert set(got) == set(by)
+        by.setdefault(c, []).append((-1 if t is None else t, (r or "").encode(), (x or "").encode()))
+    assert None in got and set(got) == set(by)
     for c, turns in by.items():
         turns.sort()
         loss = b"".join(x for _, r, x in turns if r == b"assistant")
