@@ -25,12 +25,15 @@ def gate(tok: Column) -> Column:
     )
 
 
+# fixed values: virus names that interactive correction may touch, and signs that keep it off
+UI_ALLOWED = r"^(?:covid|covid19|covid-?19|sars-?cov-?2|2019-?ncov|ncov)$"
+UI_SIGNS = r"[0-9<>=/\\+*%_\x{0370}-\x{03FF}\x{1F00}-\x{1FFF}]"
+
+
 def ui_gate(tok: Column) -> Column:
     """The gate in front of interactive correction: true for tokens that are left alone."""
-    low = F.lower(tok)
-    allowed = low.rlike(r"^(?:covid|sars)")
-    odd = tok.rlike(r"[0-9]") | tok.rlike(r"[<>=%±/_]") | (F.length(tok) >= 26) | tok.rlike("[Α-ωΆ-ώ]")
-    return (F.length(tok) < 3) | (~allowed & odd)
+    odd = tok.rlike(UI_SIGNS) | (F.length(tok) >= 26)
+    return ~has_letter(tok) | (F.length(tok) < 3) | (~F.lower(tok).rlike(UI_ALLOWED) & odd)
 
 
 def protected_word(low: Column, words: list[str] | None = None) -> Column:

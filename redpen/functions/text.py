@@ -68,6 +68,14 @@ def chunks(c: Column) -> Column:
     return _zipped(c, pattern)
 
 
+#: A word with inner hyphens or apostrophes, a number, white space, or one other sign. What is none of these is lost.
+NOISE_TOKEN = r"([A-Za-z]+(?:[-'][A-Za-z0-9]+)*|\p{Nd}+(?:\.\p{Nd}+)?|[ \t\n\r\f\x0B]+|[^\p{L}\p{N}_ \t\n\r\f\x0B])"
+
+
+def noise_tokens(c: Column) -> Column:
+    return F.regexp_extract_all(_text(c), F.lit(NOISE_TOKEN), F.lit(1))
+
+
 def tokens_spelling(c: Column) -> Column:
     """Lower-case terms with a letter: words, hyphenated or plus-marked terms; numbers and signs go; n't is not."""
     c = canonical_virus_names(normalize(clean_surface(c)))

@@ -36,18 +36,26 @@ GREEK = {
     "Α": "alpha", "Β": "beta", "Γ": "gamma", "Δ": "delta", "Κ": "kappa", "Μ": "mu", "Τ": "tau", "Λ": "lambda",
 }
 
-# fixed values: pairs that scanned text confuses, each in both directions, and letters that stand in for others
-OCR_PAIRS = (
-    "rn m", "nn m", "nm nn", "cl d", "ck d", "lc k", "li h", "lo b", "ol d", "vv w", "ii u", "fi h", "fl tl", "ri n", "in m", "cj g",
-    "0 o", "1 l", "1 i", "1 t", "1 f", "2 z", "3 e", "5 s", "6 b", "8 g", "9 g", "9 q",
-    "c e", "c o", "e o", "a o", "a e", "a s", "i j", "i l", "l t", "f t", "r n", "u v", "y v", "h b", "k x", "g q", "p q", "d b", "v r",
+# fixed values: pairs that scanned text confuses; each holds in both directions
+_SCAN_PAIRS = (
+    ("rn", "m"), ("nn", "m"), ("nm", "nn"), ("cl", "d"), ("ck", "d"), ("lc", "k"), ("li", "h"), ("lo", "b"), ("ol", "d"), ("vv", "w"), ("ii", "u"), ("fi", "h"), ("fl", "tl"), ("ri", "n"), ("in", "m"), ("cj", "g"), ("lI", "U"),
+    ("0", "o"), ("0", "O"), ("0", "Q"), ("0", "D"), ("0", "C"), ("1", "l"), ("1", "I"), ("1", "i"), ("1", "|"), ("1", "t"), ("1", "f"), ("2", "z"), ("2", "Z"), ("3", "e"), ("4", "A"), ("5", "s"), ("5", "S"), ("6", "b"), ("6", "G"), ("7", "T"), ("7", "Y"), ("8", "B"), ("8", "g"), ("9", "g"), ("9", "q"),
+    ("c", "e"), ("c", "o"), ("e", "o"), ("a", "o"), ("a", "e"), ("a", "s"), ("i", "j"), ("i", "l"), ("l", "t"), ("f", "t"), ("r", "n"), ("u", "v"), ("y", "v"), ("h", "b"), ("k", "x"), ("g", "q"), ("p", "q"), ("d", "b"), ("v", "r"),
+    ("D", "O"), ("E", "F"), ("B", "E"), ("M", "N"), ("H", "N"), ("K", "X"), ("V", "U"), ("I", "L"), ("P", "R"),
+    (".", ","), (":", ";"), ("-", "_"), ("'", "`"), ("!", "l"), ("(", "C"),
 )
+OCR_PAIRS = tuple(x for a, b in _SCAN_PAIRS for x in ((a, b), (b, a)))
+# fixed values: letters that stand in for others
 CHARACTER_CONFUSIONS = {"a": "aoe", "c": "ceo", "e": "eca", "i": "il", "l": "li", "m": "n", "n": "m", "o": "oa", "s": "sz", "u": "uv", "v": "uv", "z": "zs"}
 #: name, probability that a word is edited, most edits a word
-NOISE_LEVELS = (("light", 0.035, 1), ("medium", 0.070, 1), ("heavy", 0.110, 2))
+NOISE_LEVELS = (("mild", 0.035, 1), ("moderate", 0.070, 1), ("severe", 0.110, 2))
 
 # fixed values: context of the domain rules
 COVID_18 = ("covid-18", "covid18", "covd-18")
+COVID_VARIANTS = (
+    "covid19", "covid 19", "covid–19", "covid—19", "covid_19", "covid/19", "covid-2019", "covid2019", "covid 2019", "COVID19",
+    "COVID-19", "Covid-19", "CoViD-19", "covid19.", "(covid19)", "covid19,", "covid-19,", "covid19-related", "covid19related", "covid19)",
+)
 VIRUS_CONFUSIONS = ("versus", "virtues", "verses")
 VIRUS_BEFORE = ("corona", "covid", "covid-19", "sars", "mers", "hiv", "cov")
 VIRUS_AFTER = ("infection", "infections", "variant", "variants", "pathogen", "epidemic")

@@ -16,11 +16,11 @@ def deletion_index(vocab: DataFrame, max_length: int = 30, word: str = "word") -
 PARTS = 5
 
 
-def _part(word: Column, length: Column, k: int, shift: int = 0) -> Column:
+def _part(word: Column, length: Column, k: Column, shift: Column) -> Column:
     """The k-th of PARTS parts of words of a length, moved by some letters; null where it would begin before the word."""
     start = F.floor(length * k / PARTS).cast("int")
     n = F.floor(length * (k + 1) / PARTS).cast("int") - start
-    return F.when(start + shift >= 0, F.struct(length.alias("length"), F.lit(k).alias("k"), F.substring(word, start + 1 + shift, n).alias("part")))
+    return F.when(start + shift >= 0, F.struct(length.alias("length"), k.alias("k"), F.substring(word, start + 1 + shift, n).alias("part")))
 
 
 def long_pairs(asked: DataFrame, known: DataFrame, over: int) -> DataFrame:
@@ -29,9 +29,11 @@ def long_pairs(asked: DataFrame, known: DataFrame, over: int) -> DataFrame:
     Two edits, swaps included, touch four of a word's five parts at most, so one part stands in the token,
     moved by two letters at most. A word makes 5 keys and a token 125, whatever their lengths.
     """
-    index = known.where(F.length("word") > over).select(F.col("word").alias("cand"), F.explode(F.array(*[_part(F.col("word"), F.length("word"), k) for k in range(PARTS)])).alias("key"))
-    probes = [_part(F.col("tok"), F.length("tok") + more, k, shift) for more in range(-2, 3) for k in range(PARTS) for shift in range(-2, 3)]
-    keys = asked.where(F.length("tok") > over - 2).select("tok", F.explode(F.array(*probes)).alias("key")).where("key IS NOT NULL").distinct()
+    parts = F.array(*[F.lit(k) for k in range(PARTS)])
+    moves = F.array(*[F.struct(F.lit(more).alias("more"), F.lit(k).alias("k"), F.lit(shift).alias("shift")) for more in range(-2, 3) for k in range(PARTS) for shift in range(-2, 3)])
+    index = known.where(F.length("word") > over).select(F.col("word").alias("cand"), F.explode(parts).alias("k")).select("cand", _part(F.col("cand"), F.length("cand"), F.col("k"), F.lit(0)).alias("key"))
+    probes = asked.where(F.length("tok") > over - 2).select("tok", F.explode(moves).alias("m")).select("tok", _part(F.col("tok"), F.length("tok") + F.col("m.more"), F.col("m.k"), F.col("m.shift")).alias("key"))
+    keys = probes.where("key IS NOT NULL").distinct()
     return keys.join(index, "key").select("tok", "cand").distinct().where(F.levenshtein("tok", "cand", 4) >= 0)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from redpen.functions import text as tf
-from redpen.functions.gates import domain_rule, gate, protected_word
+from redpen.functions.gates import domain_rule, gate, protected_word, ui_gate
 from redpen.operators.candidates import candidates
 from redpen.operators.lexicon import row_totals
 from redpen.operators.score import bigram_logp, composite, extras, unigram_logp
@@ -56,7 +56,7 @@ def scored(work: DataFrame, counts: DataFrame, pairs: DataFrame, params: Params
     left = bigram_logp(F.col("prev_l"), F.col("left_cnt"), F.col("prev_total"), alone, v, params)
     right = F.when(F.col("next_l").isNotNull(), bigram_logp(F.col("cand"), F.col("right_cnt"), F.col("cand_total"), next_alone, v, params))
     pay = F.when(F.col("rnk") == 0, 0.0).otherwise(extras(F.col("known"), F.col("dist"), F.abs(F.length("cand") - F.length("tok_l")), params))
-    return rows.select(*KEYS, "known", "cand", "dist", "rnk", (composite(alone, left, right, F.col("cnt"), F.col("dist"), params) - pay).alias("score"))
+    return rows.select(*KEYS, "known", "cand", "dist", "rnk", (composite(alone, left, right, F.col("cnt"), F.col("dist"), params) - pay).alias("score"), left.alias("left_logp"), "cnt", "left_cnt", "right_cnt")
 
 
 def decided(scores: DataFrame, params: Params = Params(), trace: bool = False) -> DataFrame:
@@ -78,13 +78,13 @@ def decided(scores: DataFrame, params: Params = Params(), trace: bool = False) -
     )
 
 
-def correct_tokens(docs: DataFrame, counts: DataFrame, pairs: DataFrame, params: Params = Params(), trace: bool = False, mode: str = "pieces") -> DataFrame:
-    """Every token with its decision: corrected, error_type, decision, protected, gate, margin and more.
+def decide(tokens_: DataFrame, counts: DataFrame, pairs: DataFrame, params: Params = Params(), trace: bool = False) -> DataFrame:
+    """Rows with tok, prev and next, and any other columns, with the decision on each: corrected, error_type, decision, protected, gate, margin and more.
 
     Only tokens that no gate, rule or protected word settles are scored, and each distinct context once.
     """
     known = counts.where(F.col("cnt") >= params.min_count).select(F.col("word").alias("tok_l"), F.lit(True).alias("in_vocab"))
-    toks = prepared(tokens(docs, mode=mode)).join(known, "tok_l", "left").withColumn("known", F.col("in_vocab").isNotNull()).drop("in_vocab")
+    toks = prepared(tokens_).join(known, "tok_l", "left").withColumn("known", F.col("in_vocab").isNotNull()).drop("in_vocab")
     settled_first = F.col("rule").isNotNull() | F.col("gate0").isNotNull() | (F.col("tok") == "")
     word_gate = F.col("known") & protected_word(F.col("tok_l"))
     work = toks.where(~settled_first & ~word_gate).select(*KEYS, "known").distinct()
@@ -98,12 +98,64 @@ def correct_tokens(docs: DataFrame, counts: DataFrame, pairs: DataFrame, params:
     gate_name = F.when(by_rule, F.lit(None)).when(gated, F.col("gate0")).when(F.col("known") & protected_word(F.col("tok_l")), "real_word_protect").when(refused, F.when(F.col("known"), "margin_delta_rw").otherwise("margin_delta"))
     kind = F.when(by_rule, "Real-word error").when(gated, "Correct").when(applied, F.when(F.col("known"), "Real-word error").otherwise("Non-word error")).when(F.col("known") | (F.col("tok") == ""), "Correct").otherwise("Unknown (OOV)")
     return rows.select(
-        "doc_id", "pos", "tok", "ws", "prev", "next", F.when(by_rule, F.col("rule")).when(applied, F.col("best_word")).otherwise(F.col("tok")).alias("corrected"), kind.alias("error_type"), F.when(by_rule | applied, "apply").otherwise("abstain").alias("decision"),
+        *tokens_.columns, F.when(by_rule, F.col("rule")).when(applied, F.col("best_word")).otherwise(F.col("tok")).alias("corrected"), kind.alias("error_type"), F.when(by_rule | applied, "apply").otherwise("abstain").alias("decision"),
         gate_name.isNotNull().alias("protected"), gate_name.alias("gate"), "margin", "best_candidate", "best_score", "original_score", "edit_distance", "threshold_used",
         F.when(F.col("known"), "delta_rw").otherwise("delta").alias("threshold_type"), F.lit(params.version).alias("artifact_version"), F.lit("delete_index").alias("retrieval_method"), *(["candidates"] if trace else []),
     )
 
 
+def correct_tokens(docs: DataFrame, counts: DataFrame, pairs: DataFrame, params: Params = Params(), trace: bool = False, mode: str = "pieces") -> DataFrame:
+    """Every token of the documents with its decision. Context is the original text."""
+    return decide(tokens(docs, mode=mode), counts, pairs, params, trace)
+
+
+def alphabetic_neighbours(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, pos, tok, ws, prev, next) as interactive correction sees them: neighbours are the nearest words of nothing but letters, in lower case."""
+    rows = tokens(docs, doc_id, text).drop("prev", "next")
+    word = F.when(F.col("tok").rlike(r"^\p{L}+$"), F.lower("tok"))
+    w = Window.partitionBy("doc_id").orderBy("pos")
+    before, behind = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(1, Window.unboundedFollowing)
+    return rows.select("*", F.last(word, ignorenulls=True).over(before).alias("prev"), F.first(word, ignorenulls=True).over(behind).alias("next"))
+
+
+def interactive(docs: DataFrame, counts: DataFrame, pairs: DataFrame, params: Params = Params(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, pos, tok, ws, corrected, error_type) as in interactive use: a gate of its own, alphabetic context, and corrections in the original's case."""
+    rows = alphabetic_neighbours(docs, doc_id, text)
+    left_alone = rows.where(ui_gate(F.col("tok"))).select("doc_id", "pos", "tok", "ws", F.col("tok").alias("corrected"), F.lit("Correct").alias("error_type"))
+    tried = decide(rows.where(~ui_gate(F.col("tok"))), counts, pairs, params)
+    return tried.select("doc_id", "pos", "tok", "ws", tf.match_case(F.col("tok"), F.col("corrected")).alias("corrected"), "error_type").unionByName(left_alone)
+
+
+def with_typo_map(rows: DataFrame, typos: DataFrame, counts: DataFrame, params: Params = Params()) -> DataFrame:
+    """Decided rows, with unknown words replaced by what a map (typo, word) has for them, if that is a known word."""
+    known = counts.where(F.col("cnt") >= params.min_count).select(F.lower("word").alias("known_word"))
+    usable = typos.select(F.lower("typo").alias("typo_l"), F.lower("word").alias("known_word")).join(known, "known_word", "left_semi").dropDuplicates(["typo_l"])
+    both = rows.join(usable, F.lower("tok") == F.col("typo_l"), "left").join(known.select(F.col("known_word").alias("itself")), F.lower("tok") == F.col("itself"), "left")
+    mapped = F.col("typo_l").isNotNull() & F.col("itself").isNull() & (F.col("decision") == "abstain")
+    new = {"corrected": tf.match_case(F.col("tok"), F.col("known_word")), "error_type": F.lit("Non-word error"), "decision": F.lit("apply")}
+    return both.select(*[F.when(mapped, new[c]).otherwise(F.col(c)).alias(c) if c in new else c for c in rows.columns])
+
+
+def over_unique_texts(docs: DataFrame, correct, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """(doc_id, corrected_text) by correcting each distinct text once. ``correct`` takes (doc_id, text) and gives (doc_id, corrected_text)."""
+    named = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("h"))
+    once = named.where("text IS NOT NULL").groupBy("h", "text").agg(F.min("doc_id").alias("first"))
+    done = correct(once.select(F.col("first").alias("doc_id"), "text")).select(F.col("doc_id").alias("first"), "corrected_text")
+    return named.join(once, ["h", "text"]).join(done, "first").select("doc_id", "corrected_text")
+
+
+def tuned(work: DataFrame, counts: DataFrame, pairs: DataFrame, grid: DataFrame, params: Params = Params()) -> DataFrame:
+    """(ordinal, KEYS, known, best_word) for each configuration of a small grid (ordinal, delta, delta_rw, w_dist, w_left). Everything but the sums is worked out once."""
+    rows = scored(work, counts, pairs, params).crossJoin(F.broadcast(grid))
+    score = F.col("score") + (F.col("w_left") - params.w_left) * F.col("left_logp") - (F.col("w_dist") - params.w_distance) * F.col("dist")
+    rows = rows.withColumn("score", score)
+    competes = F.col("known") | (F.col("rnk") > 0)
+    place = F.struct((-F.round("score", 9)).alias("o"), F.col("rnk").alias("rnk"), F.col("cand").alias("cand"), F.col("score").alias("score"))
+    best = rows.groupBy("ordinal", "delta", "delta_rw", *KEYS, "known").agg(F.min(F.when(competes, place)).alias("best"), F.max(F.when(F.col("rnk") == 0, F.col("score"))).alias("own"))
+    enough = F.round(F.col("best.score") - F.col("own"), 9) >= F.when(F.col("known"), F.col("delta_rw")).otherwise(F.col("delta"))
+    return best.select("ordinal", *KEYS, "known", F.when((F.col("best.rnk") > 0) & enough, F.col("best.cand")).alias("best_word"))
+
+
 def doc_summary(rows: DataFrame) -> DataFrame:
     """(doc_id, total_tokens, tokens_changed, tokens_protected, tokens_abstained, edit_rate)."""
     changed = F.count_if(F.col("decision") == "apply")

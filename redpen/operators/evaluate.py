@@ -102,6 +102,14 @@ def intrinsic(cases: DataFrame) -> DataFrame:
     return cases.agg(F.count_if(error).alias("total_errors"), F.count_if(~error).alias("total_negatives"), F.count_if(error & right).alias("hits"), F.count_if(~error & ~right).alias("harmful"))
 
 
+def overall(cases: DataFrame) -> DataFrame:
+    """One row over all cases: errors that are put right or not, harmless words that are left alone or not, recall and false positive rate."""
+    error, right = F.col("expected") != F.col("wrong"), F.col("corrected") == F.col("expected")
+    x = cases.agg(F.count_if(error & right).alias("tp"), F.count_if(error & ~right).alias("fn"), F.count_if(~error & right).alias("tn"), F.count_if(~error & ~right).alias("fp"))
+    share = lambda a, b: 100 * F.col(a) / F.nullif(F.col(a) + F.col(b), F.lit(0))
+    return x.select("*", share("tp", "fn").alias("recall_pct"), share("fp", "tn").alias("fpr_pct"))
+
+
 def grid(spark, **values: list) -> DataFrame:
     """All combinations of parameter values, numbered in order."""
     import itertools
@@ -116,20 +124,6 @@ def best_configuration(results: DataFrame) -> DataFrame:
     return results.where("harmful = 0").orderBy(F.desc("recall"), "ordinal").limit(1)
 
 
-def hardness(dist, length, has_context, category):
-    """How hard a case is: distance and category weigh, short words and missing context add."""
-    return 2.0 * dist + F.when(length <= 5, 1.0).otherwise(0.0) + F.when(has_context, 0.0).otherwise(0.5) + F.when(category == "real-word", 1.5).when(category == "non-word", 0.5).otherwise(0.0)
-
-
-def hard_subset(cases: DataFrame, quota: int, per_pair: int = 2, per_word: int = 2) -> DataFrame:
-    """The hardest cases of each category, few of one pair or wrong word."""
-    order = [F.desc("hardness"), F.col("case_id")]
-    w = lambda *k: F.row_number().over(Window.partitionBy(*k).orderBy(*order))
-    x = cases.withColumn("of_pair", w("category", "wrong", "expected")).where(F.col("of_pair") <= per_pair)
-    x = x.withColumn("of_word", w("category", "wrong")).where(F.col("of_word") <= per_word)
-    return x.withColumn("place", w("category")).where(F.col("place") <= quota).drop("of_pair", "of_word")
-
-
 def golden_difference(current: DataFrame, golden: DataFrame) -> DataFrame:
     """Rows of either side that the other lacks."""
     cols = golden.columns

@@ -48,6 +48,11 @@ def letter_of(u: Column) -> Column:
     return F.substring(F.lit(LETTERS), pick(u, F.lit(26)), F.lit(1))
 
 
+def let(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once, however often it is mentioned."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def confused(this: Column, u: Column) -> Column:
     """A letter that is easily taken for this one; itself at times, as the table has it."""
     out = letter_of(u)
@@ -56,14 +61,28 @@ def confused(this: Column, u: Column) -> Column:
     return out
 
 
-def ocr(w: Column) -> Column:
-    """The first pair of the table, in either direction, that applies, at its first place; null if none does."""
-    out = F.lit(None).cast("string")
-    for pair in reversed(OCR_PAIRS):
-        for a, b in (pair.split()[::-1], pair.split()):
-            at = F.locate(a, w)
-            out = F.when(at > 0, F.concat(F.substring(w, F.lit(1), at - 1), F.lit(b), F.substring(w, at + len(a), F.length(w)))).otherwise(out)
-    return out
+def ocr(w: Column, u: Column) -> Column:
+    """One of the pairs that apply, by equal shares, at its first place; null if none applies."""
+    pairs = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in OCR_PAIRS])
+    apply = lambda p: let(F.position(p["a"], w), lambda at: F.concat(F.substring(w, F.lit(1), at - 1), p["b"], F.substring(w, at + F.length(p["a"]), F.length(w))))
+    return let(F.filter(pairs, lambda p: F.contains(w, p["a"])), lambda some: let(F.get(some, pick(u, F.size(some)) - 1), lambda p: F.when(F.size(some) > 0, apply(p))))
+
+
+def capital_first(original: Column, new: Column) -> Column:
+    return F.when(original.rlike("^[A-Z]"), F.concat(F.upper(F.substring(new, 1, 1)), F.substring(new, 2, 10**6))).otherwise(new)
+
+
+def one_edit(word: Column, u, p_ocr: float) -> Column:
+    """A scan confusion with probability ``p_ocr`` if any applies, else one of four operators; the first capital stays. ``u`` gives uniform numbers by name."""
+
+    def of(w: Column) -> Column:
+        n = F.length(w)
+        op = F.element_at(F.array(*map(F.lit, OPERATORS)), pick(u("op"), F.lit(4)))
+        at = let(op, lambda o: pick(u("at"), F.when(o == "transpose", n - 1).when(o == "insert", n + 1).otherwise(n)))
+        typo = let(op, lambda o: let(at, lambda i: edit(w, o, i, F.when(o == "substitute", confused(F.substring(w, i, F.lit(1)), u("let"))).otherwise(letter_of(u("let"))))))
+        return F.when(u("ocr") < p_ocr, F.coalesce(ocr(w, u("pair")), typo)).otherwise(typo)
+
+    return capital_first(word, let(F.lower(word), of))
 
 
 def variant_seeds(df: DataFrame, row_id: str, seed: int, variants: int = 1, levels=NOISE_LEVELS) -> DataFrame:
@@ -73,38 +92,45 @@ def variant_seeds(df: DataFrame, row_id: str, seed: int, variants: int = 1, leve
     return rows.withColumn("seed_variant", tf.hash_int(F.lit(seed), F.col(row_id), F.col("corruption_level"), F.col("variant_id")))
 
 
-def corrupted(rows: DataFrame, row_id: str, text: str = "text", p_ocr: float = 0.35, keys: tuple[str, ...] = ()) -> DataFrame:
+def _summed(toks: Column, word: str) -> Column:
+    return F.size(F.filter(toks, lambda t: t[word])).cast("long")
+
+
+def corrupted(rows: DataFrame, row_id: str, text: str = "text", p_ocr: float = 0.35, keys: tuple[str, ...] = (), punctuation: bool = False) -> DataFrame:
     """(row_id, keys, noisy_text, edited_tokens, total_word_tokens) of rows with seed_variant, p and max_edits.
 
-    A word is edited if its uniform number is under p; an edit is a scan confusion with probability p_ocr
-    where one applies, else one of four operators. A second edit needs a number under a quarter.
+    A word is edited if its uniform number is under p, once to max_edits times by equal shares. With ``punctuation`` a mark of , . ; :
+    is dropped with probability p / 12. All of it is a function of the row, so nothing is shuffled.
     """
-    toks = rows.select(row_id, *keys, "seed_variant", "p", "max_edits", F.posexplode(tf.pieces(F.col(text))).alias("pos", "x")).select(row_id, *keys, "seed_variant", "p", "max_edits", "pos", F.col("x.text").alias("tok"), F.col("x.ws").alias("ws"))
-    u = lambda k: tf.hash_uniform(F.col("seed_variant"), F.col("pos"), F.lit(k))
+    u = lambda i, k: tf.hash_uniform(F.col("seed_variant"), i, F.lit(k))
+    word = lambda t: t.rlike("^[A-Za-z]+$")
+    hit = lambda t, i: eligible(t) & (u(i, "hit") < F.col("p"))
+    first = F.transform("toks", lambda t, i: F.struct(t.alias("t"), word(t).alias("word"), hit(t, i).alias("hit")))
+    once = F.transform("toks", lambda x, i: F.struct(x["word"].alias("word"), x["hit"].alias("hit"), F.when(x["hit"], one_edit(x["t"], lambda k: u(i, f"a{k}"), p_ocr)).otherwise(x["t"]).alias("t")))
+    more = lambda x, i: x["hit"] & (pick(u(i, "edits"), F.col("max_edits")) > 1)
+    twice = F.transform("toks", lambda x, i: F.struct(x["word"].alias("word"), x["hit"].alias("hit"), F.when(more(x, i), one_edit(x["t"], lambda k: u(i, f"b{k}"), p_ocr)).otherwise(x["t"]).alias("t")))
+    out = rows.select(row_id, *keys, "seed_variant", "p", "max_edits", tf.noise_tokens(F.col(text)).alias("toks")).withColumn("toks", first).withColumn("toks", once).withColumn("toks", twice)
+    if punctuation:
+        dropped = lambda x, i: x["t"].isin(",", ".", ";", ":") & (u(i, "mark") < F.col("p") / 6) & (u(i, "drop") < 0.5)
+        out = out.withColumn("toks", F.transform("toks", lambda x, i: F.struct(x["word"].alias("word"), x["hit"].alias("hit"), F.when(dropped(x, i), "").otherwise(x["t"]).alias("t"))))
+    return out.select(row_id, *keys, F.array_join(F.transform("toks", lambda x: x["t"]), "").alias("noisy_text"), _summed(F.col("toks"), "hit").alias("edited_tokens"), _summed(F.col("toks"), "word").alias("total_word_tokens"))
 
-    def once(w: Column, k: str) -> Column:
-        op = F.element_at(F.array(*map(F.lit, OPERATORS)), pick(u(f"{k}op"), F.lit(4)))
-        at = F.least(F.length(w), F.lit(1) + pick(u(f"{k}at"), F.greatest(F.length(w) - 1, F.lit(1))))
-        letter = F.when(op == "substitute", confused(F.lower(F.substring(w, at, F.lit(1))), u(f"{k}let"))).otherwise(letter_of(u(f"{k}let")))
-        scan = ocr(w)
-        return F.when((u(f"{k}ocr") < p_ocr) & scan.isNotNull(), scan).otherwise(edit(w, op, at, letter))
 
-    hit = eligible(F.col("tok")) & (u("hit") < F.col("p"))
-    first = toks.select("*", hit.alias("hit")).select("*", F.when(F.col("hit"), once(F.col("tok"), "a")).otherwise(F.col("tok")).alias("one"))
-    again = F.col("hit") & (F.col("max_edits") > 1) & (u("again") < 0.25)
-    done = first.withColumn("new", F.when(again, once(F.col("one"), "b")).otherwise(F.col("one")))
-    parts = F.array_sort(F.collect_list(F.struct("pos", F.concat("new", "ws").alias("part"))))
-    return done.groupBy(row_id, *keys).agg(F.array_join(F.transform(parts, lambda x: x["part"]), "").alias("noisy_text"), F.count_if("hit").alias("edited_tokens"), F.count_if(F.col("tok").rlike("[A-Za-z]")).alias("total_word_tokens"))
+def paper_noise(rows: DataFrame, row_id: str, text: str, seed: int) -> DataFrame:
+    """(row_id, noisy_text, edited_tokens, total_word_tokens): a word of length n is hit with probability 0.15 / sqrt(n); half are substitutions by letters
+    that look alike, a quarter each deletions (of two letters and more) and insertions. The first capital stays."""
 
+    def noisy(t: Column, i: Column) -> Column:
+        u = lambda k: tf.hash_uniform(F.lit(seed), F.col("row_id"), i, F.lit(k))
 
-def paper_noise(rows: DataFrame, row_id: str, text: str, seed: int) -> DataFrame:
-    """(row_id, noisy_text, edited_tokens, total_word_tokens): a word of length n is hit with probability 0.15 / sqrt(n); half are substitutions, a quarter each deletions and insertions."""
-    toks = rows.select(F.col(row_id).alias("row_id"), F.posexplode(tf.pieces(F.col(text))).alias("pos", "x")).select("row_id", "pos", F.col("x.text").alias("tok"), F.col("x.ws").alias("ws"))
-    u = lambda k: tf.hash_uniform(F.lit(seed), F.col("row_id"), F.col("pos"), F.lit(k))
-    w, n = F.col("tok"), F.length("tok")
-    hit = w.rlike("^[A-Za-z]+$") & (u("hit") < F.lit(0.15) / F.sqrt(n))
-    op = F.when(u("op") < 0.5, "substitute").when(u("op") < 0.75, "delete").otherwise("insert")
-    new = F.when(hit, edit(w, op, pick(u("at"), n), letter_of(u("let")))).otherwise(w)
-    parts = F.array_sort(F.collect_list(F.struct("pos", F.concat("new", "ws").alias("part"))))
-    done = toks.select("*", hit.alias("hit"), new.alias("new"))
-    return done.groupBy("row_id").agg(F.array_join(F.transform(parts, lambda x: x["part"]), "").alias("noisy_text"), F.count_if("hit").alias("edited_tokens"), F.count_if(F.col("tok").rlike("[A-Za-z]")).alias("total_word_tokens"))
+        def of(w: Column) -> Column:
+            n = F.length(w)
+            op = F.when(u("op") < 0.5, "substitute").when(u("op") < 0.75, F.when(n > 1, "delete").otherwise("none")).otherwise("insert")
+            return let(op, lambda o: let(pick(u("at"), F.when(o == "insert", n + 1).otherwise(n)), lambda at: edit(w, o, at, F.when(o == "substitute", confused(F.substring(w, at, F.lit(1)), u("let"))).otherwise(letter_of(u("let"))))))
+
+        word = t.rlike("^[A-Za-z]+$")
+        hit = word & (u("hit") < F.lit(0.15) / F.sqrt(F.length(t)))
+        return let(hit, lambda h: F.struct(word.alias("word"), h.alias("hit"), F.when(h, capital_first(t, let(F.lower(t), of))).otherwise(t).alias("t")))
+
+    done = rows.select(F.col(row_id).alias("row_id"), tf.noise_tokens(F.col(text)).alias("toks")).withColumn("toks", F.transform("toks", noisy))
+    return done.select("row_id", F.array_join(F.transform("toks", lambda x: x["t"]), "").alias("noisy_text"), _summed(F.col("toks"), "hit").alias("edited_tokens"), _summed(F.col("toks"), "word").alias("total_word_tokens"))

@@ -38,11 +38,20 @@ def extras(known: Column, dist: Column, length_difference: Column, p: Params = P
     return F.when(known, 0.0).otherwise(p.w_nonword_distance * dist) + p.w_length * length_difference
 
 
-def keep_threshold(count: Column, best_count: Column, dist: Column, evidence: Column, p: Params = Params()) -> Column:
-    """Margin that a known word asks for, adapted to how common it is, how far the candidate is and how much context speaks.
+def keep_threshold(original: dict[str, Column], best: dict[str, Column], dist: Column, p: Params = Params(), keep_bonus: float = 0.0, margin: float | None = None) -> Column:
+    """The score that a candidate for a known word must reach, adapted to both words and their context.
 
-    It rises with the original's popularity against the candidate's and with distance, falls with evidence, by 4 at most,
-    and never below 1.5. A separate function: the corrector itself uses the fixed margin.
+    ``original`` has score, cnt, and left and right, its counts beside the neighbours (null or 0 without); ``best`` the same but the score.
+    A frequent original raises the bonus for keeping it and a rare one lowers it; one edit lowers the margin and two raise it. Context that speaks for the
+    candidate, and its being the more frequent word, give a discount of 4 at most. The improvement asked for is 1.5 at least. The
+    corrector itself uses the fixed margin.
     """
-    popularity = F.log10(F.coalesce(count, F.lit(0)) + 1) - F.log10(F.coalesce(best_count, F.lit(0)) + 1)
-    return F.greatest(F.lit(1.5), F.lit(p.delta_rw) + popularity + (dist - 1) - F.least(F.lit(4.0), F.greatest(F.lit(0.0), evidence)))
+    n = lambda c: F.coalesce(c, F.lit(0))
+    z = F.round(zipf(original["cnt"]), 9)
+    bonus = keep_bonus + F.when(z >= 5.5, 1.0).when(z >= 4.5, 0.6).when(z <= 2.0, -0.7).when(z <= 2.5, -0.4).otherwise(0.0)
+    asked = (p.delta_rw if margin is None else margin) + F.when(dist == 1, -0.4).when(dist == 2, 0.8).otherwise(0.0)
+    support, was = n(best["left"]) + n(best["right"]), n(original["left"]) + n(original["right"])
+    between = lambda x, most: F.greatest(F.lit(0.0), F.least(F.lit(most), x))
+    evidence = F.when(support > 0, between(F.log10((support + 1.0) / (was + 1.0)) * 1.3, 3.0) + F.when(support >= 50, 0.5).otherwise(0.0) + F.when(support >= 200, 0.5).otherwise(0.0)).otherwise(0.0)
+    usual = between(F.log10((n(best["cnt"]) + 1.0) / (n(original["cnt"]) + 1.0)) * 0.8, 1.0)
+    return F.greatest(original["score"] + bonus + asked - F.least(evidence + usual, F.lit(4.0)), original["score"] + 1.5)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from redpen.lexicons import ACADEMIC_STOP_WORDS, PROSE_KEYWORDS, PROTECTED_WORDS
+from redpen.lexicons import ACADEMIC_STOP_WORDS, CHARACTER_CONFUSIONS, COVID_18, COVID_VARIANTS, OCR_PAIRS, PROSE_KEYWORDS, PROTECTED_WORDS
+from redpen.operators.cases import QUOTA
+from redpen.plans.queries import UI_TOKENS
 
 ORACLE: dict[str, str] = {}
 
@@ -72,7 +74,7 @@ _score = {k: " + ".join(f"CASE WHEN contains(title, '{w}') THEN 2 WHEN contains(
 LABELLED = f"""SELECT doc_id, CASE WHEN a >= 2 AND a > b AND a > c THEN 'Prevention' WHEN b >= 2 AND b > a AND b > c THEN 'Treatment' WHEN c >= 2 AND c > a AND c > b THEN 'Epidemiology' END AS label
   FROM (SELECT doc_id, {_score['Prevention']} AS a, {_score['Treatment']} AS b, {_score['Epidemiology']} AS c FROM (SELECT doc_id, {_title} AS title, {_abstract} AS abstract FROM documents WHERE lang = 'en'))"""
 ORACLE["weak_label"] = LABELLED
-ORACLE["label_cap"] = f"SELECT * FROM (SELECT doc_id, label, row_number() OVER (PARTITION BY label ORDER BY doc_id) AS rank FROM ({LABELLED}) WHERE label IS NOT NULL) WHERE rank <= 50"
+ORACLE["label_cap"] = f"SELECT * FROM (SELECT doc_id, label, row_number() OVER (PARTITION BY label ORDER BY doc_id) AS rank FROM ({LABELLED}) WHERE label IS NOT NULL) WHERE rank <= 10000"
 ORACLE["corpus_lines"] = "SELECT doc_id AS row_id, CAST(0 AS BIGINT) AS field, trim(substr(text, 1, 80)) AS line FROM documents WHERE lang = 'en' AND trim(substr(text, 1, 80)) <> '' UNION ALL SELECT doc_id, 1, trim(substr(text, 81)) FROM documents WHERE lang = 'en' AND trim(substr(text, 81)) <> ''"
 ORACLE["stratified_split"] = f"SELECT doc_id, quality, row_number() OVER (PARTITION BY quality ORDER BY {hash_int('42', 'doc_id')}, doc_id) <= floor(count(*) OVER (PARTITION BY quality) * 0.2 + 0.5) AS is_test FROM labels WHERE quality IS NOT NULL"
 ORACLE["class_token_stats"] = f"SELECT quality, count(*) AS n_rows, CAST(sum(len({TOKENS})) AS BIGINT) AS n_tokens, {milli(f'sum(len({TOKENS})) / count(*)')} AS mean_milli FROM labels JOIN documents USING (doc_id) GROUP BY quality"
@@ -121,7 +123,7 @@ def keys(w: str) -> str:
     return f"list_distinct(list_concat([{w}], list_concat({once(w)}, {twice})))"
 
 
-ORACLE["deletion_index"] = f"WITH {W}, {U} SELECT del_key, count(*) AS n_words, min(word) AS first_word FROM (SELECT word, unnest({keys('word')}) AS del_key FROM u WHERE cnt >= 10 AND length(word) <= 30) GROUP BY del_key"
+ORACLE["deletion_index"] = f"WITH {W}, {U} SELECT del_key, count(*) AS n_words, min(word) AS first_word FROM (SELECT word, unnest({keys('word')}) AS del_key FROM u WHERE cnt >= 3 AND length(word) <= 30) GROUP BY del_key"
 
 
 def one_byte(w: str) -> str:
@@ -129,13 +131,13 @@ def one_byte(w: str) -> str:
     return f"translate({w}, 'éèêëàâäáãçîïíìôöóòûüúùñßœæ', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ')"
 
 
-def near(asked: str) -> str:
-    """CTEs k1, k2, n: candidates of the words of ``asked`` (tok) among u."""
-    return f"""k1 AS (SELECT word, unnest({keys('word')}) AS k FROM u WHERE cnt >= 3 AND length(word) <= 30),
-k2 AS (SELECT tok, unnest({keys('tok')}) AS k FROM ({asked}) WHERE length(tok) <= 32),
-n AS (SELECT *, row_number() OVER (PARTITION BY tok ORDER BY cnt DESC, dist, cand DESC) AS rnk FROM (
-  SELECT tok, cand, damerau_levenshtein({one_byte('tok')}, {one_byte('cand')}) AS dist, u.cnt FROM (SELECT DISTINCT tok, word AS cand FROM k2 JOIN k1 USING (k) WHERE tok <> word AND abs(length(tok) - length(word)) <= 2) JOIN u ON u.word = cand
-) WHERE dist <= 2 QUALIFY rnk <= 80)"""
+def near(asked: str, rank: bool = True, p: str = "", u: str = "u") -> str:
+    """CTEs k1, k2, n: candidates of the words of ``asked`` (tok) among u; all of them, or the 80 most frequent."""
+    return f"""{p}k1 AS (SELECT word, unnest({keys('word')}) AS k FROM {u} WHERE cnt >= 3 AND length(word) <= 30),
+{p}k2 AS (SELECT tok, unnest({keys('tok')}) AS k FROM ({asked}) WHERE length(tok) <= 32),
+{p}n AS (SELECT *, row_number() OVER (PARTITION BY tok ORDER BY cnt DESC, dist, cand DESC) AS rnk FROM (
+  SELECT tok, cand, damerau_levenshtein({one_byte('tok')}, {one_byte('cand')}) AS dist, {u}.cnt FROM (SELECT DISTINCT tok, word AS cand FROM {p}k2 JOIN {p}k1 USING (k) WHERE tok <> word AND abs(length(tok) - length(word)) <= 2) JOIN {u} ON {u}.word = cand
+) WHERE dist <= 2{' QUALIFY rnk <= 80' if rank else ''})"""
 
 
 RARE = "SELECT word AS tok FROM u WHERE cnt < 3 AND length(word) > 3"
@@ -147,11 +149,10 @@ f AS (SELECT *, row_number() OVER (PARTITION BY tok ORDER BY round(2.2 * ln((cnt
 SELECT tok, cand, CAST(dist AS BIGINT) AS dist, row_number() OVER (PARTITION BY tok ORDER BY dist, cnt DESC, cand) AS rank FROM f QUALIFY rank <= 5"""
 
 _protect = ", ".join("'" + x.replace("'", "''") + "'" for x in PROTECTED_WORDS)
-CORRECTED = rf"""w AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(coalesce(text, ''), '{PIECE}', 1), lambda x: lower(x)), lambda x: regexp_matches(x, '\p{{L}}')) AS a FROM documents WHERE lang = 'en'),
-{U}, {B}, s AS (SELECT sum(cnt) AS nn, count(*) AS v FROM u), tt AS (SELECT prev, sum(cnt) AS total FROM b GROUP BY prev),
-t0 AS (SELECT doc_id, unnest(range(len(a))) AS pos, unnest(a) AS tok, unnest(ws) AS ws FROM (SELECT doc_id, regexp_extract_all(text, '{PIECE}', 1) AS a, regexp_extract_all(text, '{PIECE}', 2) AS ws FROM documents WHERE lang = 'en')),
-t1 AS (SELECT *, lower(tok) AS tl, lower(lag(tok) OVER o) AS prev, lower(lead(tok) OVER o) AS next FROM t0 WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
-t2 AS (SELECT t1.*, {GATE} AS gate0, {RULE} AS rule, coalesce(u.cnt, 0) >= 3 AS known, length(tl) <= 3 OR tl IN ({_protect}) AS common FROM t1 LEFT JOIN u ON u.word = tl),
+LM = rf"""w AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(coalesce(text, ''), '{PIECE}', 1), lambda x: lower(x)), lambda x: regexp_matches(x, '\p{{L}}')) AS a FROM documents WHERE lang = 'en'),
+{U}, {B}, s AS (SELECT sum(cnt) AS nn, count(*) AS v FROM u), tt AS (SELECT prev, sum(cnt) AS total FROM b GROUP BY prev)"""
+#: What the corrector makes of the rows of t1: tok, tl, prev, next in lower case, and any others.
+DECIDE = rf"""t2 AS (SELECT t1.*, {GATE} AS gate0, {RULE} AS rule, coalesce(u.cnt, 0) >= 3 AS known, length(tl) <= 3 OR tl IN ({_protect}) AS common FROM t1 LEFT JOIN u ON u.word = tl),
 work AS (SELECT DISTINCT tl, prev, next, known FROM t2 WHERE gate0 IS NULL AND rule IS NULL AND NOT (known AND common)),
 {near('SELECT DISTINCT tl AS tok FROM work')},
 opt AS (SELECT tok, cand, dist, cnt, rnk FROM n UNION ALL SELECT DISTINCT tl, tl, 0, coalesce(u.cnt, 0), 0 FROM work LEFT JOIN u ON u.word = tl),
@@ -160,16 +161,19 @@ j AS (SELECT work.*, opt.cand, opt.dist, opt.rnk, ln((opt.cnt + 1) / (nn + v)) A
   LEFT JOIN b AS br ON br.prev = opt.cand AND br.word = work.next LEFT JOIN tt AS tc ON tc.prev = opt.cand),
 sc AS (SELECT tl, prev, next, known, cand, rnk, alone + 1.2 * (CASE WHEN prev IS NULL OR lt IS NULL THEN alone WHEN lc > 0 THEN ln((lc + 0.01) / (lt + 0.01 * v)) ELSE ln(0.4) + alone END)
   + (CASE WHEN next IS NULL THEN 0 WHEN rt IS NULL THEN nalone WHEN rc > 0 THEN ln((rc + 0.01) / (rt + 0.01 * v)) ELSE ln(0.4) + nalone END) + 0.08 * log10(cnt + 1) - 2.2 * dist
-  - (CASE WHEN rnk = 0 THEN 0 ELSE (CASE WHEN known THEN 0 ELSE 4.0 * dist END) + 0.5 * abs(length(cand) - length(tl)) END) AS score FROM j),
+  - (CASE WHEN rnk = 0 THEN 0 ELSE (CASE WHEN known THEN 0 ELSE 4.0 * dist END) + 0.5 * abs(length(cand) - length(tl)) END) AS score, CASE WHEN prev IS NULL OR lt IS NULL THEN alone WHEN lc > 0 THEN ln((lc + 0.01) / (lt + 0.01 * v)) ELSE ln(0.4) + alone END AS ll, dist FROM j),
 best AS (SELECT tl, prev, next, known, cand, rnk, score FROM sc WHERE known OR rnk > 0 QUALIFY row_number() OVER (PARTITION BY tl, prev, next, known ORDER BY round(score, 9) DESC, rnk) = 1),
 ch AS (SELECT best.tl, best.prev, best.next, best.cand, best.rnk > 0 AS moved, best.score - o.score AS margin, round(best.score - o.score, 9) >= (CASE WHEN best.known THEN 5 ELSE 0 END) AS enough
   FROM best JOIN sc AS o ON o.rnk = 0 AND o.tl = best.tl AND o.prev IS NOT DISTINCT FROM best.prev AND o.next IS NOT DISTINCT FROM best.next),
-fin AS (SELECT t2.doc_id, t2.pos, t2.tok, t2.ws, CASE WHEN gate0 IS NULL AND rule IS NOT NULL THEN rule WHEN moved AND enough THEN ch.cand ELSE tok END AS corrected,
+fin AS (SELECT t2.* EXCLUDE (gate0, rule), CASE WHEN gate0 IS NULL AND rule IS NOT NULL THEN rule WHEN moved AND enough THEN ch.cand ELSE tok END AS corrected,
   CASE WHEN gate0 IS NOT NULL THEN 'Correct' WHEN rule IS NOT NULL THEN 'Real-word error' WHEN moved AND enough THEN (CASE WHEN known THEN 'Real-word error' ELSE 'Non-word error' END) WHEN known THEN 'Correct' ELSE 'Unknown (OOV)' END AS error_type,
   CASE WHEN (gate0 IS NULL AND rule IS NOT NULL) OR (moved AND enough) THEN 'apply' ELSE 'abstain' END AS decision,
   CASE WHEN gate0 IS NOT NULL THEN gate0 WHEN rule IS NOT NULL THEN NULL WHEN known AND common THEN 'real_word_protect' WHEN moved AND NOT enough THEN (CASE WHEN known THEN 'margin_delta_rw' ELSE 'margin_delta' END) END AS gate,
-  CASE WHEN moved THEN margin END AS margin
+  CASE WHEN moved THEN margin END AS margin, gate0 IS NULL AND rule IS NULL AND NOT (known AND common) AS open
   FROM t2 LEFT JOIN ch ON ch.tl = t2.tl AND ch.prev IS NOT DISTINCT FROM t2.prev AND ch.next IS NOT DISTINCT FROM t2.next AND t2.gate0 IS NULL AND t2.rule IS NULL)"""
+PIECES_OF = lambda source, key: rf"""t0 AS (SELECT {key}, unnest(range(len(a))) AS pos, unnest(a) AS tok, unnest(ws) AS ws FROM (SELECT {key}, regexp_extract_all(text, '{PIECE}', 1) AS a, regexp_extract_all(text, '{PIECE}', 2) AS ws FROM {source})),
+t1 AS (SELECT *, lower(tok) AS tl, lower(lag(tok) OVER o) AS prev, lower(lead(tok) OVER o) AS next FROM t0 WINDOW o AS (PARTITION BY {key} ORDER BY pos))"""
+CORRECTED = f"{LM}, {PIECES_OF("(SELECT * FROM documents WHERE lang = 'en')", 'doc_id')}, {DECIDE}"
 SUMMARY = "SELECT doc_id, count(*) AS total_tokens, count(*) FILTER (decision = 'apply') AS tokens_changed, count(*) FILTER (gate IS NOT NULL) AS tokens_protected, count(*) FILTER (decision = 'abstain' AND gate IS NULL) AS tokens_abstained FROM fin GROUP BY doc_id"
 ORACLE["correct_tokens"] = f"WITH {CORRECTED} SELECT doc_id, pos, tok, corrected, error_type, decision, gate IS NOT NULL AS protected, gate, {milli('margin')} AS margin_milli FROM fin"
 ORACLE["doc_summary"] = f"WITH {CORRECTED} {SUMMARY}"
@@ -188,16 +192,49 @@ def letter(u: str) -> str:
 
 NOISE_STOP = "the and with from that this were was are for into over under than then have has had been being these those their there here such also using used".split()
 _ns = ", ".join(f"'{x}'" for x in NOISE_STOP)
-ORACLE["noise_levels"] = f"""WITH l(corruption_level, p) AS (VALUES ('light', 0.035), ('medium', 0.070), ('heavy', 0.110)), v(variant_id) AS (VALUES (0), (1)),
-r AS (SELECT item_id, text, corruption_level, CAST(p AS DOUBLE) AS p, CAST(variant_id AS BIGINT) AS variant_id, {hash_int('7', 'item_id', 'corruption_level', 'variant_id')} AS seed_variant FROM benchmark, l, v),
-t AS (SELECT * EXCLUDE (text, a), unnest(range(len(a))) AS pos, unnest(a) AS tok FROM (SELECT *, regexp_extract_all(text, '{PIECE}', 1) AS a FROM r))
-SELECT item_id, corruption_level, variant_id, seed_variant, count(*) FILTER (regexp_full_match(tok, '[A-Za-z]{{5,}}') AND lower(tok) NOT IN ({_ns}) AND {uniform('seed_variant', 'pos', "'hit'")} < p) AS edited_tokens, count(*) FILTER (regexp_matches(tok, '[A-Za-z]')) AS total_word_tokens
-FROM t GROUP BY ALL"""
+NOISE_TOKEN = r"([A-Za-z]+(?:[-''][A-Za-z0-9]+)*|\p{Nd}+(?:\.\p{Nd}+)?|[ \t\n\r\f\x0B]+|[^\p{L}\p{N}_ \t\n\r\f\x0B])"
+_quoted = lambda x: "'" + x.replace("'", "''") + "'"
+SCAN = "[" + ", ".join(f"{{'a': {_quoted(a)}, 'b': {_quoted(b)}}}" for a, b in OCR_PAIRS) + "]"
+
+
+def alike(c: str, u: str) -> str:
+    cases = " ".join(f"WHEN {c} = '{k}' THEN substr('{v}', CAST(floor({u} * {len(v)}) AS BIGINT) + 1, 1)" for k, v in CHARACTER_CONFUSIONS.items())
+    return f"(CASE {cases} ELSE {letter(u)} END)"
+
+
+def typo(w: str, op: str, at: str, let: str) -> str:
+    """``w`` after one edit at place ``at`` (from 1)."""
+    return f"""(CASE WHEN {op} = 'substitute' THEN substr({w}, 1, {at} - 1) || {alike(f'substr({w}, {at}, 1)', let)} || substr({w}, {at} + 1) WHEN {op} = 'delete' THEN substr({w}, 1, {at} - 1) || substr({w}, {at} + 1)
+  WHEN {op} = 'insert' THEN substr({w}, 1, {at} - 1) || {letter(let)} || substr({w}, {at}) WHEN {op} = 'transpose' THEN substr({w}, 1, {at} - 1) || substr({w}, {at} + 1, 1) || substr({w}, {at}, 1) || substr({w}, {at} + 2) ELSE {w} END)"""
+
+
+def recap(old: str, new: str) -> str:
+    return f"(CASE WHEN regexp_matches({old}, '^[A-Z]') THEN upper(substr({new}, 1, 1)) || substr({new}, 2) ELSE {new} END)"
+
+
+def edit_ctes(source: str, out: str, k: str, when: str) -> str:
+    """CTEs that give the rows of ``source`` (seed_variant, pos, tok) one edit each where ``when`` holds."""
+    u = lambda x: uniform("seed_variant", "pos", f"'{k}{x}'")
+    return f"""{out}1 AS MATERIALIZED (SELECT *, lower(tok) AS w, {when} AS now, ['transpose', 'delete', 'insert', 'substitute'][CAST(floor({u('op')} * 4) AS BIGINT) + 1] AS op, list_filter({SCAN}, lambda p: contains(lower(tok), p['a'])) AS apt FROM {source}),
+{out}2 AS MATERIALIZED (SELECT *, CAST(floor({u('at')} * (CASE WHEN op = 'transpose' THEN length(w) - 1 WHEN op = 'insert' THEN length(w) + 1 ELSE length(w) END)) AS BIGINT) + 1 AS pl, apt[CAST(floor({u('pair')} * len(apt)) AS BIGINT) + 1] AS pair FROM {out}1),
+{out} AS MATERIALIZED (SELECT * EXCLUDE (tok, w, now, op, apt, pl, pair), CASE WHEN NOT now THEN tok WHEN {u('ocr')} < CAST(0.35 AS DOUBLE) AND len(apt) > 0 THEN {recap('tok', "(substr(w, 1, position(pair['a'] IN w) - 1) || pair['b'] || substr(w, position(pair['a'] IN w) + length(pair['a'])))")}
+  ELSE {recap('tok', typo('w', 'op', 'pl', u('let')))} END AS tok FROM {out}2)"""
+
+
+_v = lambda k: uniform("seed_variant", "pos", f"'{k}'")
+ORACLE["noise_levels"] = f"""WITH l(corruption_level, p, m) AS (VALUES ('mild', 0.035, 1), ('moderate', 0.070, 1), ('severe', 0.110, 2)), v(variant_id) AS (VALUES (0), (1)),
+r AS (SELECT item_id, text, corruption_level, CAST(p AS DOUBLE) AS p, m, CAST(variant_id AS BIGINT) AS variant_id, {hash_int('7', 'item_id', 'corruption_level', 'variant_id')} AS seed_variant FROM benchmark, l, v),
+t AS (SELECT * EXCLUDE (text, a), unnest(range(len(a))) AS pos, unnest(a) AS tok FROM (SELECT *, regexp_extract_all(coalesce(text, ''), '{NOISE_TOKEN}', 1) AS a FROM r)),
+h AS (SELECT *, regexp_full_match(tok, '[A-Za-z]+') AS word, regexp_full_match(tok, '[A-Za-z]{{5,}}') AND lower(tok) NOT IN ({_ns}) AND {_v('hit')} < p AS hit FROM t),
+{edit_ctes('h', 'one', 'a', 'hit')}, {edit_ctes('one', 'two', 'b', f"hit AND floor({_v('edits')} * m) + 1 > 1")},
+f AS (SELECT *, CASE WHEN tok IN (',', '.', ';', ':') AND {_v('mark')} < p / 6 AND {_v('drop')} < CAST(0.5 AS DOUBLE) THEN '' ELSE tok END AS said FROM two)
+SELECT item_id, corruption_level, variant_id, seed_variant, string_agg(said, '' ORDER BY pos) AS noisy_text, count(*) FILTER (hit) AS edited_tokens, count(*) FILTER (word) AS total_word_tokens FROM f GROUP BY ALL"""
 _u = lambda k: uniform("11", "doc_id", "pos", f"'{k}'")
-ORACLE["noise_paper"] = f"""WITH t AS (SELECT doc_id, unnest(range(len(a))) AS pos, unnest(a) AS tok, unnest(b) AS ws FROM (SELECT doc_id, regexp_extract_all(text, '{PIECE}', 1) AS a, regexp_extract_all(text, '{PIECE}', 2) AS b FROM documents WHERE lang = 'en')),
-h AS (SELECT *, regexp_full_match(tok, '[A-Za-z]+') AND {_u('hit')} < CAST(0.15 AS DOUBLE) / sqrt(length(tok)) AS hit, {_u('op')} AS op, CAST(floor({_u('at')} * length(tok)) AS BIGINT) + 1 AS pl, {letter(_u('let'))} AS let FROM t)
-SELECT doc_id AS row_id, string_agg(CASE WHEN NOT hit THEN tok WHEN op < 0.5 THEN substr(tok, 1, pl - 1) || let || substr(tok, pl + 1) WHEN op < 0.75 THEN substr(tok, 1, pl - 1) || substr(tok, pl + 1) ELSE substr(tok, 1, pl - 1) || let || substr(tok, pl) END || ws, '' ORDER BY pos) AS noisy_text,
-  count(*) FILTER (hit) AS edited_tokens, count(*) FILTER (regexp_matches(tok, '[A-Za-z]')) AS total_word_tokens FROM h GROUP BY doc_id"""
+PAPER = f"""pn0 AS (SELECT doc_id, unnest(range(len(a))) AS pos, unnest(a) AS tok FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{NOISE_TOKEN}', 1) AS a FROM documents WHERE lang = 'en')),
+pn1 AS (SELECT *, lower(tok) AS w, regexp_full_match(tok, '[A-Za-z]+') AS word, regexp_full_match(tok, '[A-Za-z]+') AND {_u('hit')} < CAST(0.15 AS DOUBLE) / sqrt(length(tok)) AS hit, CASE WHEN {_u('op')} < 0.5 THEN 'substitute' WHEN {_u('op')} >= 0.75 THEN 'insert' WHEN length(tok) > 1 THEN 'delete' ELSE 'none' END AS op FROM pn0),
+pn2 AS (SELECT *, CAST(floor({_u('at')} * (CASE WHEN op = 'insert' THEN length(w) + 1 ELSE length(w) END)) AS BIGINT) + 1 AS pl FROM pn1),
+noisy AS (SELECT doc_id, string_agg(CASE WHEN hit THEN {recap('tok', typo('w', 'op', 'pl', _u('let')))} ELSE tok END, '' ORDER BY pos) AS noisy_text, count(*) FILTER (hit) AS edited_tokens, count(*) FILTER (word) AS total_word_tokens FROM pn2 GROUP BY doc_id)"""
+ORACLE["noise_paper"] = f"WITH {PAPER} SELECT doc_id AS row_id, noisy_text, edited_tokens, total_word_tokens FROM noisy"
 
 TF = f"""{W}, lw AS (SELECT doc_id, quality, a FROM labels JOIN w USING (doc_id) WHERE quality IS NOT NULL AND len(a) > 0), nd AS (SELECT count(*) AS n FROM lw),
 tf AS (SELECT doc_id, quality, term, count(*) AS tf FROM (SELECT doc_id, quality, unnest(a) AS term FROM lw UNION ALL SELECT doc_id, quality, unnest(a[1:len(a)-1]) || ' ' || unnest(a[2:len(a)]) FROM lw WHERE len(a) > 1) GROUP BY ALL),
@@ -214,8 +251,23 @@ SELECT doc_id, quality AS predicted FROM g QUALIFY row_number() OVER (PARTITION
 ORACLE["explain_terms"] = f"""WITH {TF}, {WEIGHT}, {BAYES}, co AS (SELECT term, sum(CASE WHEN quality = 1 THEN logp ELSE -logp END) AS c FROM m GROUP BY term)
 SELECT doc_id, term, row_number() OVER (PARTITION BY doc_id ORDER BY round(weight * c, 9) DESC, term) AS rank FROM wt JOIN co USING (term) QUALIFY rank <= 15"""
 
-_wrong = lambda name, share: f"CASE WHEN {uniform(repr(name), 'doc_id')} < {share} THEN 1 - quality ELSE quality END AS {name}"
-PRED = f"p AS (SELECT doc_id, quality AS truth, {_wrong('original', 0.05)}, {_wrong('noisy', 0.20)}, {_wrong('restored', 0.10)}, {_wrong('safety', 0.06)} FROM labels WHERE quality IS NOT NULL)"
+BOTH = "(SELECT 'clean' AS run, doc_id, text FROM sp WHERE is_test UNION ALL SELECT 'noisy', doc_id, noisy_text FROM sp JOIN noisy USING (doc_id) WHERE is_test)"
+_grams = lambda source, keep: f"SELECT {keep}, unnest(a) AS term FROM {source} UNION ALL SELECT {keep}, unnest(a[1:len(a)-1]) || ' ' || unnest(a[2:len(a)]) FROM {source} WHERE len(a) > 1"
+PRED = f"""{LM}, {PAPER}, sp AS (SELECT doc_id, quality, text, row_number() OVER (PARTITION BY quality ORDER BY {hash_int('42', 'doc_id')}, doc_id) <= floor(count(*) OVER (PARTITION BY quality) * 0.2 + 0.5) AS is_test
+  FROM labels JOIN documents USING (doc_id) WHERE quality IS NOT NULL AND lang = 'en'),
+{PIECES_OF(BOTH, 'run, doc_id')}, {DECIDE},
+tx AS (SELECT 'original' AS run, doc_id, text FROM sp WHERE is_test UNION ALL SELECT 'noisy', doc_id, noisy_text FROM sp JOIN noisy USING (doc_id) WHERE is_test
+  UNION ALL SELECT CASE WHEN run = 'noisy' THEN 'restored' ELSE 'safety' END, doc_id, rtrim(string_agg(corrected || ws, '' ORDER BY pos)) FROM fin GROUP BY run, doc_id),
+ta AS (SELECT doc_id, quality, {WORDS} AS a FROM sp WHERE NOT is_test), xa AS (SELECT run, doc_id, {WORDS} AS a FROM tx),
+mg AS (SELECT quality, term, count(*) AS n FROM ({_grams('ta', 'quality')}) GROUP BY ALL), mv AS (SELECT count(DISTINCT term) AS nv FROM mg), mc AS (SELECT quality, sum(n) AS total FROM mg GROUP BY quality),
+md AS (SELECT quality, count(*) AS nd, sum(count(*)) OVER () AS alld FROM ta WHERE len(a) > 0 GROUP BY quality),
+xg AS (SELECT run, doc_id, term, count(*) AS tf FROM ({_grams('xa', 'run, doc_id')}) GROUP BY ALL),
+gain AS (SELECT run, doc_id, quality, sum(tf * (ln((n + 1) / (total + nv)) - ln(1 / (total + nv)))) AS g FROM xg JOIN mg USING (term) JOIN mc USING (quality), mv GROUP BY ALL),
+best_class AS (SELECT run, doc_id, quality FROM (SELECT l.run, l.doc_id, mc.quality, ln(nd / alld) + l.len * ln(1 / (total + nv)) + coalesce(g, 0) AS score FROM (SELECT run, doc_id, sum(tf) AS len FROM xg GROUP BY ALL) AS l CROSS JOIN mc JOIN md USING (quality) CROSS JOIN mv
+  LEFT JOIN gain ON gain.run = l.run AND gain.doc_id = l.doc_id AND gain.quality = mc.quality) QUALIFY row_number() OVER (PARTITION BY run, doc_id ORDER BY round(score, 6) DESC, quality) = 1),
+p AS (SELECT sp.doc_id, sp.quality AS truth, a1.quality AS original, a2.quality AS noisy, a3.quality AS restored, a4.quality AS safety FROM sp
+  JOIN best_class AS a1 ON a1.run = 'original' AND a1.doc_id = sp.doc_id JOIN best_class AS a2 ON a2.run = 'noisy' AND a2.doc_id = sp.doc_id JOIN best_class AS a3 ON a3.run = 'restored' AND a3.doc_id = sp.doc_id JOIN best_class AS a4 ON a4.run = 'safety' AND a4.doc_id = sp.doc_id)"""
+ORACLE["four_runs"] = f"WITH {PRED} SELECT * FROM p"
 
 
 def per_class(run: str) -> str:
@@ -232,21 +284,83 @@ ORACLE["macro_f1"] = f"WITH {PRED} SELECT {milli('(SELECT avg(CASE WHEN truth =
 ORACLE["impact_deltas"] = f"""WITH {PRED}, f AS (SELECT {f1('original')} AS o, {f1('noisy')} AS n, {f1('restored')} AS r, {f1('safety')} AS s)
 SELECT {milli('(r - n)')} AS delta_recovery_milli, {milli('(o - s)')} AS safety_drop_milli, {milli('(CASE WHEN o - n > 1e-12 THEN (r - n) / (o - n) END)')} AS err_recovery_milli, {milli('(CASE WHEN 1 - n > 1e-12 THEN (r - n) / (1 - n) END)')} AS err_alternative_milli FROM f"""
 ORACLE["label_flips"] = f"WITH {PRED} SELECT doc_id, CAST(noisy IS DISTINCT FROM restored AS BIGINT) AS flip FROM p"
-_share = lambda c: f"(SELECT '{c[0]}' || {c} AS label, count(*) / 100 AS q FROM p WHERE {c} = 1 OR doc_id % 2 = 0 GROUP BY 1)"
+_share = lambda c: f"(SELECT CAST({c} AS VARCHAR) AS label, count(*) / (SELECT count(*) FROM p) AS q FROM p GROUP BY 1)"
 ORACLE["prob_shift"] = f"WITH {PRED} SELECT coalesce(a.label, b.label) AS label, {milli('coalesce(a.q, 0)')} AS before_milli, {milli('coalesce(b.q, 0)')} AS after_milli, {milli('(coalesce(b.q, 0) - coalesce(a.q, 0))')} AS delta_milli FROM {_share('noisy')} AS a FULL JOIN {_share('safety')} AS b ON a.label = b.label"
 
 _k = lambda k: uniform(f"'{k}'", "word")
-CASES = f"""{W}, {U}, c0 AS (SELECT word, cnt, {hash_int("'n'", 'word')} % 10 = 0 AS negative, ['transpose', 'delete', 'insert', 'substitute'][CAST(floor({_k('op')} * 4) AS BIGINT) + 1] AS op, CAST(floor({_k('at')} * length(word)) AS BIGINT) + 1 AS pl, {letter(_k('let'))} AS let, {_k('fix')} AS fix FROM u WHERE cnt >= 20 AND length(word) >= 6),
-c1 AS (SELECT word, cnt, fix, word AS expected, CASE WHEN negative THEN 'negative' ELSE 'non-word-' || op END AS category, CASE WHEN negative THEN word WHEN op = 'delete' THEN substr(word, 1, pl - 1) || substr(word, pl + 1) WHEN op = 'insert' THEN substr(word, 1, pl - 1) || let || substr(word, pl)
-  WHEN op = 'substitute' THEN substr(word, 1, pl - 1) || let || substr(word, pl + 1) WHEN pl < length(word) THEN substr(word, 1, pl - 1) || substr(word, pl + 1, 1) || substr(word, pl, 1) || substr(word, pl + 2) ELSE word END AS wrong FROM c0),
-c AS (SELECT *, CASE WHEN fix < 0.8 THEN word ELSE wrong END AS corrected FROM c1)"""
-ORACLE["category_breakdown"] = f"""WITH {CASES} SELECT category, count(*) AS n_total, count(*) FILTER (expected <> wrong) AS n_error, count(*) FILTER (expected = wrong) AS n_negative,
-  {milli('(100 * count(*) FILTER (expected <> wrong AND corrected = expected) / nullif(count(*) FILTER (expected <> wrong), 0))')} AS recall_milli, {milli('(100 * count(*) FILTER (expected = wrong AND corrected <> expected) / nullif(count(*) FILTER (expected = wrong), 0))')} AS fpr_milli FROM c GROUP BY category"""
-ORACLE["intrinsic_metrics"] = f"WITH {CASES} SELECT count(*) FILTER (category <> 'negative') AS total_errors, count(*) FILTER (category = 'negative') AS total_negatives, count(*) FILTER (category <> 'negative' AND corrected = expected) AS hits, count(*) FILTER (category = 'negative' AND corrected <> expected) AS harmful FROM c"
-ORACLE["tuning_select"] = """SELECT CAST((d * 27 + (rw - 4) * 9 + wi * 3 + li) AS BIGINT) AS ordinal, CAST(d AS DOUBLE) AS delta, CAST(rw AS DOUBLE) AS delta_rw, CAST([1.8, 2.2, 2.6][wi + 1] AS DOUBLE) AS w_dist, CAST([1.0, 1.2, 1.4][li + 1] AS DOUBLE) AS w_left,
-  CAST(round(90 - abs([1.8, 2.2, 2.6][wi + 1] - 2.2) * 5 - d, 2) AS DOUBLE) AS recall FROM range(3) AS a(d), range(4, 7) AS b(rw), range(3) AS c(wi), range(3) AS e(li) WHERE rw >= 5 ORDER BY recall DESC, ordinal LIMIT 1"""
-ORACLE["hard_subset"] = f"""WITH {CASES}, h AS (SELECT *, 2.0 * (CASE WHEN category = 'non-word-transpose' THEN 2 ELSE 1 END) + (CASE WHEN length(word) <= 5 THEN 1 ELSE 0 END) + (CASE WHEN cnt > 100 THEN 0 ELSE 0.5 END) AS hardness FROM c),
-a AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY category, wrong, expected ORDER BY hardness DESC, word) <= 2), b2 AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY category, wrong ORDER BY hardness DESC, word) <= 2)
-SELECT category, word AS case_id, wrong, row_number() OVER (PARTITION BY category ORDER BY hardness DESC, word) AS place FROM b2 QUALIFY place <= 20"""
-ORACLE["confusion_pairs"] = f"""WITH {W}, u AS (SELECT word, count(*) AS cnt FROM (SELECT unnest(a) AS word FROM w) GROUP BY word HAVING count(*) >= 10 AND length(word) >= 4), {near('SELECT word AS tok FROM u')}
+_place = lambda k, n: f"CAST(floor({_k(k)} * ({n})) AS BIGINT) + 1"
+_other = lambda c: f"chr(CAST((ascii({c}) - 97 + floor({_k('let')} * 25) + 1) % 26 + 97 AS INTEGER))"
+_swap = lambda w, i: f"substr({w}, 1, {i} - 1) || substr({w}, {i} + 1, 1) || substr({w}, {i}, 1) || substr({w}, {i} + 2)"
+_put = lambda w, i: f"substr({w}, 1, {i} - 1) || {_other(f'substr({w}, {i}, 1)')} || substr({w}, {i} + 1)"
+_covid = ", ".join(f"('covid-18-variant', '{v}')" for v in COVID_18) + ", " + ", ".join(f"('variant', '{v}')" for v in COVID_VARIANTS)
+_seen = lambda a, b, name: f"LEFT JOIN b AS {name} ON {name}.prev = rp.{a} AND {name}.word = rp.{b}"
+_strong = lambda x, y: f"round(log10((coalesce({x}.cnt, 0) + 1.0) / (coalesce({y}.cnt, 0) + 1.0)), 9)"
+CASES = f"""cl AS (SELECT word, first(prev ORDER BY cnt DESC, prev) AS prev FROM b GROUP BY word), cr AS (SELECT prev AS word, first(b.word ORDER BY cnt DESC, b.word) AS next FROM b GROUP BY prev),
+tc0 AS MATERIALIZED (SELECT word, cnt, length(word) AS n, {hash_int("'kind'", 'word')} % 10 AS draw, ['trans', 'rep', 'ins', 'del', 'dist2_del_rep'][CAST(floor({_k('op')} * 5) AS BIGINT) + 1] AS op FROM u WHERE cnt >= 20 AND regexp_full_match(word, '[a-z]{{4,14}}') AND word NOT IN ({_protect})),
+tc1 AS MATERIALIZED (SELECT *, CASE WHEN draw = 0 THEN 'negative' WHEN draw <= 2 AND cnt >= 50 THEN 'general-english' ELSE 'non-word' END AS category, {_place('at', 'n')} AS i, {_place('at', 'n - 1')} AS j, {_place('at', 'n + 1')} AS h, {_place('at2', 'n - 1')} AS i2 FROM tc0),
+tc2 AS MATERIALIZED (SELECT *, substr(word, 1, i - 1) || substr(word, i + 1) AS shorter FROM tc1),
+tc3 AS (SELECT word, cnt, category, CASE WHEN category = 'negative' THEN 'do-no-harm' ELSE op END AS subcategory, CASE WHEN category = 'negative' THEN word WHEN op = 'trans' THEN {_swap('word', 'j')} WHEN op = 'rep' THEN {_put('word', 'i')} WHEN op = 'ins' THEN substr(word, 1, h - 1) || {letter(_k('let'))} || substr(word, h) WHEN op = 'del' THEN shorter ELSE {_put('shorter', 'i2')} END AS wrong FROM tc2),
+typos AS (SELECT category, subcategory, cl.prev, wrong, cr.next, tc3.word AS expected, cnt FROM tc3 LEFT JOIN cl USING (word) LEFT JOIN cr ON cr.word = tc3.word WHERE category = 'negative' OR wrong <> tc3.word)"""
+REAL = f"""uu AS (SELECT * FROM u WHERE cnt >= 10 AND length(word) >= 4), ask AS (SELECT * FROM uu ORDER BY cnt DESC, word LIMIT 2500), {near('SELECT word AS tok FROM ask', rank=False, p='r', u='uu')},
+rp AS (SELECT tok AS expected, cand AS wrong, ask.cnt, rn.cnt AS wrong_cnt, cl.prev, cr.next FROM (SELECT * FROM rn WHERE dist = 1 QUALIFY row_number() OVER (PARTITION BY tok ORDER BY cnt DESC, cand) <= 8) AS rn JOIN ask ON ask.word = tok LEFT JOIN cl ON cl.word = tok LEFT JOIN cr ON cr.word = tok),
+rq AS (SELECT rp.*, lo.cnt AS lo, lw.cnt AS lw, ro.cnt AS ro, rw.cnt AS rw, {_strong('lo', 'lw')} AS ls, {_strong('ro', 'rw')} AS rs FROM rp {_seen('prev', 'expected', 'lo')} {_seen('prev', 'wrong', 'lw')} {_seen('expected', 'next', 'ro')} {_seen('wrong', 'next', 'rw')}),
+reals AS (SELECT *, CASE WHEN ls >= 0.8 AND lo >= 2 AND rs >= 0.8 AND ro >= 2 THEN 'both-needed' WHEN ls >= 0.8 AND lo >= 2 AND rs <= 0.2 THEN 'left-only' WHEN rs >= 0.8 AND ro >= 2 AND ls <= 0.2 THEN 'right-only' ELSE 'either-side' END AS subcategory FROM rq)"""
+ALL_CASES = f"""{LM}, {CASES}, {REAL}, c AS (SELECT *, concat_ws('|', category, subcategory, coalesce(prev, ''), wrong, coalesce(next, ''), expected) AS case_id FROM (SELECT * FROM typos UNION SELECT 'real-word', subcategory, prev, wrong, next, expected, cnt FROM reals
+  UNION SELECT 'covid-normalization', v.s, NULL, v.w, NULL, 'covid-19', 0 FROM (VALUES {_covid}) AS v(s, w)))"""
+FIXED = f"""{ALL_CASES}, t1 AS (SELECT case_id, category, subcategory, expected, wrong, wrong AS tok, lower(wrong) AS tl, prev, next FROM c), {DECIDE}"""
+ORACLE["mined_cases"] = f"WITH {ALL_CASES} SELECT case_id, category, subcategory, prev, wrong, next, expected, CAST(cnt AS BIGINT) AS cnt FROM c"
+ORACLE["case_histogram"] = f"WITH {ALL_CASES} SELECT category, subcategory, count(*) AS n FROM c GROUP BY ALL"
+ORACLE["category_breakdown"] = f"""WITH {FIXED} SELECT category, count(*) AS n_total, count(*) FILTER (expected <> wrong) AS n_error, count(*) FILTER (expected = wrong) AS n_negative,
+  {milli('(100 * count(*) FILTER (expected <> wrong AND corrected = expected) / nullif(count(*) FILTER (expected <> wrong), 0))')} AS recall_milli, {milli('(100 * count(*) FILTER (expected = wrong AND corrected <> expected) / nullif(count(*) FILTER (expected = wrong), 0))')} AS fpr_milli FROM fin GROUP BY category"""
+ORACLE["intrinsic_metrics"] = f"WITH {FIXED} SELECT count(*) FILTER (category <> 'negative') AS total_errors, count(*) FILTER (category = 'negative') AS total_negatives, count(*) FILTER (category <> 'negative' AND corrected = expected) AS hits, count(*) FILTER (category = 'negative' AND corrected <> expected) AS harmful FROM fin"
+ORACLE["overall_rates"] = f"""WITH {FIXED}, k AS (SELECT count(*) FILTER (expected <> wrong AND corrected = expected) AS tp, count(*) FILTER (expected <> wrong AND corrected <> expected) AS fn, count(*) FILTER (expected = wrong AND corrected = expected) AS tn, count(*) FILTER (expected = wrong AND corrected <> expected) AS fp FROM fin)
+SELECT tp, fn, tn, fp, {milli('(100 * tp / nullif(tp + fn, 0))')} AS recall_milli, {milli('(100 * fp / nullif(fp + tn, 0))')} AS fpr_milli FROM k"""
+TUNED = f"""{LM}, {CASES}, t1 AS (SELECT expected, wrong, wrong AS tok, lower(wrong) AS tl, prev, next FROM typos), {DECIDE},
+g AS (SELECT CAST(d * 27 + (rw - 4) * 9 + wi * 3 + li AS BIGINT) AS ordinal, CAST(d AS DOUBLE) AS delta, CAST(rw AS DOUBLE) AS delta_rw, CAST([1.8, 2.2, 2.6][wi + 1] AS DOUBLE) AS w_dist, CAST([1.0, 1.2, 1.4][li + 1] AS DOUBLE) AS w_left FROM range(3) AS a(d), range(4, 7) AS b2(rw), range(3) AS c2(wi), range(3) AS e(li)),
+gs AS (SELECT g.*, sc.* EXCLUDE (score), score + (w_left - CAST(1.2 AS DOUBLE)) * ll - (w_dist - CAST(2.2 AS DOUBLE)) * dist AS score FROM sc, g),
+gb AS (SELECT * FROM gs WHERE known OR rnk > 0 QUALIFY row_number() OVER (PARTITION BY ordinal, tl, prev, next, known ORDER BY round(score, 9) DESC, rnk) = 1),
+gw AS (SELECT gb.ordinal, gb.tl, gb.prev, gb.next, gb.cand FROM gb JOIN gs AS o ON o.rnk = 0 AND o.ordinal = gb.ordinal AND o.tl = gb.tl AND o.prev IS NOT DISTINCT FROM gb.prev AND o.next IS NOT DISTINCT FROM gb.next WHERE gb.rnk > 0 AND round(gb.score - o.score, 9) >= (CASE WHEN gb.known THEN gb.delta_rw ELSE gb.delta END)),
+gc AS (SELECT g.*, fin.wrong, fin.expected, CASE WHEN fin.open THEN coalesce(gw.cand, fin.wrong) ELSE fin.corrected END AS made FROM fin CROSS JOIN g LEFT JOIN gw ON fin.open AND gw.ordinal = g.ordinal AND gw.tl = fin.tl AND gw.prev IS NOT DISTINCT FROM fin.prev AND gw.next IS NOT DISTINCT FROM fin.next),
+tr AS (SELECT ordinal, delta, delta_rw, w_dist, w_left, count(*) FILTER (wrong <> expected) AS total_errors, count(*) FILTER (wrong = expected) AS total_negatives, count(*) FILTER (wrong <> expected AND made = expected) AS hits, count(*) FILTER (wrong = expected AND made <> expected) AS harmful FROM gc GROUP BY ALL),
+tm AS (SELECT *, {milli('(100 * hits / total_errors)')} AS recall_milli FROM tr)"""
+ORACLE["tuning_results"] = f"WITH {TUNED} SELECT * FROM tm"
+ORACLE["tuning_select"] = f"WITH {TUNED} SELECT ordinal, delta, delta_rw, w_dist, w_left, recall_milli FROM tm WHERE harmful = 0 ORDER BY recall_milli DESC, ordinal LIMIT 1"
+_hard = """round(CASE WHEN category = 'real-word' THEN 10.0 + CASE subcategory WHEN 'both-needed' THEN 3 WHEN 'right-only' THEN 2 WHEN 'left-only' THEN 1 ELSE 0 END
+  WHEN category = 'non-word' THEN 7.0 + CASE subcategory WHEN 'dist2_del_rep' THEN 3 WHEN 'trans' THEN 2 WHEN 'rep' THEN 1 ELSE 0 END WHEN category = 'covid-normalization' THEN 6.0
+  WHEN category = 'general-english' THEN 5.0 + CASE subcategory WHEN 'dist2_del_rep' THEN 2 ELSE 0 END ELSE 1.0 END + CAST(0.12 AS DOUBLE) * length(wrong) + CAST(0.05 AS DOUBLE) * length(expected), 6)"""
+ORACLE["case_hardness"] = f"WITH {ALL_CASES} SELECT case_id, {milli(_hard)} AS hardness_milli FROM c"
+
+
+def hard_picks() -> str:
+    """One CTE a kind, in the order of the quota: its rows in order, less what the caps leave no room for."""
+    out, had = [], {}
+    for i, (cat, sub, n) in enumerate(QUOTA):
+        cap = 1 if cat == "covid-normalization" else 2
+        before = " UNION ALL ".join(f"SELECT wrong, expected FROM h{k}" for k in had.get(cat, [])) or "SELECT '' AS wrong, '' AS expected WHERE false"
+        out.append(f"""h{i} AS (SELECT *, row_number() OVER (ORDER BY hardness DESC, case_id) AS place FROM (SELECT * FROM (SELECT * FROM hc WHERE category = '{cat}' AND subcategory = '{sub}'
+  QUALIFY row_number() OVER (PARTITION BY wrong, expected ORDER BY hardness DESC, case_id) + (SELECT count(*) FROM ({before}) AS q WHERE q.wrong = hc.wrong AND q.expected = hc.expected) <= 2)  AS hp
+  QUALIFY row_number() OVER (PARTITION BY wrong ORDER BY hardness DESC, case_id) + (SELECT count(*) FROM ({before}) AS q WHERE q.wrong = hp.wrong) <= {cap}) QUALIFY place <= {n})""")
+        had.setdefault(cat, []).append(i)
+    return ", ".join(out)
+
+
+ORACLE["hard_subset"] = f"WITH {ALL_CASES}, hc AS (SELECT *, {_hard} AS hardness FROM c), {hard_picks()} " + " UNION ALL ".join(f"SELECT category, subcategory, case_id, place FROM h{i}" for i in range(len(QUOTA)))
+_zipf = "round(log10(wrong_cnt + 1), 9)"
+_sup, _was = "(coalesce(lo, 0) + coalesce(ro, 0))", "(coalesce(lw, 0) + coalesce(rw, 0))"
+_asked = f"""round(greatest(CAST(5 AS DOUBLE) - 0.4 + CASE WHEN {_zipf} >= 5.5 THEN 1.0 WHEN {_zipf} >= 4.5 THEN 0.6 WHEN {_zipf} <= 2.0 THEN -0.7 WHEN {_zipf} <= 2.5 THEN -0.4 ELSE 0 END
+  - least(CASE WHEN {_sup} > 0 THEN greatest(0, least(3, log10(({_sup} + 1.0) / ({_was} + 1.0)) * 1.3)) + CASE WHEN {_sup} >= 50 THEN 0.5 ELSE 0 END + CASE WHEN {_sup} >= 200 THEN 0.5 ELSE 0 END ELSE 0 END
+  + greatest(0, least(1, log10((cnt + 1.0) / (wrong_cnt + 1.0)) * 0.8)), 4), 1.5), 6)"""
+ORACLE["adaptive_threshold"] = f"WITH {LM}, {CASES}, {REAL} SELECT wrong, expected, subcategory, {milli(_asked)} AS asked_milli FROM reals"
+ORACLE["ui_gates"] = rf"""SELECT tok, NOT regexp_matches(tok, '\p{{L}}') OR length(tok) < 3 OR length(tok) >= 26 AND NOT regexp_full_match(lower(tok), 'covid|covid19|covid-?19|sars-?cov-?2|2019-?ncov|ncov')
+  OR regexp_matches(tok, '[0-9<>=/\\+*%_\x{{0370}}-\x{{03FF}}\x{{1F00}}-\x{{1FFF}}]') AND NOT regexp_full_match(lower(tok), 'covid|covid19|covid-?19|sars-?cov-?2|2019-?ncov|ncov') AS left_alone
+FROM (SELECT DISTINCT tok FROM (SELECT unnest(regexp_extract_all(text, '{PIECE}', 1)) AS tok FROM conversations UNION ALL SELECT unnest([{", ".join("'" + t + "'" for t in UI_TOKENS)}])))"""
+ALPHABETIC = rf"""t0 AS (SELECT item_id, unnest(range(len(a))) AS pos, unnest(a) AS tok, unnest(ws) AS ws FROM (SELECT item_id, regexp_extract_all(text, '{PIECE}', 1) AS a, regexp_extract_all(text, '{PIECE}', 2) AS ws FROM benchmark)),
+ta AS (SELECT *, CASE WHEN regexp_full_match(tok, '\p{{L}}+') THEN lower(tok) END AS al FROM t0),
+tb AS (SELECT item_id, pos, tok, ws, last_value(al IGNORE NULLS) OVER (PARTITION BY item_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev, first_value(al IGNORE NULLS) OVER (PARTITION BY item_id ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next FROM ta)"""
+ORACLE["alphabetic_context"] = f"WITH {ALPHABETIC} SELECT item_id, pos, tok, prev, next FROM tb"
+_alone = ORACLE["ui_gates"][len("SELECT tok, ") : ORACLE["ui_gates"].index(" AS left_alone")]
+ORACLE["interactive_correction"] = rf"""WITH {LM}, {ALPHABETIC}, t1 AS (SELECT item_id, pos, tok, ws, lower(tok) AS tl, prev, next FROM tb WHERE NOT ({_alone})), {DECIDE}
+SELECT item_id, pos, tok, CASE WHEN tok = upper(tok) AND tok <> lower(tok) AND length(tok) > 1 THEN upper(corrected) WHEN substr(tok, 1, 1) = upper(substr(tok, 1, 1)) AND substr(tok, 1, 1) <> lower(substr(tok, 1, 1)) THEN upper(substr(corrected, 1, 1)) || substr(corrected, 2) ELSE corrected END AS corrected, error_type FROM fin
+UNION ALL SELECT item_id, pos, tok, tok, 'Correct' FROM tb WHERE {_alone}"""
+ORACLE["confusion_pairs"] = f"""WITH {W}, u AS (SELECT word, count(*) AS cnt FROM (SELECT unnest(a) AS word FROM w) GROUP BY word HAVING count(*) >= 10 AND length(word) >= 4), {near('SELECT word AS tok FROM u', rank=False)}
 SELECT tok AS expected, cand AS wrong, row_number() OVER (PARTITION BY tok ORDER BY cnt DESC, cand) AS k FROM n WHERE dist = 1 QUALIFY k <= 8"""

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from redpen.functions import text as tf
-from redpen.functions.gates import domain_rule, gate
+from redpen.functions.gates import domain_rule, gate, ui_gate
 from redpen.lexicons import PROSE_KEYWORDS
-from redpen.operators import candidates as cand, classify, correct, evaluate, lexicon, noise, prepare
-from redpen.operators.score import bigram_logp, unigram_logp
-from redpen.params import Params
+from redpen.operators import candidates as cand, cases as case, classify, correct, evaluate, lexicon, noise, prepare
+from redpen.operators.tables import materialized
+from redpen.operators.score import bigram_logp, keep_threshold, unigram_logp
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -233,8 +233,9 @@ def bigram_logprob(spark, sf_dir):
 
 
 def model(spark, sf_dir):
+    """The language model of the English documents: counts of words and of pairs, made once for all that a query looks up in them."""
     rows = correct.lm_words(english(spark, sf_dir))
-    return lexicon.unigrams(rows), lexicon.bigrams(rows)
+    return materialized(lexicon.unigrams(rows)), materialized(lexicon.bigrams(rows))
 
 
 def corrected(spark, sf_dir):
@@ -281,9 +282,9 @@ def suggestions(spark, sf_dir):
 
 @query
 def noise_levels(spark, sf_dir):
-    rows = noise.variant_seeds(table(spark, sf_dir, "benchmark").where("item_id IS NOT NULL"), "item_id", 7, variants=2)
-    out = noise.corrupted(rows, "item_id", keys=("corruption_level", "variant_id"))
-    return out.join(rows.select("item_id", "corruption_level", "variant_id", "seed_variant"), ["item_id", "corruption_level", "variant_id"]).select("item_id", "corruption_level", "variant_id", "seed_variant", "edited_tokens", "total_word_tokens")
+    """Benchmark passages at three levels, twice each, with every edit."""
+    rows = noise.variant_seeds(table(spark, sf_dir, "benchmark"), "item_id", 7, variants=2)
+    return noise.corrupted(rows, "item_id", keys=("corruption_level", "variant_id", "seed_variant"), punctuation=True)
 
 
 @query
@@ -359,14 +360,34 @@ def svm_topic(spark, sf_dir):
     return spark.createDataFrame([(float(calibration.coefficients[0]), float(calibration.intercept))], "slope double, intercept double")
 
 
-# -- evaluation, on predictions that plain rules make
+# -- evaluation: the classifier on four versions of the held-out documents
+
+
+@query
+def four_runs(spark, sf_dir):
+    """(doc_id, truth, original, noisy, restored, safety): what a naive Bayes model of the other documents makes of each held-out one as it is, with noise, with the noise
+    corrected, and corrected without noise. Documents of which a version has no words are left out."""
+    rows = prepare.split(table(spark, sf_dir, "labels").where("quality IS NOT NULL").join(english(spark, sf_dir).select("doc_id", "text"), "doc_id"), "quality", "doc_id")
+    train = rows.where("NOT is_test").select("doc_id", "quality", lexicon.word_array(F.col("text")).alias("words"))
+    model_, prior = classify.naive_bayes(classify.terms(train, F.col("words"), ["doc_id", "quality"]), "quality")
+    clean = rows.where("is_test").select("doc_id", "text")
+    noisy = materialized(noise.paper_noise(clean, "doc_id", "text", 11).select(F.col("row_id").alias("doc_id"), F.col("noisy_text").alias("text")))
+    both = clean.withColumn("run", F.lit("clean")).unionByName(noisy.withColumn("run", F.lit("noisy"))).select(F.struct("run", "doc_id").alias("doc_id"), "text")
+    counts, pairs = model(spark, sf_dir)
+    repaired = correct.corrected_text(correct.correct_tokens(both, counts, pairs)).select(F.when(F.col("doc_id.run") == "noisy", "restored").otherwise("safety").alias("run"), "doc_id.doc_id", F.col("corrected_text").alias("text"))
+    texts = clean.select(F.lit("original").alias("run"), "doc_id", "text").unionByName(noisy.select(F.lit("noisy").alias("run"), "doc_id", "text")).unionByName(repaired)
+    texts = materialized(texts)
+    tf_ = classify.terms(texts.select(F.struct("run", "doc_id").alias("doc_id"), lexicon.word_array(F.col("text")).alias("words")), F.col("words"), ["doc_id"])
+    guessed = classify.predicted(classify.naive_bayes_scores(tf_, model_, prior, "quality"), "quality").select("doc_id.run", "doc_id.doc_id", "predicted")
+    wide = guessed.groupBy("doc_id").pivot("run", list(RUNS)).agg(F.first("predicted"))
+    return rows.select("doc_id", F.col("quality").alias("truth")).join(wide.na.drop(), "doc_id").select("doc_id", "truth", *RUNS)
+
+
+RUNS = ("original", "noisy", "restored", "safety")
 
 
 def predictions(spark, sf_dir):
-    """Truth and four runs by hash rules, so that every engine makes the same."""
-    rows = table(spark, sf_dir, "labels").where("quality IS NOT NULL").select("doc_id", F.col("quality").alias("truth"))
-    wrong = lambda name, share: F.when(tf.hash_uniform(F.lit(name), F.col("doc_id")) < share, 1 - F.col("truth")).otherwise(F.col("truth")).alias(name)
-    return rows.select("doc_id", "truth", wrong("original", 0.05), wrong("noisy", 0.20), wrong("restored", 0.10), wrong("safety", 0.06))
+    return four_runs(spark, sf_dir)
 
 
 @query
@@ -413,49 +434,121 @@ def prob_shift(spark, sf_dir):
     return out.select("label", milli(F.col("before")).alias("before_milli"), milli(F.col("after")).alias("after_milli"), milli(F.col("delta")).alias("delta_milli"))
 
 
-# -- benchmark cases, made of the corpus by seeded typos
+# -- benchmark cases, mined from the corpus and given to the corrector
 
 
-def cases(spark, sf_dir):
-    """(case_id, category, wrong, expected, corrected): a typo in each frequent word of six letters and more; every tenth is a negative."""
-    frequent = lexicon.unigrams(words(spark, sf_dir)).where("cnt >= 20 AND length(word) >= 6")
-    u = lambda k: tf.hash_uniform(F.lit(k), F.col("word"))
-    negative = tf.hash_int(F.lit("n"), F.col("word")) % 10 == 0
-    op = F.element_at(F.array(*map(F.lit, noise.OPERATORS)), noise.pick(u("op"), F.lit(4)))
-    wrong = F.when(negative, F.col("word")).otherwise(noise.edit(F.col("word"), op, noise.pick(u("at"), F.length("word")), noise.letter_of(u("let"))))
-    return frequent.select("word", "cnt", F.when(negative, "negative").otherwise(F.concat(F.lit("non-word-"), op)).alias("category"), wrong.alias("wrong"), F.col("word").alias("expected"), F.when(u("fix") < 0.8, F.col("word")).otherwise(wrong).alias("corrected"))
+@query
+def mined_cases(spark, sf_dir):
+    return case.all_cases(*model(spark, sf_dir)).select("case_id", *case.COLUMNS)
+
+
+@query
+def case_histogram(spark, sf_dir):
+    return mined_cases(spark, sf_dir).groupBy("category", "subcategory").agg(F.count("*").alias("n"))
+
+
+def corrected_cases(spark, sf_dir):
+    """All cases with what the corrector makes of each in its context."""
+    counts, pairs = model(spark, sf_dir)
+    return correct.decide(case.all_cases(counts, pairs).withColumn("tok", F.col("wrong")), counts, pairs)
 
 
 @query
 def category_breakdown(spark, sf_dir):
-    rows = evaluate.category_breakdown(cases(spark, sf_dir))
+    rows = evaluate.category_breakdown(corrected_cases(spark, sf_dir))
     return rows.select("category", "n_total", "n_error", "n_negative", milli(F.col("error_recall_pct")).alias("recall_milli"), milli(F.col("neg_fpr_pct")).alias("fpr_milli"))
 
 
 @query
 def intrinsic_metrics(spark, sf_dir):
-    return evaluate.intrinsic(cases(spark, sf_dir))
+    return evaluate.intrinsic(corrected_cases(spark, sf_dir))
 
 
 @query
-def tuning_select(spark, sf_dir):
-    """The best of 81 configurations, scored by a rule."""
+def overall_rates(spark, sf_dir):
+    rows = evaluate.overall(corrected_cases(spark, sf_dir))
+    return rows.select("tp", "fn", "tn", "fp", milli(F.col("recall_pct")).alias("recall_milli"), milli(F.col("fpr_pct")).alias("fpr_milli"))
+
+
+def typo_cases(spark, sf_dir):
+    counts, pairs = model(spark, sf_dir)
+    return case.typo_cases(counts, pairs), counts, pairs
+
+
+@query
+def tuning_results(spark, sf_dir):
+    """Recall and harmful edits of 81 configurations over all typo cases."""
+    rows, counts, pairs = typo_cases(spark, sf_dir)
+    rows = correct.decide(rows.withColumn("tok", F.col("wrong")), counts, pairs)
+    # what gates and rules settle is the same for all configurations
+    settled = (F.col("gate").isNotNull() & ~F.col("gate").startswith("margin")) | ((F.col("decision") == "apply") & F.col("best_candidate").isNull())
+    rows = rows.select("wrong", "expected", "prev", "next", "corrected", F.coalesce(~settled, F.lit(True)).alias("open"), (F.col("threshold_type") == "delta_rw").alias("known"))
+    work = rows.where("open").select(F.lower("wrong").alias("tok_l"), F.col("prev").alias("prev_l"), F.col("next").alias("next_l"), "known").distinct()
     g = evaluate.grid(spark, delta=[0, 1, 2], delta_rw=[4, 5, 6], w_dist=[1.8, 2.2, 2.6], w_left=[1.0, 1.2, 1.4])
-    scored = g.withColumn("harmful", F.when(F.col("delta_rw") < 5, 1).otherwise(0)).withColumn("recall", F.round(90 - F.abs(F.col("w_dist") - 2.2) * 5 - F.col("delta"), 2))
-    return evaluate.best_configuration(scored).select("ordinal", "delta", "delta_rw", "w_dist", "w_left", "recall")
+    best = correct.tuned(work, counts, pairs, g)
+    each = rows.crossJoin(F.broadcast(g))  # cases by 81 configurations
+    joined = each.alias("c").join(best.alias("b"), (F.col("c.ordinal") == F.col("b.ordinal")) & (F.lower("c.wrong") == F.col("b.tok_l")) & F.col("c.prev").eqNullSafe(F.col("b.prev_l")) & F.col("c.next").eqNullSafe(F.col("b.next_l")) & F.col("c.open"), "left")
+    x = joined.select(*[F.col(f"c.{k}") for k in ("ordinal", "delta", "delta_rw", "w_dist", "w_left", "wrong", "expected")], F.when(F.col("c.open"), F.coalesce("b.best_word", "c.wrong")).otherwise(F.col("c.corrected")).alias("corrected"))
+    error, right = F.col("wrong") != F.col("expected"), F.col("corrected") == F.col("expected")
+    sums = x.groupBy("ordinal", "delta", "delta_rw", "w_dist", "w_left").agg(F.count_if(error).alias("total_errors"), F.count_if(~error).alias("total_negatives"), F.count_if(error & right).alias("hits"), F.count_if(~error & ~right).alias("harmful"))
+    return sums.withColumn("recall_milli", milli(100 * F.col("hits") / F.col("total_errors")))
+
+
+@query
+def tuning_select(spark, sf_dir):
+    """The configuration of highest recall among those that harm nothing."""
+    return evaluate.best_configuration(tuning_results(spark, sf_dir).withColumnRenamed("recall_milli", "recall")).select("ordinal", "delta", "delta_rw", "w_dist", "w_left", F.col("recall").alias("recall_milli"))
+
+
+@query
+def case_hardness(spark, sf_dir):
+    rows = case.all_cases(*model(spark, sf_dir))
+    return rows.select("case_id", milli(F.round(case.hardness(F.col("category"), F.col("subcategory"), F.col("wrong"), F.col("expected")), 6)).alias("hardness_milli"))
 
 
 @query
 def hard_subset(spark, sf_dir):
-    rows = cases(spark, sf_dir).withColumn("case_id", F.col("word"))
-    hard = evaluate.hardness(F.when(F.col("category") == "non-word-transpose", 2.0).otherwise(1.0), F.length("word"), F.col("cnt") > 100, F.col("category"))
-    return evaluate.hard_subset(rows.withColumn("hardness", hard), 20).select("category", "case_id", "wrong", F.col("place").cast("long").alias("place"))
+    return case.hard_subset(case.all_cases(*model(spark, sf_dir))).select("category", "subcategory", "case_id", "place")
+
+
+@query
+def adaptive_threshold(spark, sf_dir):
+    """For each real-word case, the score improvement that the adaptive threshold asks of the expected word over the wrong one."""
+    counts, pairs = model(spark, sf_dir)
+    rows = case.real_word_cases(counts, pairs)
+    rows = rows.join(counts.select(F.col("word").alias("wrong"), F.col("cnt").alias("wrong_cnt")), "wrong")
+    for name, a, b in (("lo", "prev", "expected"), ("lw", "prev", "wrong"), ("ro", "expected", "next"), ("rw", "wrong", "next")):
+        seen = pairs.select(F.col("prev").alias("a"), F.col("word").alias("b"), F.col("cnt").alias(name))
+        rows = rows.join(seen, (F.col(a) == F.col("a")) & (F.col(b) == F.col("b")), "left").drop("a", "b")
+    # the expected word stands where the wrong one was written, so it is the candidate
+    asked = keep_threshold({"score": F.lit(0.0), "cnt": F.col("wrong_cnt"), "left": F.col("lw"), "right": F.col("rw")}, {"cnt": F.col("cnt"), "left": F.col("lo"), "right": F.col("ro")}, F.lit(1))
+    return rows.select("wrong", "expected", "subcategory", milli(F.round(asked, 6)).alias("asked_milli"))
+
+
+UI_TOKENS = ("covid", "Covid19", "covid-19", "COVID-2019", "sars-cov-2", "SARSCoV2", "2019-ncov", "ncov", "covidien", "sars", "H1N1", "a_b", "a/b", "a\\b", "c++", "x*y", "5%", "x=1", "αβγ", "ἀνά", "it", "the", "abcdefghijklmnopqrstuvwxyz", "abcdefghijklmnopqrstuvwxy", "...", "naïve")
+
+
+@query
+def ui_gates(spark, sf_dir):
+    """The gate of interactive correction on every piece of the conversations, and on tokens made for it."""
+    rows = correct.tokens(table(spark, sf_dir, "conversations"), "conv_id").select("tok").union(spark.createDataFrame([(t,) for t in UI_TOKENS], "tok string"))
+    return rows.distinct().select("tok", ui_gate(F.col("tok")).alias("left_alone"))
+
+
+@query
+def alphabetic_context(spark, sf_dir):
+    rows = correct.alphabetic_neighbours(table(spark, sf_dir, "benchmark"), "item_id")
+    return rows.select(F.col("doc_id").alias("item_id"), F.col("pos").cast("long").alias("pos"), "tok", "prev", "next")
+
+
+@query
+def interactive_correction(spark, sf_dir):
+    """Benchmark passages as the interactive tool corrects them."""
+    rows = correct.interactive(table(spark, sf_dir, "benchmark"), *model(spark, sf_dir), doc_id="item_id")
+    return rows.select(F.col("doc_id").alias("item_id"), F.col("pos").cast("long").alias("pos"), "tok", "corrected", "error_type")
 
 
 @query
 def confusion_pairs(spark, sf_dir):
-    """The most frequent words with up to eight known neighbours one edit away."""
-    counts = lexicon.unigrams(words(spark, sf_dir)).where("cnt >= 10 AND length(word) >= 4")
-    rows = cand.neighbours(counts.select(F.col("word").alias("tok")), counts, Params(min_count=10), within=1)
-    rank = F.row_number().over(Window.partitionBy("tok").orderBy(F.desc("cnt"), "cand"))
-    return rows.withColumn("k", rank.cast("long")).where("k <= 8").select(F.col("tok").alias("expected"), F.col("cand").alias("wrong"), "k")
+    """All words of count 10 and more with up to eight known neighbours one edit away."""
+    return case.confusions(lexicon.unigrams(words(spark, sf_dir)), most=None).select("expected", "wrong", "k")
