@@ -13,6 +13,7 @@ from redpen.functions import text as tf
 from redpen.lexicons import COVID_18, COVID_VARIANTS, PROTECTED_WORDS
 from redpen.operators import noise
 from redpen.operators.candidates import neighbours
+from redpen.operators.tables import materialized
 from redpen.params import Params
 
 TYPOS = ("trans", "rep", "ins", "del", "dist2_del_rep")
@@ -137,7 +138,7 @@ def hard_subset(cases: DataFrame, quota=QUOTA, per_pair: int = 2, per_word: int
     """
     from pyspark.sql import Window
 
-    rows = cases.withColumn("hardness", F.round(hardness(F.col("category"), F.col("subcategory"), F.col("wrong"), F.col("expected")), 6))
+    rows = materialized(cases.withColumn("hardness", F.round(hardness(F.col("category"), F.col("subcategory"), F.col("wrong"), F.col("expected")), 6)))
     order = [F.desc("hardness"), F.asc("case_id")]
     rank = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(*order))
     out: list[DataFrame] = []
@@ -151,7 +152,7 @@ def hard_subset(cases: DataFrame, quota=QUOTA, per_pair: int = 2, per_word: int
             if before is not None:
                 pool = pool.join(before.groupBy(*by).agg(F.count("*").alias("had")), by, "left").withColumn(name, F.col(name) + F.coalesce("had", F.lit(0))).drop("had")
             pool = pool.where(F.col(name) <= cap).drop(name)
-        picked = pool.withColumn("place", rank("category", "subcategory").cast("long")).where(F.col("place") <= n)
+        picked = materialized(pool.withColumn("place", rank("category", "subcategory").cast("long")).where(F.col("place") <= n))
         if must_meet and (got := picked.count()) < n:
             raise RuntimeError(f"{category}, {subcategory}: {got} of {n} cases")
         out.append(picked)
