@@ -26,8 +26,8 @@ import heapq
 import re
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -36,12 +36,12 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from redpen.llm.common import ROW, kept, slices
 
 N_BEST = 4
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 600_000
 #: Texts that are worked on at once in a worker.
-AT_ONCE, BYTES_AT_ONCE = 400, 4_000_000
+AT_ONCE, BYTES_AT_ONCE = 1200, 4_000_000
 UNIT = 1_000_000
-#: Stands between chunks; no piece holds it.
-_BREAK = "\uffff"
+#: Successors that the automaton notes beyond its own.
+EXTRA_STEPS = 300_000
 NONE = -(2**62)
 #: Gap of a chunk that has one segmentation only.
 NO_SECOND = 2**62
@@ -75,15 +75,8 @@ class Vocabulary:
         self.pieces = {p: (i, round(float(s) * UNIT)) for (i, p), s in zip(normal, score, strict=True)}
         self.byte_score = min(s for _, s in self.pieces.values()) - UNIT
         self.longest = max(len(p) for p in self.pieces)
-        # all pieces at once, and for the characters up to U+00FF that have none, their bytes (id -1)
-        self.matches = ahocorasick.Automaton()
-        for piece, (i, whole_score) in self.pieces.items():
-            self.matches.add_word(piece, (len(piece), whole_score, i))
-        lone = [c for c in map(chr, range(256)) if c not in self.pieces]
-        for c in lone:
-            self.matches.add_word(c, (1, len(c.encode()) * self.byte_score, -1))
-        self.matches.make_automaton()
-        self.known = frozenset([*(p for p in self.pieces if len(p) == 1), *lone]) - {_BREAK}
+        self.single = frozenset(p for p in self.pieces if len(p) == 1)
+        self.automaton()
 
         self.joined = np.frombuffer(b"".join(self.text), np.uint8)
         self.sizes = np.array([len(t) for t in self.text], np.int64)
@@ -142,44 +135,94 @@ class Vocabulary:
             out += reversed(ids)
         return out[::-1], best[n], best[n] - second[n] if second[n] > NONE // 2 else NO_SECOND
 
+    def automaton(self) -> None:
+        """Aho-Corasick over the pieces: ``after`` has each state's successors, ``found`` the (length, score, id) of the pieces that end there, longest first."""
+        self.after: list[dict[str, int]] = [{}]
+        self.found: list[tuple] = [()]
+        for piece, (i, score) in self.pieces.items():
+            state = 0
+            for c in piece:
+                if (state_ := self.after[state].get(c)) is None:
+                    state_ = self.after[state][c] = len(self.after)
+                    self.after.append({})
+                    self.found.append(())
+                state = state_
+            self.found[state] = ((len(piece), score, i),)
+        self.fail, self.extra = [0] * len(self.after), 0
+        level = list(self.after[0].values())
+        while level:
+            deeper = []
+            for state in level:
+                for c, child in self.after[state].items():
+                    back = self.fail[state]
+                    while back and c not in self.after[back]:
+                        back = self.fail[back]
+                    self.fail[child] = self.after[back].get(c, 0)
+                    self.found[child] += self.found[self.fail[child]]
+                    deeper.append(child)
+            level = deeper
+
+    def step(self, state: int, c: str) -> int:
+        """The state after a character without a successor of its own; a bounded number of them are noted for the next time."""
+        back = state
+        while back and c not in self.after[back]:
+            back = self.fail[back]
+        to = self.after[back].get(c, 0)
+        if to and self.extra < EXTRA_STEPS:
+            self.after[state][c] = to
+            self.extra += 1
+        return to
+
     def together(self, chunks: list[str]) -> list[tuple[list[int], int, int]]:
-        """As ``one``, for many chunks in one pass over all their matches."""
-        plain = list(map(self.known.issuperset, chunks))
-        text = _BREAK.join([c for c, p in zip(chunks, plain, strict=True) if p])
-        best, second, start_of, piece_at = [0] * (len(text) + 2), [NONE] * (len(text) + 2), [0] * (len(text) + 2), [0] * (len(text) + 2)
-        place, top, next_, via, by = 0, 0, NONE, 0, 0
-        for last, (size, s, i) in self.matches.iter(text):
-            last += 1
-            if last != place:
-                best[place], second[place], start_of[place], piece_at[place] = top, next_, via, by
-                place, top, next_ = last, NONE, NONE
-            start = last - size
-            x = best[start] + s
-            if x > top:
-                next_ = second[start] + s
-                if top > next_:
-                    next_ = top
-                top, via, by = x, start, i
-            elif x > next_:
-                next_ = x
-        best[place], second[place], start_of[place], piece_at[place] = top, next_, via, by
-        out, begin = [], 0
-        for chunk, p in zip(chunks, plain, strict=True):
-            if not p:
-                out.append(self.one(chunk))
-                continue
-            at = end = begin + len(chunk)
-            ids: list[int] = []
-            while at > begin:
-                i, at = piece_at[at], start_of[at]
-                if i >= 0:
+        """As ``one``, for many chunks: in their order, each goes on from where it parts from the one before."""
+        after, found, single, step = self.after, self.found, self.single, self.step
+        best, second, size_of, piece_at, states = [0], [NONE], [0], [0], [0]
+        out: dict[str, tuple[list[int], int, int]] = {}
+        last = ""
+        for chunk in sorted(set(chunks)):
+            k = 0
+            for a, b in zip(last, chunk, strict=False):
+                if a != b:
+                    break
+                k += 1
+            last = chunk
+            del best[k + 1 :], second[k + 1 :], size_of[k + 1 :], piece_at[k + 1 :], states[k + 1 :]
+            state = states[k]
+            for c in chunk[k:]:
+                state = after[state].get(c) or step(state, c)
+                top = next_ = NONE
+                by = piece = 0
+                for size, score, i in found[state]:
+                    x = best[-size] + score
+                    if x > top:
+                        next_ = second[-size] + score
+                        if top > next_:
+                            next_ = top
+                        top, by, piece = x, size, i
+                    elif x > next_:
+                        next_ = x
+                if c not in single:  # its bytes
+                    lone = len(c.encode()) * self.byte_score
+                    x, y = best[-1] + lone, second[-1] + lone
+                    if x > top:
+                        top, next_, by, piece = x, max(top, y), 1, -1
+                    else:
+                        next_ = max(next_, x)
+                best.append(top)
+                second.append(next_)
+                size_of.append(by)
+                piece_at.append(piece)
+                states.append(state)
+            at, ids = len(chunk), []
+            while at:
+                if (i := piece_at[at]) >= 0:
                     ids.append(i)
                 else:
-                    ids += [self.byte_ids[b] for b in reversed(text[at].encode())]
+                    ids += [self.byte_ids[b] for b in reversed(chunk[at - 1].encode())]
+                at -= size_of[at]
             ids.reverse()
-            out.append((ids, best[end], best[end] - second[end] if second[end] > NONE // 2 else NO_SECOND))
-            begin = end + 1
-        return out
+            out[chunk] = (ids, best[-1], best[-1] - second[-1] if second[-1] > NONE // 2 else NO_SECOND)
+        return list(map(out.__getitem__, chunks))
 
     def n_best(self, chunk: str, n: int) -> list[tuple[int, tuple[int, ...]]]:
         """The ``n`` best (score, ids) of a chunk in order of score and then ids, by backward A-star.
@@ -213,18 +256,27 @@ class Vocabulary:
 
 
 class Segmenter:
+    """Whole texts. What is known of a chunk is its place in flat arrays: where its ids begin, how many, its score and its gap."""
+
     def __init__(self, vocabulary: Vocabulary, n: int):
         self.v, self.n = vocabulary, n
-        self.known: dict[str, tuple] = {}
         self.lists: dict[str, list] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.ids, self.begins, self.scores, self.gaps = array("i"), array("q", [0]), array("q"), array("q")
 
     def learn(self, chunks: set[str]) -> None:
-        known = self.known
-        if len(known) > CACHE_CHUNKS:
-            known.clear()
-        new = list(chunks.difference(known))
+        if len(self.known) > CACHE_CHUNKS:
+            self.forget()
+        new = list(chunks.difference(self.known))
         for c, (ids, score, gap) in zip(new, self.v.together(new), strict=True):
-            known[c] = (array("i", ids).tobytes(), score, gap)
+            self.known[c] = len(self.scores)
+            self.ids.extend(ids)
+            self.begins.append(len(self.ids))
+            self.scores.append(score)
+            self.gaps.append(gap)
 
     def best_of(self, chunk: str) -> list[tuple[int, tuple[int, ...]]]:
         if chunk not in self.lists:
@@ -233,37 +285,52 @@ class Segmenter:
             self.lists[chunk] = self.v.n_best(chunk, self.n)
         return self.lists[chunk]
 
-    def encode(self, chunks: list[str]) -> tuple[bytes, int, list[dict]]:
-        """(best ids as 32-bit integers, their score, the n best segmentations) of a text's chunks."""
-        pieces, scores, gaps = zip(*map(self.known.__getitem__, chunks), strict=True)
-        score, near, after = sum(scores), [], {}
-        for gap in heapq.nsmallest(self.n - 1, gaps):
-            if gap < NO_SECOND:
-                near.append(gaps.index(gap, after.get(gap, 0)))
-                after[gap] = near[-1] + 1
+    def n_best(self, chunks: list[str], score: int, gaps: np.ndarray, scores: np.ndarray, begins: np.ndarray, places: np.ndarray) -> list[dict]:
+        """The n best segmentations of a text, as changes to the best one. Of equal gaps the first ones count."""
+        near = np.sort(np.argsort(gaps, kind="stable")[: self.n - 1]) if len(gaps) <= 64 else self.smallest(gaps)
         paths: list[tuple[int, tuple]] = [(score, ())]
-        for i in sorted(near):
-            best = tuple(np.frombuffer(pieces[i], "<i4").tolist())
-            choices = [(got - scores[i], None if ids == best else (i, ids)) for got, ids in self.best_of(chunks[i])]
+        kept = [int(i) for i in near if gaps[i] < NO_SECOND]
+        size = {i: int(begins[places[i] + 1] - begins[places[i]]) for i in kept}
+        for i in kept:
+            at = int(begins[places[i]])
+            best = tuple(self.ids[at : at + size[i]])
+            choices = [(got - int(scores[i]), None if ids == best else (i, ids)) for got, ids in self.best_of(chunks[i])]
             merged = [(s + lost, path if c is None else (*path, c)) for s, path in paths for lost, c in choices]
             paths = sorted(merged, key=lambda x: (-x[0], x[1]))[: self.n]
-        place = {i: sum(map(len, pieces[:i])) // 4 for i in near}
-        listed = [{"score": s / UNIT, "changes": [{"start": place[i], "end": place[i] + len(pieces[i]) // 4, "ids": list(ids)} for i, ids in path]} for s, path in paths]
-        return b"".join(pieces), score, listed
+        lengths = begins[places + 1] - begins[places] if kept else None
+        start = {i: int(lengths[:i].sum()) for i in kept}
+        return [{"score": s / UNIT, "changes": [{"start": start[i], "end": start[i] + size[i], "ids": list(ids)} for i, ids in path]} for s, path in paths]
+
+    def smallest(self, gaps: np.ndarray) -> np.ndarray:
+        """Places of the n - 1 smallest, the first ones among equals, in order of place."""
+        if self.n < 2:
+            return np.zeros(0, np.int64)
+        last = np.partition(gaps, self.n - 2)[self.n - 2]
+        under, equal = np.flatnonzero(gaps < last), np.flatnonzero(gaps == last)
+        return np.sort(np.concatenate([under, equal[: self.n - 1 - len(under)]]))
 
     def texts(self, texts: list[str | None]) -> pa.StructArray:
-        cut = [None if t is None else _CHUNK.findall(" " + t) if t else [] for t in texts]
-        self.learn({c for x in cut if x for c in x})
-        nothing = (b"", 0, [{"score": 0.0, "changes": []}])
-        found = [None if x is None else self.encode(x) if x else nothing for x in cut]
-        missing = pa.array([f is None for f in found])
-        ends = np.cumsum([0, *(0 if f is None else len(f[0]) // 4 for f in found)])
-        values = pa.array(np.frombuffer(b"".join(f[0] for f in found if f), "<i4"), pa.int32())
+        cut = [_CHUNK.findall(" " + t) if t else [] for t in texts]
+        self.learn({c for x in cut for c in x})
+        places = np.fromiter(map(self.known.__getitem__, chain.from_iterable(cut)), np.int64)
+        begins, gaps, scores = np.array(self.begins), np.array(self.gaps)[places], np.array(self.scores)[places]
+        sizes = begins[places + 1] - begins[places]
+        to = np.cumsum(sizes)
+        flat = np.frombuffer(self.ids, "<i4") if len(self.ids) else np.zeros(0, "<i4")
+        values = pa.array(flat[np.arange(int(to[-1]) if len(to) else 0) + np.repeat(begins[places] - (to - sizes), sizes)], pa.int32())
+        del flat  # else the array can't grow
+        ends, n_best, totals, at = [0], [], [], 0
+        for t, chunks in zip(texts, cut, strict=True):
+            here = slice(at, at + len(chunks))
+            at += len(chunks)
+            ends.append(int(to[at - 1]) if at else 0)
+            score = int(scores[here].sum())
+            totals.append(None if t is None else score / UNIT)
+            n_best.append(None if t is None else self.n_best(chunks, score, gaps[here], scores[here], begins, places[here]))
+        missing = pa.array([t is None for t in texts])
         ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values, mask=missing)
         back = [None if t is None else t == d for t, d in zip(texts, self.v.decode(ids), strict=True)]
-        score = pa.array([None if f is None else f[1] / UNIT for f in found], pa.float64())
-        n_best = pa.array([None if f is None else f[2] for f in found], N_BEST_TYPE)
-        columns = {"ids": ids, "restored": pa.array(back, pa.bool_()), "score": score, "n_best": n_best}
+        columns = {"ids": ids, "restored": pa.array(back, pa.bool_()), "score": pa.array(totals, pa.float64()), "n_best": pa.array(n_best, N_BEST_TYPE)}
         return pa.StructArray.from_arrays(list(columns.values()), fields=[pa.field(k, v.type) for k, v in columns.items()])
 
 
