@@ -10,6 +10,8 @@ cut inside a payload by the record's Content-Length, a record at a time.
 
 A null payload is an empty one; a null address is an empty header; line breaks in an address are
 percent-encoded. Equal rows make equal records, which come back as as many captures. A page without an id keeps null.
+Rows of one id with equal payloads can't be told apart: if that id is the largest, all of them are responses. A record that is
+cut off at the end of a file is left out. An empty table makes no records. Each record is held whole, however long. Other columns play no part, whatever their names.
 """
 
 from __future__ import annotations
