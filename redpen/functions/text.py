@@ -76,6 +76,22 @@ def noise_tokens(c: Column) -> Column:
     return F.regexp_extract_all(_text(c), F.lit(NOISE_TOKEN), F.lit(1))
 
 
+#: Two tokenisers of the case generators: words and codes of two signs and more with a letter; words and codes joined by - _ or /.
+CASE_TOKEN = r"([A-Za-z0-9][A-Za-z0-9_-]*[A-Za-z][A-Za-z0-9_-]*)"
+JOINED_TOKEN = r"([A-Za-z0-9]+(?:[-_/][A-Za-z0-9]+)*)"
+
+
+def case_tokens(c: Column, pattern: str = CASE_TOKEN) -> Column:
+    return F.regexp_extract_all(_text(c), F.lit(pattern), F.lit(1))
+
+
+def fragment(toks: Column, i: Column, instead: Column, left: int = 5, right: int = 5) -> Column:
+    """The tokens around place ``i`` (from 0) in lower case, with another word in that place."""
+    start = F.greatest(F.lit(0), i - left)
+    before, behind = F.slice(toks, start + 1, i - start), F.slice(toks, i + 2, F.lit(right))
+    return F.array_join(F.concat(F.transform(before, F.lower), F.array(instead), F.transform(behind, F.lower)), " ")
+
+
 def tokens_spelling(c: Column) -> Column:
     """Lower-case terms with a letter: words, hyphenated or plus-marked terms; numbers and signs go; n't is not."""
     c = canonical_virus_names(normalize(clean_surface(c)))

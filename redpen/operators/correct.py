@@ -174,6 +174,20 @@ def corrected_text(rows: DataFrame, overrides: DataFrame | None = None) -> DataF
     return rows.groupBy("doc_id").agg(F.rtrim(F.array_join(F.transform(parts, lambda p: p["part"]), "")).alias("corrected_text"))
 
 
+def respaced_text(rows: DataFrame) -> DataFrame:
+    """(doc_id, corrected_text): corrected tokens with single spaces; the original spacing is lost."""
+    parts = F.array_sort(F.collect_list(F.struct("pos", "corrected")))
+    return rows.groupBy("doc_id").agg(F.array_join(F.transform(parts, lambda p: p["corrected"]), " ").alias("corrected_text"))
+
+
+def ratio_rule(rows: DataFrame, pairs: DataFrame, word: str, instead: str, ratio: int = 20) -> DataFrame:
+    """Add ``by_ratio``: ``instead`` for tokens ``word`` whose previous word is followed by it at least ``ratio`` times as often as by ``word``, one added; else null."""
+    after = pairs.where(F.col("word").isin(word, instead)).groupBy(F.col("prev").alias("before")).agg(F.sum(F.when(F.col("word") == word, F.col("cnt")).otherwise(0)).alias("was"), F.sum(F.when(F.col("word") == instead, F.col("cnt")).otherwise(0)).alias("new"))
+    both = rows.join(after, F.lower("prev") == F.col("before"), "left")
+    holds = (F.lower("tok") == word) & (F.col("new") > 0) & (F.col("new") >= ratio * (F.col("was") + 1))
+    return both.withColumn("by_ratio", F.when(holds, instead)).drop("before", "was", "new")
+
+
 def suggestions(words: DataFrame, counts: DataFrame, params: Params = Params(), n: int = 8, shown: int = 5) -> DataFrame:
     """The n best candidates by context-free score, of them those shown: nearest, then most frequent. (tok, cand, dist, cnt, rank)."""
     size = counts.agg(F.sum("cnt").alias("n_tokens"), F.count("*").alias("n_types"))

@@ -64,3 +64,11 @@ def top_ngrams_per_class(words: DataFrame, label: str, n: int = 10, stop_words:
     counts = rows.select(label, F.explode(F.concat("w", two)).alias("term")).groupBy(label, "term").agg(F.count("*").alias("cnt"))
     rank = F.row_number().over(Window.partitionBy(label).orderBy(F.desc("cnt"), "term"))
     return counts.withColumn("rank", rank).where(F.col("rank") <= n)
+
+
+def common_words(sentences: DataFrame, sentence: str, least: int = 50, shortest: int = 4) -> DataFrame:
+    """(word, cnt): lower-case words of nothing but letters a-z that are frequent in sentences."""
+    from redpen.functions.text import case_tokens
+
+    words = sentences.select(F.explode(F.transform(case_tokens(F.col(sentence)), F.lower)).alias("word"))
+    return words.where(F.col("word").rlike("^[a-z]+$") & (F.length("word") >= shortest)).groupBy("word").agg(F.count("*").alias("cnt")).where(F.col("cnt") >= least)

@@ -81,3 +81,22 @@ def split(df: DataFrame, label: str, key: str, test_share: float = 0.2, seed: in
 def class_stats(df: DataFrame, label: str, text: str) -> DataFrame:
     """(label, rows, tokens): rows and tokens of each class; their quotient is the mean length."""
     return df.groupBy(label).agg(F.count("*").alias("n_rows"), F.sum(F.size(tf.tokens_whitespace(F.col(text)))).alias("n_tokens"))
+
+
+def full_text(title: Column, abstract: Column) -> Column:
+    return F.concat(title, F.lit(". "), abstract)
+
+
+#: fixed values: class names by their ids
+LABELS = ("Prevention", "Treatment", "Epidemiology")
+
+
+def with_label_ids(df: DataFrame, label: str = "label", names: tuple[str, ...] = LABELS) -> DataFrame:
+    """Add ``label_id``; rows whose label has none go."""
+    ids = df.sparkSession.createDataFrame(list(enumerate(names)), "label_id int, name string")
+    return df.join(F.broadcast(ids), F.col(label) == F.col("name")).drop("name")  # a row a class
+
+
+def seeded_sample(df: DataFrame, key: str, n: int, seed: int = 99) -> DataFrame:
+    """The n rows of smallest hash of seed and key."""
+    return shuffled(df, key, seed).limit(n)

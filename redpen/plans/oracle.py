@@ -79,6 +79,17 @@ ORACLE["corpus_lines"] = "SELECT doc_id AS row_id, CAST(0 AS BIGINT) AS field, t
 ORACLE["stratified_split"] = f"SELECT doc_id, quality, row_number() OVER (PARTITION BY quality ORDER BY {hash_int('42', 'doc_id')}, doc_id) <= floor(count(*) OVER (PARTITION BY quality) * 0.2 + 0.5) AS is_test FROM labels WHERE quality IS NOT NULL"
 ORACLE["class_token_stats"] = f"SELECT quality, count(*) AS n_rows, CAST(sum(len({TOKENS})) AS BIGINT) AS n_tokens, {milli(f'sum(len({TOKENS})) / count(*)')} AS mean_milli FROM labels JOIN documents USING (doc_id) GROUP BY quality"
 
+ORACLE["full_text"] = "SELECT doc_id, substr(text, 1, 80) || '. ' || substr(text, 81) AS full_text FROM documents WHERE lang = 'en'"
+ORACLE["label_ids"] = f"SELECT doc_id, label, CAST(CASE label WHEN 'Prevention' THEN 0 WHEN 'Treatment' THEN 1 ELSE 2 END AS INTEGER) AS label_id FROM ({LABELLED}) WHERE label IS NOT NULL"
+ORACLE["validation_sample"] = f"SELECT doc_id, label FROM ({LABELLED}) WHERE label IS NOT NULL ORDER BY {hash_int('99', 'doc_id')}, doc_id LIMIT 50"
+_case = "regexp_extract_all(coalesce(text, ''), '([A-Za-z0-9][A-Za-z0-9_-]*[A-Za-z][A-Za-z0-9_-]*)', 1)"
+_joined = "regexp_extract_all(coalesce(text, ''), '([A-Za-z0-9]+(?:[-_/][A-Za-z0-9]+)*)', 1)"
+ORACLE["case_tokens"] = f"SELECT doc_id, CAST(len({_case}) AS BIGINT) AS n_case, md5(array_to_string({_case}, ' ')) AS case_md5, CAST(len({_joined}) AS BIGINT) AS n_joined, md5(array_to_string({_joined}, ' ')) AS joined_md5 FROM documents"
+_frag = lambda n: f"array_to_string(list_concat(list_concat(list_transform(a[greatest(1, pos + 1 - {n}):pos], lambda x: lower(x)), ['<' || a[pos + 1] || '>']), list_transform(a[pos + 2:pos + 1 + {n}], lambda x: lower(x))), ' ')"
+ORACLE["case_fragments"] = f"SELECT item_id, pos, {_frag(5)} AS wide, {_frag(4)} AS narrow FROM (SELECT item_id, a, unnest(range(len(a))) AS pos FROM (SELECT item_id, {_case} AS a FROM benchmark))"
+ORACLE["common_words"] = rf"""SELECT word, count(*) AS cnt FROM (SELECT lower(unnest(regexp_extract_all(s, '([A-Za-z0-9][A-Za-z0-9_-]*[A-Za-z][A-Za-z0-9_-]*)', 1))) AS word FROM (
+  SELECT trim(unnest(string_split(regexp_replace(text, '([.?!]){WS}+', '\1' || chr(1), 'g'), chr(1)))) AS s FROM documents WHERE lang = 'en') WHERE length(s) >= 20) WHERE regexp_full_match(word, '[a-z]{{4,}}') GROUP BY word HAVING count(*) >= 50"""
+
 W = f"w AS (SELECT doc_id, {WORDS} AS a FROM documents WHERE lang = 'en')"
 U = "u AS (SELECT word, count(*) AS cnt FROM (SELECT unnest(a) AS word FROM w) GROUP BY word)"
 B = "b AS (SELECT prev, word, count(*) AS cnt FROM (SELECT unnest(a[1:len(a)-1]) AS prev, unnest(a[2:len(a)]) AS word FROM w WHERE len(a) > 1) GROUP BY prev, word)"
@@ -182,6 +193,12 @@ ORACLE["trace_filter"] = f"WITH {CORRECTED} SELECT coalesce(gate, 'none') AS gat
 ORACLE["corrected_text"] = f"WITH {CORRECTED} SELECT doc_id, rtrim(string_agg(corrected || ws, '' ORDER BY pos)) AS corrected_text FROM fin GROUP BY doc_id"
 
 
+ORACLE["respaced_text"] = rf"""WITH {LM}, t1 AS (SELECT *, lower(tok) AS tl, lower(lag(tok) OVER o) AS prev, lower(lead(tok) OVER o) AS next FROM (SELECT item_id, unnest(range(len(a))) AS pos, unnest(a) AS tok FROM (SELECT item_id, {TOKENS} AS a FROM benchmark)) WINDOW o AS (PARTITION BY item_id ORDER BY pos)), {DECIDE}
+SELECT item_id, string_agg(corrected, ' ' ORDER BY pos) AS corrected_text FROM fin GROUP BY item_id"""
+ORACLE["ratio_rule"] = f"""WITH {LM}, {PIECES_OF("(SELECT * FROM documents WHERE lang = 'en')", 'doc_id')}, ra AS (SELECT prev AS before, coalesce(sum(cnt) FILTER (word = 'and'), 0) AS was, coalesce(sum(cnt) FILTER (word = 'of'), 0) AS new FROM b GROUP BY prev)
+SELECT doc_id, pos, tok, prev, 'of' AS by_ratio FROM t1 JOIN ra ON ra.before = t1.prev WHERE tl = 'and' AND new > 0 AND new >= 2 * (was + 1)"""
+
+
 def uniform(*parts: str) -> str:
     return f"({hash_int(*parts)} / 4294967296.0)"
 

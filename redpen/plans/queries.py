@@ -91,6 +91,25 @@ def sentence_split(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.explode(tf.sentences(F.col("text"))).alias("sentence")).groupBy("doc_id").agg(F.count("*").alias("n_sentences"), F.sum(F.length("sentence")).alias("n_chars"))
 
 
+@query
+def case_tokens(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", tf.case_tokens(F.col("text")).alias("a"), tf.case_tokens(F.col("text"), tf.JOINED_TOKEN).alias("b"))
+    return rows.select("doc_id", F.size("a").cast("long").alias("n_case"), F.md5(F.array_join("a", " ")).alias("case_md5"), F.size("b").cast("long").alias("n_joined"), F.md5(F.array_join("b", " ")).alias("joined_md5"))
+
+
+@query
+def case_fragments(spark, sf_dir):
+    """Every token of the benchmark passages, marked, among its neighbours."""
+    rows = table(spark, sf_dir, "benchmark").select("item_id", tf.case_tokens(F.col("text")).alias("a")).select("item_id", "a", F.posexplode("a").alias("pos", "tok"))
+    marked = F.concat(F.lit("<"), F.col("tok"), F.lit(">"))
+    return rows.select("item_id", F.col("pos").cast("long").alias("pos"), tf.fragment(F.col("a"), F.col("pos"), marked).alias("wide"), tf.fragment(F.col("a"), F.col("pos"), marked, 4, 4).alias("narrow"))
+
+
+@query
+def common_words(spark, sf_dir):
+    return lexicon.common_words(english(spark, sf_dir).select(F.explode(tf.sentences(F.col("text"))).alias("sentence")), "sentence")
+
+
 # -- labels, caps, splits
 
 
@@ -109,6 +128,22 @@ def label_cap(spark, sf_dir):
     return prepare.cap_per_class(labelled(spark, sf_dir), "label", "doc_id", 10000).select("doc_id", "label", F.col("rank").cast("long").alias("rank"))
 
 
+@query
+def full_text(spark, sf_dir):
+    return english(spark, sf_dir).select("doc_id", prepare.full_text(F.substring("text", 1, 80), F.expr("substring(text, 81)")).alias("full_text"))
+
+
+@query
+def label_ids(spark, sf_dir):
+    return prepare.with_label_ids(labelled(spark, sf_dir).select("doc_id", "label"))
+
+
+@query
+def validation_sample(spark, sf_dir):
+    """Fifty labelled rows for a look by eye."""
+    return prepare.seeded_sample(labelled(spark, sf_dir).where("label IS NOT NULL"), "doc_id", 50).select("doc_id", "label")
+
+
 @query
 def corpus_lines(spark, sf_dir):
     docs = english(spark, sf_dir)
@@ -277,6 +312,21 @@ def suggestions(spark, sf_dir):
     return rows.select("tok", "cand", F.col("dist").cast("long").alias("dist"), F.col("rank").cast("long").alias("rank"))
 
 
+@query
+def respaced_text(spark, sf_dir):
+    """Benchmark passages corrected chunk by chunk and put together with single spaces."""
+    counts, pairs = model(spark, sf_dir)
+    toks = correct.tokens(table(spark, sf_dir, "benchmark"), "item_id", mode="whitespace")
+    return correct.respaced_text(correct.decide(toks, counts, pairs)).select(F.col("doc_id").alias("item_id"), "corrected_text")
+
+
+@query
+def ratio_rule(spark, sf_dir):
+    """Where "and" follows a word that "of" follows at least twice as often."""
+    rows = correct.ratio_rule(correct.tokens(english(spark, sf_dir)), model(spark, sf_dir)[1], "and", "of", 2)
+    return rows.where("by_ratio IS NOT NULL").select("doc_id", F.col("pos").cast("long").alias("pos"), "tok", F.lower("prev").alias("prev"), "by_ratio")
+
+
 # -- noise
 
 
