@@ -143,3 +143,17 @@ def test_typo_map_and_unique_texts(spark):
 
     out = correct.over_unique_texts(docs, once).collect()
     assert seen == [1] and sorted((r["doc_id"], r["corrected_text"]) for r in out) == [(1, "TRETMENT OF XYZZY"), (2, "TRETMENT OF XYZZY")]
+
+
+def test_grid_search_and_leaderboard(spark):
+    from pyspark.ml.linalg import Vectors
+
+    from redpen.operators import classify
+
+    rng = random.Random(4)
+    rows = [(i, float(i % 2), Vectors.dense([i % 2 + rng.gauss(0, 0.4), rng.gauss(0, 1)]), 1.0) for i in range(60)]
+    frame = spark.createDataFrame(rows, ["doc_id", "label", "features", "class_weight"])
+    tried = classify.grid_search(frame, 2, (0.1, 10.0))
+    assert [c for c, _ in tried] == [0.1, 10.0] and all(0.5 < f <= 1 for _, f in tried)
+    board = classify.leaderboard(spark.createDataFrame([("b", 0.9, 0.8), ("a", 0.7, 0.8), ("c", 0.6, 0.9)], "model string, accuracy double, f1_macro double"))
+    assert [r["model"] for r in board.collect()] == ["c", "a", "b"]
