@@ -89,7 +89,9 @@ def test_candidates_of_long_words(spark):
 
 
 def test_prob_shift_is_a_shift_of_shares(spark, tmp_path):
-    spark.range(300).select(F.col("id").alias("doc_id"), (F.col("id") % 3 == 0).cast("int").alias("quality")).write.parquet(f"{tmp_path}/labels.parquet")
+    # the runs classify real documents, so there have to be some
+    documents(spark, tmp_path, [" ".join([("apple", "banana", "cherry")[i % 3], "common"] * 4 + [f"extra{'abcdefg'[i % 7]}"]) for i in range(90)])
+    spark.range(90).select(F.col("id").alias("doc_id"), (F.col("id") % 3 == 0).cast("int").alias("quality")).write.parquet(f"{tmp_path}/labels.parquet")
     runs = predictions(spark, str(tmp_path)).collect()
     got = {r["label"]: r for r in QUERIES["prob_shift"](spark, str(tmp_path)).collect()}
     assert sorted(got) == ["0", "1"]
