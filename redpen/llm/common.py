@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -35,6 +36,24 @@ def kept(owner: str) -> dict:
     return _KEPT.setdefault(owner, {})
 
 
+def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches, and at their end what the task has let go of back to the system: a worker waits for its next task with little memory."""
+    yield from batches
+    _trim()
+
+
+@contextmanager
+def small_batches(spark: SparkSession, size: int) -> Iterator[None]:
+    """While it lasts, jobs hand Python batches of about ``size`` bytes instead of 64 MB."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(size))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def slices(batch: pa.RecordBatch, column: int, rows: int, size: int) -> Iterator[pa.RecordBatch]:
     """A batch in parts of at most ``rows`` rows and about ``size`` bytes in one of its columns, and of one row at least."""
     lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()

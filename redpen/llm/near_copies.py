@@ -30,7 +30,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from redpen.llm.common import Scratch, kept, slices
+from redpen.llm.common import Scratch, kept, slices, small_batches, trimmed
 from redpen.llm.components import components
 from redpen.llm.decontaminate import words
 
@@ -42,6 +42,8 @@ PARTS = 5
 WHOLE, SHARE = 2 * PARTS - 1, PARTS - 1
 #: Texts, and bytes of text, that are signed at once in a worker.
 AT_ONCE, BYTES_AT_ONCE = 400, 1_000_000
+#: Bytes that a worker is handed at once; it signs or compares them in smaller parts.
+BATCH_BYTES = 4_000_000
 #: Lengths within this ratio are one class in the prefix join.
 LENGTHS = 1.05
 CACHE_WORDS = 300_000
@@ -153,7 +155,7 @@ def sign(rows: DataFrame, bands: int, registers: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept("near_copies")
         signer = Signer(bands, registers)
-        for batch in batches:
+        for batch in trimmed(batches):
             for part in slices(batch, 4, AT_ONCE, BYTES_AT_ONCE):
                 digests, counts, hashes = signer.sign(part.column(4).to_pylist())
                 nodes = [a if d is None else d for d, a in zip(digests, part.column(3).to_pylist(), strict=True)]
@@ -195,7 +197,7 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept("near_copies")
         last, bag_v = None, Counter()
-        for batch in batches:
+        for batch in trimmed(batches):
             us, vs, ok = batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
             for v, a, b in zip(vs, batch.column(2), batch.column(3), strict=True):
                 if v != last:
@@ -234,7 +236,7 @@ def shingle_keys(rest: DataFrame, texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept("near_copies")
         signer = Signer(BANDS, ROWS)
-        for batch in batches:
+        for batch in trimmed(batches):
             for part in slices(batch, 3, AT_ONCE, BYTES_AT_ONCE):
                 out = []
                 for text in part.column(3).to_pylist():
@@ -283,6 +285,11 @@ def sharing_rare(rest: DataFrame, texts: DataFrame, scratch: Scratch | None = No
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row a document: doc_id, h1 and h2 (its row's hash), class_id, class_size, and ``first``, true for the row kept of a class and rows like it."""
+    with small_batches(docs.sparkSession, BATCH_BYTES):
+        return _classes(docs, doc_id, text, bands, rows)
+
+
+def _classes(docs: DataFrame, doc_id: str, text: str, bands: int, rows: int) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "near-copies")
     given = keyed(docs, doc_id, text)
     signed = scratch.table(sign(given, bands, rows), "signed")

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -147,6 +148,22 @@ def test_near_copies_edges(spark):
     assert near_copies.report(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_near_copies_hand_workers_small_batches(spark, monkeypatch):
+    name, seen, sign = "spark.sql.execution.arrow.maxBytesPerBatch", [], near_copies.sign
+
+    def measured(rows, *args):
+        sizes = rows.select("text").mapInArrow(lambda batches: (b.from_arrays([pa.array([b.nbytes])], names=["n"]) for b in batches), "n long")
+        seen.append(max(r["n"] for r in sizes.collect()))
+        return sign(rows, *args)
+
+    monkeypatch.setattr(near_copies, "sign", measured)
+    text = " ".join(f"w{i}" for i in range(5000))
+    rows = spark.range(1000, numPartitions=1).select(F.col("id").alias("doc_id"), F.lit(text).alias("text"), F.lit("en").alias("lang"))
+    before = spark.conf.get(name)
+    assert near_copies.report(rows).where("class_id = 0 AND class_size = 1000").count() == 1000
+    assert max(seen) < 2 * near_copies.BATCH_BYTES and spark.conf.get(name) == before
+
+
 def test_near_copies_recall_on_a_whole_table(spark):
     rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
     got = {r["doc_id"]: r["class_id"] for r in near_copies.report(spark.createDataFrame(rows, DOCS)).collect()}
