@@ -145,13 +145,15 @@ def over_unique_texts(docs: DataFrame, correct, text: str = "text", doc_id: str
 
 
 def tuned(work: DataFrame, counts: DataFrame, pairs: DataFrame, grid: DataFrame, params: Params = Params()) -> DataFrame:
-    """(ordinal, KEYS, known, best_word) for each configuration of a small grid (ordinal, delta, delta_rw, w_dist, w_left). Everything but the sums is worked out once."""
-    rows = scored(work, counts, pairs, params).crossJoin(F.broadcast(grid))
-    score = F.col("score") + (F.col("w_left") - params.w_left) * F.col("left_logp") - (F.col("w_dist") - params.w_distance) * F.col("dist")
-    rows = rows.withColumn("score", score)
-    competes = F.col("known") | (F.col("rnk") > 0)
-    place = F.struct((-F.round("score", 9)).alias("o"), F.col("rnk").alias("rnk"), F.col("cand").alias("cand"), F.col("score").alias("score"))
-    best = rows.groupBy("ordinal", "delta", "delta_rw", *KEYS, "known").agg(F.min(F.when(competes, place)).alias("best"), F.max(F.when(F.col("rnk") == 0, F.col("score"))).alias("own"))
+    """(ordinal, KEYS, known, best_word) for each configuration of a small grid (ordinal, delta, delta_rw, w_dist, w_left). Everything but the sums is worked out once, and a context's options meet the
+    configurations as one array, so nothing as large as options times configurations is shuffled or sorted."""
+    option = F.struct("rnk", "cand", "dist", "score", "left_logp")
+    rows = scored(work, counts, pairs, params).groupBy(*KEYS, "known").agg(F.collect_list(option).alias("options")).crossJoin(F.broadcast(grid))
+    score = lambda x: x["score"] + (F.col("w_left") - params.w_left) * x["left_logp"] - (F.col("w_dist") - params.w_distance) * x["dist"]
+    place = lambda x: F.struct((-F.round(score(x), 9)).alias("o"), x["rnk"].alias("rnk"), x["cand"].alias("cand"), score(x).alias("score"))
+    competes = lambda x: F.col("known") | (x["rnk"] > 0)
+    own = F.array_max(F.transform(F.filter("options", lambda x: x["rnk"] == 0), score))
+    best = rows.select("ordinal", "delta", "delta_rw", *KEYS, "known", F.array_min(F.transform(F.filter("options", competes), place)).alias("best"), own.alias("own"))
     enough = F.round(F.col("best.score") - F.col("own"), 9) >= F.when(F.col("known"), F.col("delta_rw")).otherwise(F.col("delta"))
     return best.select("ordinal", *KEYS, "known", F.when((F.col("best.rnk") > 0) & enough, F.col("best.cand")).alias("best_word"))
 

@@ -113,3 +113,16 @@ def test_stream(spark, model, tmp_path):
     spark.createDataFrame([(1, "the treatmnet today")], "doc_id long, text string").write.parquet(str(tmp_path / "in"))
     correct_stream(documents(spark, str(tmp_path / "in")), *model, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out/summaries")).first()["tokens_changed"] == 1
+
+
+def test_tuned_takes_options_as_arrays(spark):
+    docs = spark.createDataFrame([(1, "the cell count rose and the cell wall held " * 8 + "a cull wall and the cel count")], "doc_id long, text string")
+    words = correct.lm_words(docs)
+    counts, pairs = lexicon.unigrams(words), lexicon.bigrams(words)
+    work = spark.createDataFrame([("cull", "a", "wall", False), ("cel", "the", "count", False), ("wall", "cell", "held", True)], "tok_l string, prev_l string, next_l string, known boolean")
+    p = Params()
+    out = correct.tuned(work, counts, pairs, evaluate.grid(spark, delta=[p.delta, -1000.0], delta_rw=[p.delta_rw], w_dist=[p.w_distance], w_left=[p.w_left]))
+    assert "Aggregate [ordinal" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r["ordinal"], r["tok_l"]): r["best_word"] for r in out.collect()}
+    want = {r["tok_l"]: r["best_word"] for r in correct.decided(correct.scored(work, counts, pairs)).collect()}
+    assert len(got) == 6 and {t: w for (o, t), w in got.items() if o == 0} == want and got[1, "cel"] == "cell"
