@@ -61,6 +61,11 @@ def pieces(c: Column) -> Column:
     return _zipped(c, PIECE)
 
 
+def piece_texts(c: Column) -> Column:
+    """Pieces without the white space behind them."""
+    return F.regexp_extract_all(_text(c), F.lit(PIECE), F.lit(1))
+
+
 def chunks(c: Column) -> Column:
     """(text, ws) of runs without white space."""
     pattern = r"([^ \t\n\r\f\x0B]+)([ \t\n\r\f\x0B]*)"

@@ -16,7 +16,7 @@ KEYS = ["tok_l", "prev_l", "next_l"]
 
 def lm_words(docs: DataFrame, text: str = "text") -> DataFrame:
     """Lower-case pieces with a letter, a row a document: what the language model counts."""
-    return docs.select(F.filter(F.transform(tf.pieces(F.col(text)), lambda p: F.lower(p["text"])), tf.has_letter).alias("words"))
+    return docs.select(F.filter(F.transform(tf.piece_texts(F.col(text)), F.lower), tf.has_letter).alias("words"))
 
 
 def tokens(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mode: str = "pieces") -> DataFrame:

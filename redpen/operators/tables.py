@@ -2,16 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
 
+from pyspark.sql import DataFrame, SparkSession
 
-def materialized(df: DataFrame) -> DataFrame:
-    """A reliable copy in the folder that driver and executors share (spark.checkpoint.dir), so that what it is made of runs once. Without such a folder on a cluster, the table as it is."""
-    spark = df.sparkSession
+
+def shared_folder(spark: SparkSession) -> str | None:
+    """The folder that driver and executors share (spark.checkpoint.dir); None without one on a cluster."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder and spark.sparkContext.master.startswith("local"):
         import tempfile  # one process: tests and trials
 
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="redpen-"))
         folder = spark.sparkContext.getCheckpointDir()
-    return df.checkpoint(eager=True) if folder else df
+    return folder
+
+
+def materialized(df: DataFrame) -> DataFrame:
+    """A copy in the folder that driver and executors share, as Parquet, which is much smaller than a checkpoint, so that what it is made of runs once. Without such a folder on a cluster, the table as it is."""
+    spark = df.sparkSession
+    folder = shared_folder(spark)
+    if not folder:
+        return df
+    path = f"{folder}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
