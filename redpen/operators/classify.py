@@ -4,13 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from redpen.operators.tables import materialized
+
+
+def grams(w: Column) -> Column:
+    """One- and two-word terms of an array of words."""
+    n = F.greatest(F.size(w) - 1, F.lit(0))
+    return F.concat(w, F.zip_with(F.slice(w, 1, n), F.slice(w, 2, n), lambda a, b: F.concat_ws(" ", a, b)))
+
 
 def terms(df: DataFrame, words: Column, keys: list[str]) -> DataFrame:
     """(keys, term, tf): one- and two-word terms of an array of words."""
     rows = df.select(*keys, words.alias("w"))
-    n = F.greatest(F.size("w") - 1, F.lit(0))
-    two = F.zip_with(F.slice("w", 1, n), F.slice("w", 2, n), lambda a, b: F.concat_ws(" ", a, b))
-    return rows.select(*keys, F.explode(F.concat("w", two)).alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("tf"))
+    return rows.select(*keys, F.explode(grams(F.col("w"))).alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("tf"))
 
 
 def doc_frequency(tf: DataFrame, n_docs: int | Column, min_df: int = 2, max_df: float = 0.95) -> DataFrame:
@@ -33,11 +39,20 @@ def tfidf(tf: DataFrame, df: DataFrame, n_docs: int, key: str = "doc_id") -> Dat
 
 def naive_bayes(tf: DataFrame, label: str, alpha: float = 1.0) -> tuple[DataFrame, DataFrame]:
     """Multinomial model from (doc_id, label, term, tf): (label, term, logp, unseen) and (label, prior)."""
-    counts = tf.groupBy(label, "term").agg(F.sum("tf").alias("n"))
-    types = tf.select("term").distinct().agg(F.count("*").alias("v"))
+    return _bayes(tf.groupBy(label, "term").agg(F.sum("tf").alias("n")), tf.select("doc_id", label).distinct(), label, alpha)
+
+
+def naive_bayes_of_words(rows: DataFrame, label: str, alpha: float = 1.0) -> tuple[DataFrame, DataFrame]:
+    """The same from (doc_id, label, words), without a row for each document and term; counts of classes are all that is shuffled."""
+    counts = rows.select(label, F.explode(grams(F.col("words"))).alias("term")).groupBy(label, "term").agg(F.count("*").alias("n"))
+    return _bayes(materialized(counts), rows.where(F.size("words") > 0).select("doc_id", label).distinct(), label, alpha)
+
+
+def _bayes(counts: DataFrame, documents: DataFrame, label: str, alpha: float) -> tuple[DataFrame, DataFrame]:
+    types = counts.select("term").distinct().agg(F.count("*").alias("v"))
     sums = counts.groupBy(label).agg(F.sum("n").alias("total")).crossJoin(F.broadcast(types))  # a row a class
     model = counts.join(F.broadcast(sums), label).select(label, "term", F.log((F.col("n") + alpha) / (F.col("total") + alpha * F.col("v"))).alias("logp"))
-    docs = tf.select("doc_id", label).distinct().groupBy(label).agg(F.count("*").alias("n_docs"))
+    docs = documents.groupBy(label).agg(F.count("*").alias("n_docs"))
     prior = docs.join(F.broadcast(sums), label).select(label, "n_docs", F.log(F.lit(alpha) / (F.col("total") + alpha * F.col("v"))).alias("unseen"))
     return model, prior
 
@@ -56,6 +71,22 @@ def predicted(scores: DataFrame, label: str) -> DataFrame:
     return scores.groupBy("doc_id").agg(best["l"].alias("predicted"))
 
 
+def predicted_runs(texts: DataFrame, runs: tuple[str, ...], model: DataFrame, prior: DataFrame, label: str) -> DataFrame:
+    """(doc_id, a column a run): what naive Bayes makes of versions of documents, (doc_id, run, words); null for a version without words. The versions of a
+    document share most terms, so they are counted together and each term is looked up once a document."""
+    lengths = texts.groupBy("doc_id").agg(*[F.sum(F.when(F.col("run") == r, F.size("words") + F.greatest(F.size("words") - 1, F.lit(0))).otherwise(0)).alias(f"n_{r}") for r in runs])
+    whole = texts.groupBy("doc_id").agg(F.collect_list(F.struct("run", "words")).alias("x"))
+    found = F.flatten(F.transform("x", lambda x: F.transform(grams(x["words"]), lambda t: F.struct(x["run"].alias("run"), t.alias("term")))))
+    tf = whole.select("doc_id", F.explode(found).alias("t")).groupBy("doc_id", "t.term").agg(*[F.count_if(F.col("t.run") == r).alias(r) for r in runs])
+    gain = F.col("logp") - F.col("unseen")
+    hits = tf.join(model, "term").join(F.broadcast(prior.select(label, "unseen")), label).groupBy("doc_id", label).agg(*[F.sum(F.col(r) * gain).alias(f"gain_{r}") for r in runs])
+    total = prior.agg(F.sum("n_docs").alias("all_docs"))
+    grid = lengths.crossJoin(F.broadcast(prior)).crossJoin(F.broadcast(total)).join(hits, ["doc_id", label], "left")  # documents by classes
+    score = lambda r: F.log(F.col("n_docs") / F.col("all_docs")) + F.col(f"n_{r}") * F.col("unseen") + F.coalesce(f"gain_{r}", F.lit(0.0))
+    best = lambda r: F.max(F.when(F.col(f"n_{r}") > 0, F.struct(F.round(score(r), 6).alias("s"), (-F.col(label)).alias("o"), F.col(label).alias("l"))))["l"]
+    return grid.groupBy("doc_id").agg(*[best(r).alias(r) for r in runs])
+
+
 def contributions(weights: DataFrame, coefficients: DataFrame, k: int = 15) -> DataFrame:
     """(doc_id, term, contribution, rank): the terms that speak most for the class whose coefficients are given."""
     rows = weights.join(coefficients, "term").withColumn("contribution", F.col("weight") * F.col("coefficient"))
