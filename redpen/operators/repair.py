@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from redpen.functions import text as tf
 from redpen.functions.gates import domain_rule, gate, protected_word
 from redpen.lexicons import COVID_18, VIRUS_CONFUSIONS
-from redpen.operators import correct
+from redpen.operators import correct, tables
 from redpen.operators import neighbourhoods as near
 from redpen.operators.candidates import neighbours
 from redpen.operators.lexicon import row_totals
@@ -220,6 +220,7 @@ def _prepare(spark: SparkSession, folder: str, store: str, rows: DataFrame, coun
     words = functools.reduce(DataFrame.union, seen).groupBy("word").agg(*[F.sum(c).alias(c) for c in ("cnt", "total", "came")], F.length("word").alias("letters"))
     words.orderBy(F.desc("cnt"), F.desc("word")).write.parquet(path("words"))
     _write_words(folder)
+    shutil.rmtree(f"{folder}/words.parquet")
     _write_kinds(folder)
     cnt = _map(f"{folder}/cnt", np.int64)
     n_words, n_known = len(cnt), int((cnt >= params.min_count).sum())
@@ -233,7 +234,9 @@ def _prepare(spark: SparkSession, folder: str, store: str, rows: DataFrame, coun
         _trim()
 
     # ordering reads its rows twice, so they are written before
+    tables.settled(spark)
     pairs.select("prev", "word", F.col("cnt").cast("long").alias("cnt")).mapInArrow(numbered, "hash long, cnt long").write.parquet(path("numbered"))
+    tables.settled(spark)
     spark.read.schema("hash long, cnt long").parquet(path("numbered")).orderBy("hash").write.parquet(path("pairs"))
     shutil.rmtree(f"{folder}/numbered.parquet")
     _write_pairs(folder)
@@ -255,6 +258,8 @@ def _prepare(spark: SparkSession, folder: str, store: str, rows: DataFrame, coun
     for k in range(n_blocks):
         os.remove(f"{folder}/index-{k}.key")
         os.remove(f"{folder}/index-{k}.owner")
+    for name in ("codes", "length"):  # a worker that has searched may have them mapped
+        os.truncate(f"{folder}/{name}", 0)
     n_tokens, n_types = counts.agg(F.greatest(F.coalesce(F.sum("cnt"), F.lit(0)), F.lit(1)), F.count("*")).first()
     return {"n": n_tokens, "v": n_types}
 
@@ -268,6 +273,7 @@ def _long(spark: SparkSession, folder: str, store: str, counts: DataFrame, longe
     out = [np.zeros((0, 3), np.int64)]
     for b in _batches(f"{folder}/long.parquet"):
         out.append(np.stack([_places(_string(b.column(0)), words), _places(_string(b.column(1)), words), b.column(2).to_numpy()], 1))
+    shutil.rmtree(f"{folder}/kinds.parquet")
     np.concatenate(out).tofile(f"{folder}/long")
 
 
@@ -406,8 +412,18 @@ def _model(folder: str, n: int, v: int, params: Params) -> Model:
     return Model(folder, {"n": n, "v": v}, params)
 
 
-def documents(docs: DataFrame, counts: DataFrame, pairs: DataFrame, params: Params = Params(), doc_id: str = "doc_id", text: str = "text") -> DataFrame | None:
-    """(doc_id, a): an array of a document's tokens with their decisions. None if Python can't open the shared folder."""
+def remove(spark: SparkSession, made: list[str]) -> None:
+    """Delete tables, and the corrector's files once nothing is corrected by them. They are made empty before, as a worker that waits for its next task may
+    have them mapped, and deleting alone would not give their disk back."""
+    for path in made:
+        for name, _, files in os.walk(_local(path) or ""):
+            for x in files:
+                os.truncate(f"{name}/{x}", 0)
+    tables.remove(spark, made)
+
+
+def documents(docs: DataFrame, counts: DataFrame, pairs: DataFrame, params: Params = Params(), doc_id: str = "doc_id", text: str = "text", made: list[str] | None = None) -> DataFrame | None:
+    """(doc_id, a): an array of a document's tokens with their decisions. None if Python can't open the shared folder. The folder of the files is added to ``made``."""
     spark = docs.sparkSession
     shared = shared_folder(spark)
     if not shared or not _local(shared):
@@ -415,6 +431,8 @@ def documents(docs: DataFrame, counts: DataFrame, pairs: DataFrame, params: Para
     _package_of_workers(spark)
     store = f"{shared}/repair-{uuid.uuid4().hex}"
     folder = _local(store)
+    if made is not None:
+        made.append(store)
     rows = docs.select(F.col(doc_id).alias("doc_id"), tf.pieces(F.col(text)).alias("a")).where(F.size("a") > 0)
     rows.write.parquet(f"{store}/tokens.parquet")
     rows = spark.read.schema(rows.schema).parquet(f"{store}/tokens.parquet")
@@ -472,9 +490,9 @@ def correct_tokens(docs: DataFrame, counts: DataFrame, pairs: DataFrame, params:
     return rows.select("doc_id", F.explode("a").alias("x")).select("doc_id", "x.pos", "x.tok", "x.ws", *_decision(F.col("x"), params))
 
 
-def corrected_text(docs: DataFrame, counts: DataFrame, pairs: DataFrame, params: Params = Params(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, corrected_text): the documents put together again, right-trimmed; those without tokens are left out."""
-    rows = documents(docs, counts, pairs, params, doc_id, text)
+def corrected_text(docs: DataFrame, counts: DataFrame, pairs: DataFrame, params: Params = Params(), doc_id: str = "doc_id", text: str = "text", made: list[str] | None = None) -> DataFrame:
+    """(doc_id, corrected_text): the documents put together again, right-trimmed; those without tokens are left out. What the rows are read from is added to ``made``."""
+    rows = documents(docs, counts, pairs, params, doc_id, text, made)
     if rows is None:
         return correct.corrected_text(correct_tokens(docs, counts, pairs, params, doc_id, text))
     parts = F.transform("a", lambda x: F.concat(_decision(x, params)[0], x["ws"]))

@@ -24,3 +24,20 @@ def test_runs_are_classified_as_documents_are(spark):
         tf = classify.terms(texts.where(F.col("run") == run), F.col("words"), ["doc_id"])
         want = dict(classify.predicted(classify.naive_bayes_scores(tf, model, prior, "y"), "y").collect())
         assert {r["doc_id"]: r[run] for r in got if r[run] is not None} == want
+
+
+def test_four_runs_leaves_no_files_of_the_corrector(spark, tmp_path):
+    import os
+
+    from redpen.operators.tables import shared_folder
+    from redpen.plans.queries import QUERIES
+
+    shared = shared_folder(spark).removeprefix("file:")
+    texts = [" ".join([("apple", "banana", "cherry")[i % 3], "common"] * 4 + [f"extra{'abcdefg'[i % 7]}"]) for i in range(90)]
+    spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.range(90).select(F.col("id").alias("doc_id"), (F.col("id") % 3 == 0).cast("int").alias("quality")).write.parquet(f"{tmp_path}/labels.parquet")
+    before = set(os.listdir(shared))
+    rows = QUERIES["four_runs"](spark, str(tmp_path))
+    left = set(os.listdir(shared)) - before
+    assert not [x for x in left if x.startswith("repair")] and len(left) == 3  # split rows, their versions, counts of classes
+    assert rows.count() > 0
