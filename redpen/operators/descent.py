@@ -15,8 +15,9 @@ import shutil
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from redpen.operators.repair import _each, _local, _package_of_workers, _parts
 from redpen.operators.tables import shared_folder
@@ -26,6 +27,11 @@ CELLS, HISTORY = 1 << 20, 10
 TOLERANCE = 1e-6
 
 
+def possible(spark: SparkSession) -> bool:
+    folder = shared_folder(spark)
+    return bool(folder and _local(folder))
+
+
 class NoDescent(ArithmeticError):
     """The line search found no step."""
 
@@ -91,7 +97,7 @@ class Block:
 
     def sums(self, by_cell: np.ndarray) -> np.ndarray:
         """Of cells, by feature."""
-        return np.diff(np.concatenate([[0.0], np.cumsum(by_cell)])[self.first]) if not len(by_cell) else np.where(np.diff(self.first) > 0, np.add.reduceat(np.append(by_cell, 0.0), self.first[:-1]), 0.0)
+        return np.where(np.diff(self.first) > 0, np.add.reduceat(np.append(by_cell, 0.0), self.first[:-1]), 0.0)
 
     def margins(self, x: np.ndarray) -> np.ndarray:
         return np.bincount(self.docs, self.values * np.repeat(x * self.get("inverse"), np.diff(self.first)), self.n)
@@ -175,6 +181,12 @@ class Matrix:
                 os.truncate(path := f"{folder}/part-{k}.{name}", 0)  # a waiting worker may have it mapped
                 os.remove(path)
 
+    def table(self, **columns: np.ndarray) -> str:
+        """A small table for Spark, in the matrix's folder."""
+        os.makedirs(path := f"{self.folder}/{uuid.uuid4().hex}.parquet")
+        pq.write_table(pa.table(columns), f"{path}/part-0.parquet")
+        return f"file:{path}"
+
     def remove(self) -> None:
         for name, _, files in os.walk(self.folder):
             for x in files:
@@ -195,7 +207,7 @@ class Matrix:
         for k in range(n_blocks):
             if os.path.exists(path := f"{folder}/{k}/told"):
                 os.remove(path)
-        _each(self.spark, tasks, work)
+        self.spark.sparkContext.parallelize(range(tasks), tasks).foreach(work)
         told = [_open(f"{folder}/{k}/told") for k in range(n_blocks) if os.path.exists(f"{folder}/{k}/told")]
         return functools.reduce(np.add, told) if told else None
 
@@ -262,20 +274,19 @@ def strong_wolfe(phi, far: float, c1: float = 1e-4, c2: float = 0.9, tries: int
 
 
 def backtracking(phi, f0: float, d0: float, far: float, shrink: float, grow: float = 2.1, c1: float = 1e-4, c2: float = 0.9, tries: int = 20) -> float:
-    """A step that meets the Wolfe conditions, by shrinking and growing."""
-    for _ in range(tries + 1):
-        f, d = phi(far)
-        if f > f0 + far * d0 * c1:
-            far *= shrink
-        elif d < c2 * d0:
-            far *= grow
-        elif d > -c2 * d0:
-            far *= shrink
-        else:
-            return far
-        if not 1e-10 <= far <= 1e10:
+    """A step that meets the strong Wolfe conditions, by shrinking and growing. As in Breeze, the first one has the value of no step, so it is shrunk unseen."""
+    f, d = f0, phi(far)[1] if d0 >= 0 else 0.0
+    for _ in range(tries):
+        times = shrink if f > f0 + far * d0 * c1 else grow if d < c2 * d0 else shrink if d > -c2 * d0 else 1
+        if times == 1:
+            break
+        if not 1e-10 <= far * times <= 1e10:
             raise NoDescent
-    raise NoDescent
+        last, far = far, far * times
+        f, d = phi(far)
+    else:
+        far = last
+    return far
 
 
 def train(m: Matrix, weight: np.ndarray, penalty: float, steps: int, hinge: bool) -> np.ndarray:
@@ -296,16 +307,15 @@ def train(m: Matrix, weight: np.ndarray, penalty: float, steps: int, hinge: bool
     _save(f"{m.folder}/slope", r)
     kept: list[int] = []
     told = m.all(("gradient", 0, penalty, plain, "x"), ("products", 0, kept))
-    gb, values, fresh = float(r.sum()), [f], False
-    sb, yb, f_first = {}, {}, f
-    step = 0
+    gb, values, fresh = float(r.sum()), [math.inf], False
+    sb, yb, f_first, step = {}, {}, f, 0
     while True:
         size = 2 * len(kept) + 1
         dots = told.reshape(size, size)
         own = np.array([*[sb[k] for k in kept], *[yb[k] for k in kept], gb])
         dots = dots + np.outer(own, own)
         slope = math.sqrt(dots[-1, -1])
-        if step >= steps or (len(values) > 1 and abs(f - max(values)) <= TOLERANCE * abs(f_first)) or slope <= max(TOLERANCE * abs(f), 1e-8):
+        if step >= steps or (len(values) > 1 and abs(f - max(values)) <= TOLERANCE * f_first) or slope <= max(TOLERANCE * f, 1e-8):
             break
         try:
             w = _two_loops(dots, len(kept))
@@ -314,7 +324,7 @@ def train(m: Matrix, weight: np.ndarray, penalty: float, steps: int, hinge: bool
             dd, dg, xx, xd, d2, shift = m.all(("direction", step, kept, w, penalty, plain, signed))
             zd, dg = m.by_document(), dg + db * gb
             if signed:
-                trials = {}
+                trials: dict[float, tuple] = {}
 
                 def phi(t):
                     new_cost, along, new_offset = m.all(("move", step, t, penalty, plain, True))  # noqa: B023
@@ -324,10 +334,11 @@ def train(m: Matrix, weight: np.ndarray, penalty: float, steps: int, hinge: bool
                     z = m.by_document()
                     v, s = value(z - new_offset + nb)
                     trials[t] = (z, nb, new_cost, new_offset, v + new_cost / 2, s)
-                    trials["last"] = t
                     return v + new_cost / 2, float(s @ zd) - s.sum() * shift + s.sum() * db + along  # noqa: B023
 
                 far = backtracking(phi, f, dg, 0.5 / slope if step < 1 else 1.0, 0.1 if step < 1 else 0.5)
+                if far != next(reversed(trials)):
+                    phi(far)  # the weights of the step are those of the last trial
                 new_margin, nb, cost, new_offset, f_new, r = trials[far]
             else:
 
@@ -345,6 +356,7 @@ def train(m: Matrix, weight: np.ndarray, penalty: float, steps: int, hinge: bool
         except NoDescent:
             if fresh:
                 break
+            m.forget(*[f"{c}{k}" for k in kept for c in "sy"])
             fresh, kept = True, []
             told = m.all(("products", step, kept))
             continue
@@ -356,7 +368,7 @@ def train(m: Matrix, weight: np.ndarray, penalty: float, steps: int, hinge: bool
         sb[step], yb[step] = nb - b, float(r.sum()) - gb
         m.forget(f"x{step - 1}", f"g{step - 1}", *[f"{c}{k}" for k in kept if k not in new_kept for c in "sy"])
         kept, margin, b, offset, gb = new_kept, new_margin, nb, new_offset, float(r.sum())
-        values, f = [*values, f_new][-20:] if False else [f, *values][:20], f_new
+        values, f = [*values, f_new][-20:], f_new
     m.forget("d", "trial", "z", "x", f"x{step}", f"g{step}", *[f"{c}{k}" for k in kept for c in "sy"])
     return margin - offset + b
 
